@@ -4,7 +4,7 @@ A text is split by the tokenizer's pattern; each match is merged by a rank queue
 positions in a linked list of parts. A bitmap in three levels marks the buckets that aren't empty, so that the next rank is found by a
 find-first-set on each level, whatever the number of ranks. A merge leaves the entries of its neighbours in place; an entry whose pair has
 changed since is recognised by its rank and skipped. A match of n bytes takes O(n) queue operations, so matches without any break, of
-megabytes, don't take quadratic time.
+megabytes, don't take quadratic time. Matches of up to MEMO_CHARS characters are merged once and kept in a bounded memo of the worker.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes; repeated rows give equal rows; ids that
 aren't in the vocabulary raise an error in decoding; columns besides those named are dropped.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable
 from heapq import heappop, heappush
 
@@ -23,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, pick
+from .common import each_slice, pick, small_batches
 
 #: Matches up to this many characters are kept in a worker's memo, and so many of them; then the memo starts anew.
-MEMO_CHARS, MEMO_ENTRIES = 48, 400_000
+MEMO_CHARS, MEMO_ENTRIES = 48, 800_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,88 +36,80 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank; the least rank first, and within a rank the least position."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word, block = rank >> 6, rank >> 12
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[block] |= 1 << (word & 63)
-            self.top |= 1 << block
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[block]
-        word = (block << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= self.low[word] - 1
-            if not self.low[word]:
-                self.mid[block] &= self.mid[block] - 1
-                if not self.mid[block]:
-                    self.top &= self.top - 1
-        return rank, position
+#: Bits of a rank that a word of the lower bitmap stands for.
+WORD = 8
+_BIT = [1 << i for i in range(1 << WORD)]
 
 
 class Encoder:
-    """Encodes texts by ranks; one per worker."""
+    """Encodes texts by ranks; one per worker.
+
+    The rank queue: buckets holds positions by rank, each bucket a heap, so that the leftmost goes first; low has a bit for each rank with a
+    bucket, in words of 256 bits, and top a bit for each word of low that isn't 0.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=1)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.low = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)
+        self.buckets: dict[int, list[int]] = {}
         self.memo = _Memo(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one match."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
+        ranks, n, longest = self.ranks, len(piece), self.longest
+        rank_of = ranks.get
+        if (whole := rank_of(piece)) is not None:
             return [whole]
-        n, longest, push, pop = len(piece), self.longest, self.queue.push, self.queue.pop
+        low, buckets, top = self.low, self.buckets, 0
         following, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = rank_of(piece[i : i + 2])
             if rank is not None:
                 pair[i] = rank
-                push(rank, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions rise, so this keeps the heap
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> WORD
+                    low[word] |= _BIT[rank & 255]
+                    top |= 1 << word
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = (word << WORD) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
                 continue
             gone = following[i]
             after = following[i] = following[gone]
             pair[gone] = pair[i] = -1
+            changed = ()
             if after < n:
                 before[after] = i
-                end = following[after]
-                new = ranks.get(piece[i:end]) if end - i <= longest else None
-                if new is not None:
-                    pair[i] = new
-                    push(new, i)
+                changed = ((i, following[after]),)
             left = before[i]
             if left >= 0:
-                new = ranks.get(piece[left:after]) if after - left <= longest else None
-                pair[left] = -1 if new is None else new
-                if new is not None:
-                    push(new, left)
+                pair[left] = -1
+                changed += ((left, after),)
+            for at, end in changed:
+                if end - at <= longest and (rank := rank_of(piece[at:end])) is not None:
+                    pair[at] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], at)
+                    else:
+                        buckets[rank] = [at]
+                        word = rank >> WORD
+                        low[word] |= _BIT[rank & 255]
+                        top |= 1 << word
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : following[i]]])
@@ -128,6 +121,9 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, self.find(text)))
 
 
+_LITTLE = struct.Struct("<I").pack
+
+
 class _Memo(dict):
     """Ids by match. Long matches aren't kept."""
 
@@ -136,7 +132,7 @@ class _Memo(dict):
         self.encoder = encoder
 
     def __missing__(self, match: str) -> bytes:
-        ids = np.asarray(self.encoder.merge(match.encode()), "<u4").tobytes()
+        ids = np.asarray(self.encoder.merge(match.encode()), "<u4").tobytes() if len(match) > MEMO_CHARS else b"".join(map(_LITTLE, self.encoder.merge(match.encode())))
         if len(match) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
@@ -186,7 +182,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
         out = pa.array([encoder.encode(t or "") for t in part.column(text).to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([*_others(part, keep), out], [*keep, ids])
 
-    return df.mapInArrow(each_slice(work, text), schema)
+    return small_batches(df).mapInArrow(each_slice(work, text), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -200,12 +196,28 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
         out = pa.array([decoder.decode(x or b"") for x in part.column(ids).to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([*_others(part, keep), part.column(ids), out], [*keep, ids, decoded])
 
-    return df.mapInArrow(each_slice(work, ids), schema)
+    return small_batches(df).mapInArrow(each_slice(work, ids), schema)
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """encode and decode in one pass: keep, the ids, and the bytes decoded from the ids."""
+    tag, held = _shared(df.sparkSession, vocabulary)
+    df = pick(df, *keep, text)
+    schema = f"{', '.join(f'`{k}` {df.schema[k].dataType.simpleString()}' for k in keep)}, `{ids}` binary, `{decoded}` binary"
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        encoder = _once(("encode", tag, pattern), lambda: Encoder(held.value, pattern))
+        decoder = _once(("decode", tag), lambda: Decoder(held.value))
+        found = [encoder.encode(t or "") for t in part.column(text).to_pylist()]
+        out = [pa.array(found, pa.binary()), pa.array(map(decoder.decode, found), pa.binary())]
+        return pa.RecordBatch.from_arrays([*_others(part, keep), *out], [*keep, ids, decoded])
+
+    return small_batches(df).mapInArrow(each_slice(work, text), schema)
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Per document the number of ids and the digests of ids and decoded bytes."""
-    both = decode(encode(df, vocabulary, pattern), vocabulary)
+    both = round_trip(df, vocabulary, pattern)
     return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

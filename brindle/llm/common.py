@@ -58,6 +58,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lets Spark hand Python batches of some megabytes rather than its 64 MB, as each core holds several at once. A smaller setting stays."""
+    key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    said = df.sparkSession.conf.get(key).rstrip("b")
+    if not said.isdigit() or int(said) > bound:
+        df.sparkSession.conf.set(key, str(bound))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, rows: int = STEP_ROWS, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most so many rows and, but for single long texts, so many bytes of a column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
