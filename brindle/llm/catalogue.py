@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe
+from . import byte_bpe, language_id, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op6_byte_bpe": byte_bpe.query,
+    "op10_language_id": language_id.query,
 }
 ORACLES: dict[str, str] = {}
