@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import each_slice, fold, pick, small_batches, table
 
-MAX_TOXIC, MAX_CLEAN, MAX_UNITS = 1200, 1800, 120_000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, ROUNDS = 160, 64, 4
+MAX_TOXIC, MAX_CLEAN = 1200, 1800
+#: Clean words that the machine starts with, and at most so many more that it errs on in each round.
+ACTIVE = 12_000
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, ROUNDS = 160, 64, 5
 RIDGE, COST, SURE = 1.0, 3.0, 0.1
 BUCKETS_LOG, DECAY, SPANS = 18, 0.7, {2: 2, 3: 4, 4: 5}
 THRESHOLD = 0.7
@@ -101,13 +103,13 @@ def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     for u, b, x in rows:
         np.add.at(dense, (place[b], u), x)
     out = np.zeros((len(units), len(landmarks)), np.float32)
-    for start in range(0, len(units), 1000):
-        part = units[start : start + 1000]
+    for start in range(0, len(units), 500):
+        part = units[start : start + 500]
         mine = np.zeros((len(part), len(used)), np.float32)
         for u, b, x in features(part):
             hit = place[b] >= 0
             np.add.at(mine, (u[hit], place[b[hit]]), x[hit])
-        out[start : start + 1000] = mine @ dense
+        out[start : start + 500] = mine @ dense
     return out
 
 
@@ -154,8 +156,17 @@ def _sigmoid(values: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-6)), float(b)
 
 
+def _collapsed(landmarks: list[str], beta: np.ndarray) -> np.ndarray:
+    """Weights of hash buckets that give the same sums as beta on the kernel values of landmarks."""
+    weights = np.zeros(1 << BUCKETS_LOG)
+    for u, b, x in features(landmarks):
+        np.add.at(weights, b, x * beta[u])
+    return weights.astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int]) -> Model | None:
-    bags = [sorted({u for t in [*text.split(), *spaced(text)] for u in units_of(t)}) for text in texts]
+    same: dict[str, str] = {}
+    bags = [sorted({same.setdefault(u, u) for t in {*text.split(), *spaced(text)} for u in units_of(t)}) for text in texts]
     kept = [(b, y) for b, y in zip(bags, labels) if b]
     toxic, clean = [b for b, y in kept if y], [b for b, y in kept if not y]
     if not toxic or not clean:
@@ -163,42 +174,47 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     of_toxic, of_clean = Counter(u for b in toxic for u in b), Counter(u for b in clean for u in b)
     share = lambda u: (of_toxic[u] + 0.1) / (len(toxic) + 1) / ((of_clean[u] + 0.1) / (len(clean) + 1))
     tied = sorted(of_toxic, key=lambda u: (-of_toxic[u] * np.log(share(u)), u))
-    landmarks = tied[:TOXIC_LANDMARKS] + [u for u, _ in sorted(of_clean.items(), key=lambda x: (-x[1], x[0]))][:CLEAN_LANDMARKS]
-    landmarks = list(dict.fromkeys(landmarks))
-    negatives = [u for u, _ in sorted(of_clean.items(), key=lambda x: (-x[1], x[0]))][:MAX_UNITS]
+    negatives = [u for u, _ in sorted(of_clean.items(), key=lambda x: (-x[1], x[0]))]
+    landmarks = list(dict.fromkeys(tied[:TOXIC_LANDMARKS] + negatives[:CLEAN_LANDMARKS]))
     # A toxic document's words that no clean one has: others can't be witnesses.
     odd = [[u for u in b if u not in of_clean] or b for b in toxic]
     candidates = sorted({u for b in odd for u in b})
     row = {u: i for i, u in enumerate(candidates)}
+    rank = {u: i for i, u in enumerate(tied)}
     own, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(own, 1e-3))) @ vectors.T
-    low, high = (kernel(negatives, landmarks) @ root).astype(np.float32), (kernel(candidates, landmarks) @ root).astype(np.float32)
-    rank = {u: i for i, u in enumerate(tied)}
-    witness = [row[min(b, key=rank.__getitem__)] for b in odd]
-    at = [np.array([row[u] for u in b]) for b in odd]
+    points = lambda units: (kernel(units, landmarks) @ root).astype(np.float32)
+    witness = [min(b, key=rank.__getitem__) for b in odd]
     # Words that no clean document has and many toxic ones have are witnesses in any case.
-    sure = np.array([row[u] for u in candidates if not of_clean[u] and of_toxic[u] >= max(4, SURE * len(toxic))], int)
+    sure = [u for u in candidates if not of_clean[u] and of_toxic[u] >= max(4, SURE * len(toxic))]
+    active, low, weights, bias = set(negatives[:ACTIVE]), points(negatives[:ACTIVE]), None, 0.0
     for _ in range(ROUNDS):
-        chosen, times = np.unique(witness, return_counts=True)
-        chosen, times = np.concatenate([chosen, sure]), np.concatenate([times, np.full(len(sure), 9)])
-        x = np.concatenate([high[chosen], low])
+        times = Counter(witness)
+        chosen = [*times, *sure]
         y = np.concatenate([np.ones(len(chosen)), -np.ones(len(low))])
-        w = _machine(x, y, np.concatenate([COST * np.sqrt(times), np.full(len(low), 1.0)]))
-        value = high @ w[:-1] + w[-1]
-        again = [int(a[np.argmax(value[a])]) for a in at]
-        if again == witness:
+        cost = np.concatenate([COST * np.sqrt([*times.values(), *[9] * len(sure)]), np.ones(len(low))])
+        w = _machine(np.concatenate([points(chosen), low]), y, cost)
+        weights, bias = _collapsed(landmarks, root @ w[:-1]), float(w[-1])
+        value = _weigh_all(candidates, weights)
+        again = [max(b, key=lambda u: (value[row[u]], u)) for b in odd]
+        off = _weigh_all(negatives, weights) + bias
+        worst = [negatives[i] for i in np.argsort(-off, kind="stable")[:ACTIVE] if off[i] > -1 and negatives[i] not in active]
+        if again == witness and not worst:
             break
         witness = again
-    beta, weights = root @ w[:-1], np.zeros(1 << BUCKETS_LOG)
-    for u, b, x in features(landmarks):
-        np.add.at(weights, b, x * beta[u])
-    model = Model(weights.astype(np.float32), float(w[-1]), 1.0, 0.0)
-    scorer = Scorer(model)
-    values = np.array(scorer.values(texts))
+        if worst:
+            active.update(worst)
+            low = np.concatenate([low, points(worst)])
+    model = Model(weights, bias, 1.0, 0.0)
+    values = np.concatenate([Scorer(model).values(texts[i : i + 100]) for i in range(0, len(texts), 100)])
     model.slope, model.shift = _sigmoid(values, np.array(labels, float))
     return model
 
 
+def _weigh_all(units: list[str], weights: np.ndarray) -> np.ndarray:
+    return np.concatenate([weigh(units[i : i + 10_000], weights) for i in range(0, len(units), 10_000)])
+
+
 class Scorer:
     """Margins of texts; one per worker and model."""
 
