@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, toxicity
+from . import byte_bpe, chat, language_id, sharding, toxicity
 
 QUERIES = {
+    "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
     "op6_byte_bpe": byte_bpe.query,
+    "op8_chat": chat.query,
     "op10_language_id": language_id.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_sharding": sharding.ORACLE,
+    "op8_chat": chat.ORACLE,
+}
