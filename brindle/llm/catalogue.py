@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, language_id, sharding, toxicity
+from . import byte_bpe, chat, jaccard, language_id, sharding, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
     "op6_byte_bpe": byte_bpe.query,
     "op8_chat": chat.query,
+    "op9_jaccard": jaccard.query,
     "op10_language_id": language_id.query,
 }
 ORACLES: dict[str, str] = {
