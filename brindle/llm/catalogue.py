@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, jaccard, language_id, sharding, toxicity
+from . import byte_bpe, chat, decontaminate, jaccard, language_id, sharding, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
     "op6_byte_bpe": byte_bpe.query,
