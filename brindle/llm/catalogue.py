@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, jaccard, language_id, sharding, toxicity
+from . import byte_bpe, chat, decontaminate, jaccard, language_id, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
     "op6_byte_bpe": byte_bpe.query,
+    "op7_warc": warc.query,
     "op8_chat": chat.query,
     "op9_jaccard": jaccard.query,
     "op10_language_id": language_id.query,
