@@ -13,7 +13,8 @@ a document within a third of the next band is listed in both.
 Stages.
 1. Every row gets its set's size and 128-bit fingerprint, and each task counts shingles in a fixed number of slots. Equal sets become one node.
 2. Nodes' pieces are dealt by piece. Pieces of a single node go.
-3. Every node is verified against one leader, the least of the nodes that it shares most pieces with: Hamming distance of narrow sketches first, then the sets.
+3. Every node is verified against one leader, the least of the nodes that it shares most pieces with: first by the Hamming distance of their sketches, of two bits a
+   shingle, then, for the few that are left, by their sets, which are taken from the texts again rather than stored for all.
 4. Pieces whose nodes aren't all connected by now give all their pairs across components, those already tried left out; these are verified, too. So a group of
    near copies takes one verification a node, and no link between components is missed.
 5. Components are joined to the rows by fingerprint.
@@ -58,9 +59,9 @@ def _texts(part: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a row's id, size and fingerprint. kind 1: a slot and its count in this task, where that is large for the task."""
+    """kind 0: a row's id, size, fingerprint and sketch. kind 1: a slot and its count in this task, where that is large for the task."""
     slots, rows = np.zeros(SLOTS, np.int32), 0
-    names = ["kind", "doc_id", "n", "f1", "f2"]
+    names = ["kind", "doc_id", "n", "f1", "f2", "sketch"]
     for batch in batches:
         for part in slices(batch, "text", size=BYTES):
             sets = shingles(_texts(part))
@@ -68,12 +69,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, n = np.unique(np.concatenate(sets) & _U(SLOTS - 1), return_counts=True)
             slots[at.astype(np.int64)] += n.astype(np.int32)
             prints = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _ints(prints[:, 0].copy()), _ints(prints[:, 1].copy())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _ints(prints[:, 0].copy()), _ints(prints[:, 1].copy()), pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())], names)
     common = np.nonzero(slots >= max(4, rows // 4000))[0]
     for start in range(0, len(common), 100_000):
         at = common[start : start + 100_000]
         zero = pa.array(np.zeros(len(at), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(slots[at].astype(np.int64)), zero, zero], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(slots[at].astype(np.int64)), zero, zero, pa.nulls(len(at), pa.binary())], names)
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -106,7 +107,7 @@ def pieces(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parity sketch of a width that is a power of two; halves of a wider one fold by exclusive-or into a narrower one."""
-    width = min(LARGEST, max(SMALLEST, 1 << (4 * len(s) - 1).bit_length()))
+    width = min(LARGEST, max(SMALLEST, 1 << (2 * len(s) - 1).bit_length()))
     at = (mix(s, 6) & _U(width - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -136,9 +137,9 @@ class _Join:
         self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession)
 
     def measured(self) -> None:
-        schema = f"kind int, doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, n long, f1 long, f2 long"
+        schema = f"kind int, doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, n long, f1 long, f2 long, sketch binary"
         found = self.scratch.keep(self.docs.mapInArrow(_measure, schema), "measured")
-        self.rows = found.filter("kind = 0").drop("kind")
+        self.rows, self.sketches = found.filter("kind = 0").drop("kind", "sketch"), found.filter("kind = 0 AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "sketch")
         nodes = self.rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
         self.nodes = self.scratch.keep(nodes, "nodes")
         total = self.rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -174,26 +175,22 @@ class _Join:
         self.shared = self.scratch.keep(shared, "shared")
         self.scratch.drop("several")
 
-    def fetched(self) -> None:
-        """The sets and sketches of the nodes that share pieces. A bitmap of a fixed size drops most other rows before they are split into words."""
-        needed = self.scratch.keep(self.shared.select("node").distinct(), "needed")
-        bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-        words = needed.select((bit / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-        packed = self.spark.sparkContext.broadcast((words["w"].to_numpy(np.int64), words["b"].to_numpy(np.int64)))
+    def members(self, nodes: DataFrame, name: str) -> DataFrame:
+        """The sets of some nodes, from the texts. A bitmap of FILTER_BITS bits, so of a bounded size whatever the input, is broadcast and drops most other
+        rows before they are split into words; a join drops the rest."""
+        nodes = self.scratch.keep(nodes.distinct(), f"{name}-nodes")
+        bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        words = nodes.select(F.shiftright(bit("node"), 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        docs = self.docs.filter("doc_id IS NOT NULL").withColumn("w", F.shiftright(bit("doc_id"), 6)).join(F.broadcast(words), "w")
+        docs = docs.filter(F.expr(f"(shiftrightunsigned(b, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int)) & 1) = 1")).select("doc_id", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-            bitmap[packed.value[0]] = packed.value[1]
             for batch in batches:
-                at = batch.column("bit").to_numpy()
-                batch = batch.filter(pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1))
                 for part in slices(batch, "text", rows=512, size=BYTES):
-                    sets = shingles(_texts(part))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64).tobytes() for s in sets], pa.binary()), pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())], ["node", "members", "sketch"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingles(_texts(part))], pa.binary())], ["node", "members"])
 
-        docs = self.docs.filter("doc_id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-        sets = docs.mapInArrow(run, f"node {self.docs.schema['doc_id'].dataType.simpleString()}, members binary, sketch binary").join(needed, "node", "left_semi").filter("octet_length(members) > 0")
-        self.sets = self.scratch.keep(sets, "sets")
+        sets = docs.mapInArrow(run, f"node {self.docs.schema['doc_id'].dataType.simpleString()}, members binary").filter("octet_length(members) > 0")
+        return self.scratch.keep(sets.join(nodes, "node", "left_semi"), f"{name}-sets")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of pairs(x, y) that link."""
@@ -210,13 +207,13 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        size = (F.octet_length("members") / 8).cast("long")
-        a = self.sets.select(F.col("node").alias("x"), size.alias("nx"), F.col("sketch").alias("sx"))
-        b = self.sets.select(F.col("node").alias("y"), size.alias("ny"), F.col("sketch").alias("sy"))
-        close = self.scratch.keep(pairs.join(a, "x").join(b, "y").mapInArrow(near, f"x {kind}, y {kind}"), f"{name}-near").distinct()
-        a = self.sets.select(F.col("node").alias("x"), F.col("members").alias("mx"))
-        b = self.sets.select(F.col("node").alias("y"), F.col("members").alias("my"))
-        return self.scratch.keep(close.join(a, "x").join(b, "y").mapInArrow(equal, f"x {kind}, y {kind}"), name)
+        a, b = (self.near.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "xy")
+        close = self.scratch.keep(pairs.join(a, "x").join(b, "y").mapInArrow(near, f"x {kind}, y {kind}").distinct(), f"{name}-near")
+        sets = self.members(close.select(F.col("x").alias("node")).unionByName(close.select(F.col("y").alias("node"))), name)
+        a, b = (sets.select(F.col("node").alias(k), F.col("members").alias(f"m{k}")) for k in "xy")
+        found = self.scratch.keep(close.join(a, "x").join(b, "y").mapInArrow(equal, f"x {kind}, y {kind}"), name)
+        self.scratch.drop(f"{name}-sets")
+        return found
 
     def run(self) -> DataFrame:
         self.measured()
@@ -224,7 +221,9 @@ class _Join:
         if self.shared.isEmpty():
             found = None
         else:
-            self.fetched()
+            needed = self.shared.select("node").distinct()
+            sketches = self.sketches.withColumnRenamed("doc_id", "node").join(needed, "node", "left_semi")
+            self.near = self.scratch.keep(sketches, "sketches")
             found = self._linked()
         ids = self.nodes.select("f1", "f2", "n", "node", "rows")
         if found is None:
