@@ -70,12 +70,17 @@ def record(page_id, url: str, payload: bytes, refers_to, is_revisit: bool, date:
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive file, one member at a time."""
-    while data:
-        press = zlib.decompressobj(31)
-        text = press.decompress(data) + press.flush()
-        if not press.eof:
-            raise ValueError("the file is cut")
-        data = press.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        # Fed in pieces, as the rest of what is fed is copied at the end of each member.
+        press, parts = zlib.decompressobj(31), []
+        while not press.eof:
+            if at >= len(view):
+                raise ValueError("the file is cut")
+            parts.append(press.decompress(view[at : at + 8192]))
+            at = min(len(view), at + 8192)
+        at -= len(press.unused_data)
+        text = b"".join(parts)
         if not text:
             continue
         head, _, rest = text.partition(b"\r\n\r\n")
