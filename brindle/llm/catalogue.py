@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, jaccard, language_id, media, sharding, toxicity, warc
+from . import byte_bpe, chat, decontaminate, jaccard, language_id, licenses, media, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
+    "op4_licenses": licenses.query,
     "op5_media": media.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_warc": warc.query,
