@@ -19,13 +19,15 @@ from collections.abc import Iterable
 from heapq import heappop, heappush
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, pick, small_batches
+from .common import each_slice, pick, small_batches, table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Matches up to this many characters are kept in a worker's memo, and so many of them; then the memo starts anew.
 MEMO_CHARS, MEMO_ENTRIES = 48, 800_000
 
@@ -222,6 +224,10 @@ def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the ids of each whole text, and their number."""
+    ids = encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    return ids.withColumn("n_tokens", F.expr("octet_length(ids) div 4").cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import byte_bpe, chat, decontaminate, jaccard, language_id, licenses, media, sharding, toxicity, warc
 
 QUERIES = {
@@ -15,8 +17,11 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_jaccard": jaccard.query,
     "op10_language_id": language_id.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_sharding": sharding.ORACLE,
     "op8_chat": chat.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -198,6 +198,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is told; rejected ones go."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("row"), "text")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
     return identify(packed, train(*sample(docs)), keep=("row",)).filter(~F.col("rejected")).select("row.*")

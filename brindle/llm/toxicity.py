@@ -279,6 +279,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted toxic."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("row"), "text")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
     return score(packed, train(*sample(docs, table(spark, sf_dir, "labels"))), keep=("row",)).filter("predicted = 0").select("row.*")
