@@ -4,19 +4,25 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
 at most (a + b) / 7 shingles, which is at most b / 3, and at most 2 a / 7.
 
 Pieces. Shingles are hashed to bits of a parity sketch: a bit is the exclusive-or of the shingles that hit it, so a shingle in one set only flips one bit of
-the sketch, and the Hamming distance of two sketches is at most the symmetric difference. The sketch is cut into P pieces, P set by the band of sizes. With
-a difference of D shingles at most D pieces differ; if each document lists its D + 1 pieces that come first in one fixed order of all pieces, two linked
-documents list a piece in common. That order puts pieces of rare shingles first, so that passages, boilerplate and large groups of copies make few common
-pieces; any order gives the same links. A piece is so wide that its content is told by the exclusive-or of its shingles' 64-bit words. Bands are powers of four;
-a document within a third of the next band is listed in both.
+the sketch, and the Hamming distance of two sketches is at most the symmetric difference. The sketch is cut into pieces, their number set by the band of sizes,
+and a piece is so wide that its content is told by the exclusive-or of its shingles' 64-bit words. D shingles that the other set lacks change D pieces at most;
+if each document lists the D + 1 of its pieces that come first in one fixed order of all pieces, D being a quarter of its shingles, two linked documents list a
+piece in common. The order puts pieces of rare shingles first, so that passages, boilerplate and large groups of copies make few common pieces; any order
+gives the same links. Bands are powers of four; a document within a third of the next band is listed in both.
+
+Positions. Take the first piece that two linked documents have in common, at position i of the list of the document with a shingles. The i pieces before are missing
+from the other document, so i is at most (4 a - 3 b) / 7: a listed piece can be shared so with partners of up to (4 a - 7 i) / 3 shingles, and it carries this
+limit. Only pairs within each other's limits are taken. So documents that share a passage, but have text of their own, make no pair, however many there are,
+and neither do copies that have drifted too far. A piece changes, too, if a shingle that only the other set has is hashed to the same place; there are so many
+places that such pieces are within SLACK.
 
 Stages.
-1. Every row gets its set's size and 128-bit fingerprint, and each task counts shingles in a fixed number of slots. Equal sets become one node.
-2. Nodes' pieces are dealt by piece. Pieces of a single node go.
-3. Every node is verified against one leader, the least of the nodes that it shares most pieces with: first by the Hamming distance of their sketches, of two bits a
-   shingle, then, for the few that are left, by their sets, which are taken from the texts again rather than stored for all.
-4. Pieces whose nodes aren't all connected by now give all their pairs across components, those already tried left out; these are verified, too. So a group of
-   near copies takes one verification a node, and no link between components is missed.
+1. Every row gets its set's size, 128-bit fingerprint and sketch, and each task counts shingles in a fixed number of slots. Equal sets become one node.
+2. Nodes' pieces are dealt by piece. Pieces of a single node, and those beyond the limits of any partner, go.
+3. Every node is verified against one leader, of its pieces' nodes with the widest limits that with which it shares most: first by the Hamming distance of their sketches,
+   of two bits a shingle, then, for the few that are left, by their sets, which are taken from the texts again rather than stored for all.
+4. Pieces whose nodes aren't all connected by now give their other pairs of different components, those already tried left out, where one of the two is outside
+   the leader's component; these are verified, too. So a group of near copies takes one verification a node, and no link between components is missed.
 5. Components are joined to the rows by fingerprint.
 
 Defined results: a text with fewer than five words is one shingle, its whole sequence; null texts and texts without words have no shingles and link with
@@ -81,13 +87,21 @@ def bands(n: int) -> list[tuple[int, int]]:
     """(band, pieces) in which a set of n shingles is listed."""
     band = (n.bit_length() - 1) // 2
     top = 4 ** (band + 1)
-    return [(k, max(64, 2 * (4 ** (k + 1) // 3 + 1))) for k in ([band, band + 1] if 4 * n >= 3 * top else [band])]
+    return [(k, min(1 << 31, 4 ** (k + 1) << 16)) for k in ([band, band + 1] if 4 * n >= 3 * top else [band])]
 
 
-def pieces(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Keys of the pieces that a set lists: with n shingles the n // 3 + 1 first in order. levels: how common each shingle is."""
-    out, need = [], len(s) // 3 + 1
-    for band, count in bands(len(s)):
+def slack(n: int) -> int:
+    """Places at which a piece may be changed by a shingle of the other set only. There are 65536 n places or more, and less than n / 7 such shingles for the n / 4
+    pieces listed: a thousandth of one up to 2048 shingles, so one is allowed for, and one more with each 1024 shingles."""
+    return 1 + n // 1024
+
+
+def pieces(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pieces that a set lists, and the largest partner for each: with n shingles the n // 4 + 1 first in order, and as many more as the slack
+    allows. levels: how common each shingle is."""
+    n = len(s)
+    keys, need = [], n // 4 + 1 + slack(n)
+    for band, count in bands(n):
         piece = ((s >> _U(32)) * _U(count)) >> _U(32)
         order = np.argsort(piece, kind="stable")
         piece = piece[order]
@@ -95,14 +109,9 @@ def pieces(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
         content = np.bitwise_xor.reduceat(mix(s[order], 3), first)
         level = np.minimum.reduceat(levels[order], first)
         key = mix(content ^ mix(piece[first] + _U(band << 40), 4))
-        if len(key) > need:
-            rank = (level.astype(np.uint64) << _U(58)) | (key >> _U(6))
-            key = key[np.argpartition(rank, need - 1)[:need]]
-        elif len(key) < need:  # empty pieces come last
-            empty = mix(np.setdiff1d(np.arange(count, dtype=np.uint64), piece[first]) + _U(band << 40), 5)
-            key = np.concatenate([key, np.sort(empty)[: need - len(key)]])
-        out.append(key)
-    return np.concatenate(out)
+        rank = np.argsort((level.astype(np.uint64) << _U(58)) | (key >> _U(6)))
+        keys.append(key[rank[:need]])
+    return np.concatenate(keys), np.concatenate([(4 * n - 7 * (np.arange(len(k)) - slack(n))) // 3 for k in keys])
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -151,29 +160,33 @@ class _Join:
         self.levels = self.spark.sparkContext.broadcast(levels)
 
     def listed(self) -> None:
-        """Pieces shared by several nodes: key, node, n."""
+        """Pieces shared by several nodes that may pair: key, node, n, most."""
         held = self.levels
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
                 for part in slices(batch, "text", rows=512, size=BYTES):
-                    keys, prints = [], []
+                    found, prints, sizes = [], [], []
                     for s in shingles(_texts(part)):
                         f = fingerprint(s)[0]
                         if len(s) and f not in seen:
                             seen.add(f)
-                            keys.append(pieces(s, held.value[(s & _U(SLOTS - 1)).astype(np.int64)]))
-                            prints.append(np.full(len(keys[-1]), f, np.uint64))
-                    if keys:
-                        yield pa.RecordBatch.from_arrays([_ints(np.concatenate(keys)), _ints(np.concatenate(prints))], ["key", "f1"])
-
+                            found.append(pieces(s, held.value[(s & _U(SLOTS - 1)).astype(np.int64)]))
+                            prints.append(np.full(len(found[-1][0]), f, np.uint64))
+                            sizes.append(np.full(len(found[-1][0]), len(s), np.int32))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([_ints(np.concatenate([k for k, _ in found])), _ints(np.concatenate(prints)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate([m for _, m in found]).astype(np.int32))], ["key", "f1", "n", "most"])
+
+        listed = self.docs.filter("doc_id IS NOT NULL").mapInArrow(run, "key long, f1 long, n int, most int")
+        self.shared = self.scratch.keep(self._several(listed, "f1").distinct().join(self.nodes.select("f1", "n", "node"), ["f1", "n"]).select("key", "node", "n", "most"), "shared")
+
+    @staticmethod
+    def _several(rows: DataFrame, column: str) -> DataFrame:
+        """Rows of keys with more than one value of a column, and with a partner within limits."""
         keyed = Window.partitionBy("key")
-        listed = self.docs.filter("doc_id IS NOT NULL").mapInArrow(run, "key long, f1 long")
-        several = listed.withColumns({"low": F.min("f1").over(keyed), "high": F.max("f1").over(keyed)}).filter("low <> high").select("key", "f1")
-        shared = self.scratch.keep(several, "several").distinct().join(self.nodes.select("f1", "node", "n"), "f1").select("key", "node", "n")
-        self.shared = self.scratch.keep(shared, "shared")
-        self.scratch.drop("several")
+        rows = rows.withColumns({"low": F.min(column).over(keyed), "high": F.max(column).over(keyed), "smallest": F.min("n").over(keyed), "widest": F.max("most").over(keyed)})
+        return rows.filter("low <> high AND smallest <= most AND n <= widest").drop("low", "high", "smallest", "widest")
 
     def members(self, nodes: DataFrame, name: str) -> DataFrame:
         """The sets of some nodes, from the texts. A bitmap of FILTER_BITS bits, so of a bounded size whatever the input, is broadcast and drops most other
@@ -237,19 +250,21 @@ class _Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
     def _linked(self) -> DataFrame:
-        least = self.shared.withColumn("low", F.min(F.struct("node", "n")).over(Window.partitionBy("key"))).filter("node <> low.node")
-        least = least.filter(F.lit(DENOMINATOR) * F.least("n", "low.n") >= F.lit(NUMERATOR) * F.greatest("n", "low.n"))
-        leader = least.groupBy("node", F.col("low.node").alias("leader")).agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("leader", F.struct(F.col("k"), -F.col("leader"))).alias("leader"))
+        keyed = Window.partitionBy("key")
+        first_of = F.min(F.struct((F.col("n") - F.col("most")).alias("tight"), "node", "n", "most")).over(keyed)
+        least = self.shared.withColumn("low", first_of).filter("node <> low.node AND n <= low.most AND low.n <= most")
+        leader = least.groupBy("node", F.col("low.node").alias("leader")).agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.min_by("leader", F.struct(-F.col("k"), "leader")).alias("leader"))
         tried = self.scratch.keep(leader.select(F.col("node").alias("x"), F.col("leader").alias("y")), "tried")
         first = self.verified(tried, "first")
         found = self.scratch.keep(components(first.select(F.col("x").alias("u"), F.col("y").alias("v")), self.scratch, "c1"), "component1")
         rows = self.shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        keyed = Window.partitionBy("key")
-        rows = rows.withColumns({"low": F.min("component").over(keyed), "high": F.max("component").over(keyed)}).filter("low <> high").select("key", "node", "n", "component")
-        rows = self.scratch.keep(rows, "apart")
-        x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component"))) for k in "xy")
-        pairs = x.join(y, "key").filter("node_x > node_y AND component_x <> component_y").filter(F.lit(DENOMINATOR) * F.least("n_x", "n_y") >= F.lit(NUMERATOR) * F.greatest("n_x", "n_y"))
-        pairs = pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+        main = F.min(F.struct((F.col("n") - F.col("most")).alias("tight"), "node", "component")).over(keyed)["component"]
+        rows = self._several(rows, "component").withColumn("outside", F.col("component") != main)
+        rows = self.scratch.keep(self._several(rows, "component"), "apart")
+        x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "most", "component", "outside"))) for k in "xy")
+        met = x.filter("outside_x").join(y, "key").filter("component_x <> component_y AND n_x <= most_y AND n_y <= most_x AND (NOT outside_y OR node_x < node_y)")
+        pairs = met.select(F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")).distinct()
+        pairs = pairs.join(tried.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti")
         second = self.verified(pairs, "second")
         if second.isEmpty():
             return found
