@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, pick, slices, small_batches, table
+from .common import Scratch, each_slice, pick, slices, small_batches, table
 
 THRESHOLD = 0.6
 WORD = re.compile(r"[a-z0-9]+")
+WORD_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
 
 #: SPDX names and the sentences by which their licenses are announced.
@@ -104,10 +105,15 @@ class Index:
         at = max(range(len(found)), key=lambda i: (round(found[i], 9), -i))
         return round(found[at], 6), at
 
+    @staticmethod
+    def _apart(text: str, end: int, size: int) -> bool:
+        """Whether no letter or digit stands on either side of a match."""
+        return (end + 1 == len(text) or text[end + 1] not in WORD_CHARACTERS) and (end < size or text[end - size] not in WORD_CHARACTERS)
+
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """License and cosine of the text's likest part, and whether the text as a whole is a licence file."""
         lowered = text.lower() if text else ""
-        if not lowered or not self.telling or not (hits := [end for end, _ in self.finder.iter(lowered)]):
+        if not lowered or not self.telling or not (hits := [end for end, w in self.finder.iter(lowered) if self._apart(lowered, end, len(w))]):
             return None, 0.0, False
         whole, at = self.best(lowered)
         is_file, best = whole >= self.threshold, (whole, at)
@@ -186,4 +192,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     lang, number = F.coalesce("lang", F.lit("und")), F.concat(F.lit("d"), (F.col("doc_id") % 8).cast("string"))
     path = F.when(F.col("doc_id") % 5 == 0, F.concat_ws("/", "source", name)).when(F.col("doc_id") % 5 == 1, F.concat_ws("/", "source", lang, name)).otherwise(F.concat_ws("/", "source", lang, number, name))
-    return inherit(detect(docs.select("doc_id", path.alias("path"), "text")))
+    # What is found is read three times: as files, as licence files and as directories.
+    found = Scratch(spark).keep(detect(docs.select("doc_id", path.alias("path"), "text")), "found")
+    return inherit(found)
