@@ -110,10 +110,14 @@ class Index:
         """Whether no letter or digit stands on either side of a match."""
         return (end + 1 == len(text) or text[end + 1] not in WORD_CHARACTERS) and (end < size or text[end - size] not in WORD_CHARACTERS)
 
+    def finder_hits(self, text: str) -> list[int]:
+        """Ends of the telling words in a text."""
+        return [end for end, w in self.finder.iter(text) if self._apart(text, end, len(w))]
+
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """License and cosine of the text's likest part, and whether the text as a whole is a licence file."""
         lowered = text.lower() if text else ""
-        if not lowered or not self.telling or not (hits := [end for end, w in self.finder.iter(lowered) if self._apart(lowered, end, len(w))]):
+        if not lowered or not self.telling or not (hits := self.finder_hits(lowered)):
             return None, 0.0, False
         whole, at = self.best(lowered)
         is_file, best = whole >= self.threshold, (whole, at)
@@ -123,10 +127,9 @@ class Index:
             if line not in seen:
                 seen.add(line)
                 best = max(best, self.best(lowered[line[0] : line[1] if line[1] >= 0 else None]), key=lambda x: (x[0], -x[1]))
-        if len(seen) > 1:
-            for part in PARAGRAPH.split(lowered):
-                if "\n" in part.strip("\n"):
-                    best = max(best, self.best(part), key=lambda x: (x[0], -x[1]))
+        for part in PARAGRAPH.split(lowered):
+            if "\n" in part.strip("\n") and len(part) < len(lowered) and self.finder_hits(part):
+                best = max(best, self.best(part), key=lambda x: (x[0], -x[1]))
         return (self.names[best[1]], best[0], is_file) if best[0] >= self.threshold else (None, best[0], False)
 
 
