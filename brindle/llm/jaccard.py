@@ -17,7 +17,8 @@ and neither do copies that have drifted too far. A piece changes, too, if a shin
 places that such pieces are within SLACK.
 
 Stages.
-1. Every row gets its set's size, 128-bit fingerprint and sketch, and each task counts shingles in a fixed number of slots. Equal sets become one node.
+1. Every row gets its set's size, 128-bit fingerprint and sketch, and shingles are counted over all rows in a fixed number of slots: a slot far above the mean
+   holds a common one. Equal sets become one node.
 2. Nodes' pieces are dealt by piece. Pieces of a single node, and those beyond the limits of any partner, go.
 3. Every node is verified against one leader, of its pieces' nodes with the widest limits that with which it shares most: first by the Hamming distance of their sketches,
    of two bits a shingle, then, for the few that are left, by their sets, which are taken from the texts again rather than stored for all.
@@ -32,6 +33,8 @@ length are read whole; an empty table gives no rows; columns besides doc_id and
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +48,8 @@ from .shingles import mix, shingles
 
 _U = np.uint64
 NUMERATOR, DENOMINATOR = 75, 100
-#: Counters of shingles, and the least share of counters that the broadcast table of common ones may hold on average counts.
-SLOTS = 1 << 22
+#: Counters of shingles, in blocks that are added up apart. A byte of each is broadcast.
+SLOTS, BLOCKS = 1 << 22, 64
 SMALLEST, LARGEST = 256, 1 << 16  # bits of the sketch that is compared
 BYTES = 2 << 20
 FILTER_BITS = 1 << 27
@@ -65,22 +68,39 @@ def _texts(part: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a row's id, size, fingerprint and sketch. kind 1: a slot and its count in this task, where that is large for the task."""
-    slots, rows = np.zeros(SLOTS, np.int32), 0
-    names = ["kind", "doc_id", "n", "f1", "f2", "sketch"]
+    """kind 0: a row's id, size, fingerprint and sketch. kind 1: the counts of a block of slots in this task, compressed."""
+    slots, names = np.zeros(SLOTS, np.uint32), ["kind", "doc_id", "n", "f1", "f2", "sketch"]
+    kind = None
     for batch in batches:
         for part in slices(batch, "text", size=BYTES):
             sets = shingles(_texts(part))
-            rows += len(sets)
+            kind = part.column("doc_id").type
             at, n = np.unique(np.concatenate(sets) & _U(SLOTS - 1), return_counts=True)
-            slots[at.astype(np.int64)] += n.astype(np.int32)
+            slots[at.astype(np.int64)] += n.astype(np.uint32)
             prints = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _ints(prints[:, 0].copy()), _ints(prints[:, 1].copy()), pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())], names)
-    common = np.nonzero(slots >= max(4, rows // 4000))[0]
-    for start in range(0, len(common), 100_000):
-        at = common[start : start + 100_000]
-        zero = pa.array(np.zeros(len(at), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(slots[at].astype(np.int64)), zero, zero, pa.nulls(len(at), pa.binary())], names)
+    if kind is not None:
+        parts = [(k, zlib.compress(block.astype("<u4").tobytes(), 1)) for k, block in enumerate(slots.reshape(BLOCKS, -1)) if block.any()]
+        zero = pa.array(np.zeros(len(parts), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(parts), np.int32)), pa.nulls(len(parts), kind), pa.array([k for k, _ in parts], pa.int64()), zero, zero, pa.array([z for _, z in parts], pa.binary())], names)
+
+
+def _levels(mean: float):
+    """Adds up the counts of each block of slots and tells how far a slot is above what chance gives: 0 up to four deviations of the mean, then one for each doubling."""
+    least = mean + 4 * math.sqrt(mean) + 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, z in zip(batch.column("n").to_pylist(), batch.column("sketch").to_pylist()):
+                block = np.frombuffer(zlib.decompress(z), "<u4").astype(np.int64)
+                sums[k] = sums[k] + block if k in sums else block
+        for k, total in sums.items():
+            over = np.maximum(total - mean, 1.0) / (least - mean)
+            level = np.where(total < least, 0, np.minimum(40, 1 + np.floor(2 * np.log2(np.maximum(over, 1.0))))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([level.tobytes()], pa.binary())], ["n", "levels"])
+
+    return run
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -152,11 +172,12 @@ class _Join:
         nodes = self.rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
         self.nodes = self.scratch.keep(nodes, "nodes")
         total = self.rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        # At most a quarter of the slots can hold four times the average, whatever the input.
-        least = max(32, total["rows"] // 2000, 4 * total["n"] // SLOTS)
-        common = found.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-        levels = np.zeros(SLOTS, np.uint8)
-        levels[common["doc_id"].to_numpy(np.int64)] = np.minimum(40, 1 + np.log2(np.maximum(1, common["n"].to_numpy(float) / least))).astype(np.uint8)
+        # Blocks of slots are dealt out and added up one after another, so that a task holds a sum and not all tasks' counts.
+        dealt = found.filter("kind = 1").select("n", "sketch").repartition(BLOCKS, "n")
+        levels = np.zeros((BLOCKS, SLOTS // BLOCKS), np.uint8)
+        for row in dealt.mapInArrow(_levels(total["n"] / SLOTS), "n long, levels binary").collect():
+            levels[row["n"]] = np.frombuffer(row["levels"], np.uint8)
+        levels = levels.reshape(-1)
         self.levels = self.spark.sparkContext.broadcast(levels)
 
     def listed(self) -> None:
