@@ -181,7 +181,7 @@ class _Join:
         self.levels = self.spark.sparkContext.broadcast(levels)
 
     def listed(self) -> None:
-        """Pieces shared by several nodes that may pair: key, node, n, most."""
+        """Pieces shared by several nodes that may pair: key, node, n, most, pieces."""
         held = self.levels
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,12 @@ class _Join:
                         yield pa.RecordBatch.from_arrays([_ints(np.concatenate([k for k, _ in found])), _ints(np.concatenate(prints)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate([m for _, m in found]).astype(np.int32))], ["key", "f1", "n", "most"])
 
         listed = self.docs.filter("doc_id IS NOT NULL").mapInArrow(run, "key long, f1 long, n int, most int")
-        self.shared = self.scratch.keep(self._several(listed, "f1").distinct().join(self.nodes.select("f1", "n", "node"), ["f1", "n"]).select("key", "node", "n", "most"), "shared")
+        several = self._several(listed, "f1").distinct().join(self.nodes.select("f1", "n", "node"), ["f1", "n"]).select("key", "node", "n", "most")
+        # Documents with long passages in common share many pieces with the same others. Pieces of equal nodes become one, with the widest limits.
+        keyed = Window.partitionBy("key")
+        members = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(keyed), F.bit_xor(F.xxhash64(F.lit("second"), "node")).over(keyed), F.count(F.lit(1)).over(keyed))
+        shared = several.withColumn("members", members).groupBy(F.col("members").alias("key"), "node", "n").agg(F.max("most").alias("most"), F.count(F.lit(1)).alias("pieces"))
+        self.shared = self.scratch.keep(shared, "shared")
 
     @staticmethod
     def _several(rows: DataFrame, column: str) -> DataFrame:
@@ -274,7 +279,7 @@ class _Join:
         keyed = Window.partitionBy("key")
         first_of = F.min(F.struct((F.col("n") - F.col("most")).alias("tight"), "node", "n", "most")).over(keyed)
         least = self.shared.withColumn("low", first_of).filter("node <> low.node AND n <= low.most AND low.n <= most")
-        leader = least.groupBy("node", F.col("low.node").alias("leader")).agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.min_by("leader", F.struct(-F.col("k"), "leader")).alias("leader"))
+        leader = least.groupBy("node", F.col("low.node").alias("leader")).agg(F.sum("pieces").alias("k")).groupBy("node").agg(F.min_by("leader", F.struct(-F.col("k"), "leader")).alias("leader"))
         tried = self.scratch.keep(leader.select(F.col("node").alias("x"), F.col("leader").alias("y")), "tried")
         first = self.verified(tried, "first")
         found = self.scratch.keep(components(first.select(F.col("x").alias("u"), F.col("y").alias("v")), self.scratch, "c1"), "component1")
