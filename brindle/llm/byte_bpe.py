@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, pick, small_batches, table
+from .common import each_slice, pick, small_batches, table, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Matches up to this many characters are kept in a worker's memo, and so many of them; then the memo starts anew.
@@ -150,16 +150,6 @@ class Decoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-#: One encoder or decoder for each vocabulary in a worker.
-_WORKER: dict = {}
-
-
-def _once(key: tuple, make):
-    if key not in _WORKER:
-        _WORKER[key] = make()
-    return _WORKER[key]
-
-
 def _shared(spark: SparkSession, vocabulary: str):
     """A name for the vocabulary's content, and its broadcast ranks."""
     with open(vocabulary, "rb") as file:
@@ -180,7 +170,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
     schema = f"{', '.join(f'`{k}` {df.schema[k].dataType.simpleString()}' for k in keep)}, `{ids}` binary"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _once(("encode", tag, pattern), lambda: Encoder(held.value, pattern))
+        encoder = worker_state(("encode", tag, pattern), lambda: Encoder(held.value, pattern))
         out = pa.array([encoder.encode(t or "") for t in part.column(text).to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([*_others(part, keep), out], [*keep, ids])
 
@@ -194,7 +184,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     schema = f"{', '.join(f'`{k}` {df.schema[k].dataType.simpleString()}' for k in keep)}, `{ids}` binary, `{decoded}` binary"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        decoder = _once(("decode", tag), lambda: Decoder(held.value))
+        decoder = worker_state(("decode", tag), lambda: Decoder(held.value))
         out = pa.array([decoder.decode(x or b"") for x in part.column(ids).to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([*_others(part, keep), part.column(ids), out], [*keep, ids, decoded])
 
@@ -208,8 +198,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     schema = f"{', '.join(f'`{k}` {df.schema[k].dataType.simpleString()}' for k in keep)}, `{ids}` binary, `{decoded}` binary"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _once(("encode", tag, pattern), lambda: Encoder(held.value, pattern))
-        decoder = _once(("decode", tag), lambda: Decoder(held.value))
+        encoder, decoder = worker_state(("both", tag, pattern), lambda: (Encoder(held.value, pattern), Decoder(held.value)))
         found = [encoder.encode(t or "") for t in part.column(text).to_pylist()]
         out = [pa.array(found, pa.binary()), pa.array(map(decoder.decode, found), pa.binary())]
         return pa.RecordBatch.from_arrays([*_others(part, keep), *out], [*keep, ids, decoded])

@@ -21,11 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, matched by exact case; columns that differ in case or repeat a name don't disturb it."""
+    names = tuple(dict.fromkeys(names))
     at = [df.columns.index(n) for n in names]
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return flat.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
 
 
+def kept(docs: DataFrame, judge: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """The rows that judge lets pass, with all their columns. judge gets the documents under names that can't clash with its own, but for `text`, and the
+    names that it has to keep."""
+    flat = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    return judge(flat, tuple(flat.columns)).select(*flat.columns).toDF(*docs.columns)
+
+
 def fold(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo modulus; null for null ids."""
     return F.crc32(F.col(column).cast("string")) % modulus
@@ -67,6 +75,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a Python worker keeps between batches: one model or memo at a time, as workers are used again by other operators."""
+    if key not in _STATE:
+        _STATE.clear()
+        pa.default_memory_pool().release_unused()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def slices(batch: pa.RecordBatch, column: str, rows: int = STEP_ROWS, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most so many rows and, but for single long texts, so many bytes of a column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

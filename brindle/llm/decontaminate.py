@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, pick, small_batches, table
+from .common import each_slice, kept, pick, small_batches, table, worker_state
 
 RATE = 0.1
 BLOCK = 8 << 20
@@ -128,9 +128,6 @@ class Matcher:
         return best
 
 
-_WORKER: dict = {}
-
-
 def _matches(docs: DataFrame, items: list[tuple[object, str]], rate: float, keep: tuple[str, ...], kind: str) -> DataFrame:
     """keep, and the items found in each whole text: arrays of ids, distances and lengths."""
     held = docs.sparkSession.sparkContext.broadcast(items)
@@ -138,10 +135,7 @@ def _matches(docs: DataFrame, items: list[tuple[object, str]], rate: float, keep
     schema = f"{', '.join(f'`{k}` {docs.schema[k].dataType.simpleString()}' for k in keep)}, found array<struct<item_id:{kind},distance:int,length:int>>"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        if tag not in _WORKER:
-            _WORKER.clear()
-            _WORKER[tag] = Matcher(held.value, rate)
-        m = _WORKER[tag]
+        m = worker_state(("items", tag), lambda: Matcher(held.value, rate))
         found = [[{"item_id": key, "distance": d, "length": len(item)} for item, d in m.find(t).items() for key in m.ids[item]] for t in part.column("text").to_pylist()]
         like = pa.list_(pa.struct([("item_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("distance", pa.int32()), ("length", pa.int32())]))
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(found, like)], [*keep, "found"])
@@ -176,11 +170,9 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[s
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows whose texts hold no item, with all their columns."""
-    columns, packed = docs.columns, docs.select(F.struct(*docs.columns).alias("row"))
     for block in blocks(items):
-        found = _matches(packed.select("row", F.col("row.text").alias("text")), block, rate, ("row",), _kind(items))
-        packed = found.filter(F.size("found") == 0).select("row")
-    return packed.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+        docs = kept(docs, lambda flat, names, block=block: _matches(pick(flat, *names), block, rate, names, _kind(items)).filter(F.size("found") == 0))
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

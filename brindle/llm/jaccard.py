@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, slices, small_batches, table
+from .common import Scratch, pick, slices, small_batches, table, worker_state
 from .components import components
 from .shingles import mix, shingles
 
@@ -51,7 +51,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Counters of shingles, in blocks that are added up apart. A byte of each is broadcast.
 SLOTS, BLOCKS = 1 << 22, 64
 SMALLEST, LARGEST = 256, 1 << 16  # bits of the sketch that is compared
-BYTES = 2 << 20
+BYTES = 1 << 20
 FILTER_BITS = 1 << 27
 
 
@@ -69,6 +69,7 @@ def _texts(part: pa.RecordBatch) -> list[bytes | None]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a row's id, size, fingerprint and sketch. kind 1: the counts of a block of slots in this task, compressed."""
+    worker_state("jaccard", dict)
     slots, names = np.zeros(SLOTS, np.uint32), ["kind", "doc_id", "n", "f1", "f2", "sketch"]
     kind = None
     for batch in batches:
@@ -185,6 +186,7 @@ class _Join:
         held = self.levels
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state("jaccard", dict)
             seen: set[int] = set()
             for batch in batches:
                 for part in slices(batch, "text", rows=512, size=BYTES):

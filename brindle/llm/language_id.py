@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import each_slice, fold, pick, small_batches, table
+from .common import each_slice, fold, kept, pick, small_batches, table, worker_state
 
 PER_LANGUAGE, MAX_LANGUAGES = 400, 200
 BUCKETS, DIMENSIONS, GRAMS, EPOCHS, RATE = 1 << 16, 16, (2, 3, 4), 3, 0.5
 #: The share of rightly predicted texts set aside that the rejection may cost, and the highest confidence that it may ask for.
 LOST, STRICTEST = 0.002, 0.4
-MEMO_CHARS, MEMO_ENTRIES = 40, 400_000
+MEMO_CHARS, MEMO_ENTRIES = 40, 250_000
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SENTENCE = regex.compile(r"[.!?\n]+")
@@ -164,9 +164,6 @@ class _Memo(dict):
         return n
 
 
-_WORKER: dict = {}
-
-
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred, score and rejected for each whole text."""
     docs = pick(docs, *keep, "text")
@@ -177,10 +174,8 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     schema = f"{', '.join(f'`{k}` {docs.schema[k].dataType.simpleString()}' for k in keep)}, lang_pred string, score double, rejected boolean"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        if tag not in _WORKER:
-            _WORKER.clear()
-            _WORKER[tag] = Scorer(held.value)
-        found = [_WORKER[tag].score(t) for t in part.column("text").to_pylist()]
+        scorer = worker_state(("language", tag), lambda: Scorer(held.value))
+        found = [scorer.score(t) for t in part.column("text").to_pylist()]
         least = held.value.least
         return pa.RecordBatch.from_arrays(
             [*(part.column(k) for k in keep), pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array([k == "und" or x < least for k, x in found], pa.bool_())],
@@ -198,5 +193,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is told; rejected ones go."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return identify(packed, train(*sample(docs)), keep=("row",)).filter(~F.col("rejected")).select("row.*")
+    model = train(*sample(docs))
+    return kept(docs, lambda flat, names: identify(flat, model, names).filter("NOT rejected"))

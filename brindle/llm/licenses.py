@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, each_slice, pick, slices, small_batches, table
+from .common import Scratch, each_slice, pick, slices, small_batches, table, worker_state
 
 THRESHOLD = 0.6
 WORD = re.compile(r"[a-z0-9]+")
@@ -151,9 +151,6 @@ def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int]
     return counts, counts.pop("", 0)
 
 
-_WORKER: dict = {}
-
-
 def detect(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id", "path")) -> DataFrame:
     """keep, license, score and licence_file of each whole text."""
     templates = TEMPLATES if templates is None else templates
@@ -164,10 +161,8 @@ def detect(files: DataFrame, templates: list[tuple[str, str]] | None = None, thr
     schema = f"{', '.join(f'`{k}` {files.schema[k].dataType.simpleString()}' for k in keep)}, license string, score double, licence_file boolean"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        if tag not in _WORKER:
-            _WORKER.clear()
-            _WORKER[tag] = Index(*held.value)
-        found = [_WORKER[tag].scan(t) for t in part.column("text").to_pylist()]
+        index = worker_state(("licenses", tag), lambda: Index(*held.value))
+        found = [index.scan(t) for t in part.column("text").to_pylist()]
         kinds = (pa.string(), pa.float64(), pa.bool_())
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))], [*keep, "license", "score", "licence_file"])
 

@@ -35,8 +35,9 @@ def _power(name: str, n: int) -> np.ndarray:
     base = _BASE if name == "up" else _INVERSE
     while len(have) < n:
         have = np.concatenate([have, have * _U(pow(base, len(have), 1 << 64))])
-    if len(have) <= 1 << 23:
-        _powers[name] = have
+    # Of a single long text no more is kept than texts usually need.
+    if len(have) > len(_powers[name]):
+        _powers[name] = have[: min(n + 65536, 1 << 21)].copy()
     return have[:n]
 
 

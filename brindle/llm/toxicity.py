@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, fold, pick, small_batches, table
+from .common import each_slice, fold, kept, pick, small_batches, table, worker_state
 
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
 #: Clean words that the machine starts with, and at most so many more that it errs on in each round.
@@ -43,7 +43,7 @@ BUCKETS_LOG, DECAY, SPANS = 18, 0.7, {2: 2, 3: 4, 4: 5}
 THRESHOLD = 0.7
 #: Longer words are read in overlapping windows.
 LONGEST = 28
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 250_000
 
 #: (offsets, weight) of the gapped subsequences; the last offset is bounded by SPANS.
 PATTERNS = [((0, *mid, last), DECAY ** (last + 1 - p)) for p, widest in SPANS.items() for last in range(p - 1, widest + 1) for mid in combinations(range(1, last), p - 2)]
@@ -249,9 +249,6 @@ def sample(docs: DataFrame, labels: DataFrame, skip: int = 1, modulus: int = 3)
     return rows["text"].tolist(), rows["toxic"].tolist()
 
 
-_WORKER: dict = {}
-
-
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """keep, score and predicted for each whole text."""
     docs = pick(docs, *keep, "text")
@@ -262,10 +259,8 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
     schema = f"{', '.join(f'`{k}` {docs.schema[k].dataType.simpleString()}' for k in keep)}, score double, predicted int"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        if tag not in _WORKER:
-            _WORKER.clear()
-            _WORKER[tag] = Scorer(held.value)
-        found = [held.value.probability(v) for v in _WORKER[tag].values(part.column("text").to_pylist())]
+        scorer = worker_state(("toxicity", tag), lambda: Scorer(held.value))
+        found = [held.value.probability(v) for v in scorer.values(part.column("text").to_pylist())]
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], [*keep, "score", "predicted"])
 
     return small_batches(docs).mapInArrow(each_slice(work, "text"), schema)
@@ -279,5 +274,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted toxic."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(packed, train(*sample(docs, table(spark, sf_dir, "labels"))), keep=("row",)).filter("predicted = 0").select("row.*")
+    model = train(*sample(docs, table(spark, sf_dir, "labels")))
+    return kept(docs, lambda flat, names: score(flat, model, names).filter("predicted = 0"))
