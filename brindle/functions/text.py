@@ -73,8 +73,7 @@ def header_tokens(path: Column | str, symbol: Column | str, kind: Column | str,
 def tokens(text: Column | str) -> Column:
     """Lower-case words without stopwords, repeats kept."""
     words = F.regexp_extract_all(_column(text), F.lit(f"({WORD}+)"), 1)
-    stop = F.array(*[F.lit(w) for w in sorted(STOPWORDS)])
-    return F.filter(F.transform(words, F.lower), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.transform(words, F.lower), lambda w: ~w.isin(sorted(STOPWORDS)))
 
 
 def query_tokens(text: Column | str) -> Column:

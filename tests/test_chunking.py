@@ -2,32 +2,28 @@ import pytest
 
 from brindle.operators import chunking as c
 
-SAMPLE = '''"""Module docstring for the sample."""
-from __future__ import annotations
+SAMPLE = '''"""What it is for.
 
-import os
-import sys
+More of it."""
+import json
+from time import sleep
 
 
-def top_level_function(x, y):
-    """Adds two numbers."""
-    return x + y
+async def fetch(url):
+    await url
 
 
-class SmallClass:
-    """A small class, should not be split."""
+class Point:
+    x = 1
 
-    def method_one(self):
-        return 1
+    def norm(self):
+        return self.x
 
-    def method_two(self):
-        return 2
 
+class Shape:
+    """Has many sides."""
 
-class BigClass:
-    """A class with many methods, should be split by method."""
-
-''' + "\n".join(f"    def m{i}(self):\n        return {i}\n" for i in range(1, 8))
+''' + "\n".join(f"    @property\n    def side{i}(self):\n        return {i}\n" for i in range(1, 8))
 
 
 def rows(spark, *files):
@@ -37,8 +33,8 @@ def rows(spark, *files):
 
 def test_python_parts(spark):
     got = [r[1:5] for r in rows(spark, ("a.py", SAMPLE))]
-    want = [(1, 5, "<module>", "module"), (8, 10, "top_level_function", "function"), (13, 20, "SmallClass", "class"), (23, 25, "BigClass", "class")]
-    want += [(26 + 3 * i, 27 + 3 * i, f"BigClass.m{i + 1}", "method") for i in range(7)]
+    want = [(1, 5, "<module>", "module"), (8, 9, "fetch", "function"), (12, 16, "Point", "class"), (19, 21, "Shape", "class")]
+    want += [(22 + 4 * i, 24 + 4 * i, f"Shape.side{i + 1}", "method") for i in range(7)]
     assert got == want
 
 

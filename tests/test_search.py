@@ -33,14 +33,14 @@ def test_prior_and_cap(spark):
     assert order(ranking.capped(ranked, 10)) == [1, 2, 4] and order(ranking.capped(ranked, 2)) == [1, 2] and order(ranking.capped(ranked, 10, 1)) == [1, 4]
 
 
-NAMES = {"alpha": 1, "beta": 2, "other": 3, "retry": 4, "test_retry": 5}
+NAMES = {"red": 1, "blue": 2, "grey": 3, "gold": 4, "sand": 5}
 
 
 @pytest.mark.parametrize("incoming, scores, head, k, want", [
-    ("alpha beta other retry test_retry", [0.6, 0.5, 0.4, 0.9, 0.0], 20, 9, "alpha retry beta other test_retry"),
-    ("test_retry other retry", [0.4, 0.5, 0.9], 20, 9, "test_retry retry other"),
-    ("test_retry other retry", [0.8, 0.1, 0.6], 1, 9, "test_retry other retry"),
-    ("alpha beta other", [0.1, 0.5, 0.9], 20, 1, "alpha"),
+    ("red blue grey gold sand", [0.6, 0.5, 0.4, 0.9, 0.0], 20, 9, "red gold blue grey sand"),
+    ("sand grey gold", [0.4, 0.5, 0.9], 20, 9, "sand gold grey"),
+    ("sand grey gold", [0.8, 0.1, 0.6], 1, 9, "sand grey gold"),
+    ("red blue grey", [0.1, 0.5, 0.9], 20, 1, "red"),
 ])
 def test_rerank(spark, incoming, scores, head, k, want):
     ids = [NAMES[n] for n in incoming.split()]
@@ -50,9 +50,9 @@ def test_rerank(spark, incoming, scores, head, k, want):
 
 
 def test_rerank_with_prior(spark):
-    ids = [NAMES[n] for n in "test_retry other retry".split()]
+    ids = [NAMES[n] for n in "sand grey gold".split()]
     relevance = spark.createDataFrame([(0, i, s) for i, s in zip(ids, [0.8, 0.1, 0.6])], "qid int, chunk_id long, relevance double")
-    where = paths(spark, {5: "tests/test_retry.py", 3: "src/o.py", 4: "src/r.py"})
+    where = paths(spark, {5: "tests/sand.py", 3: "src/o.py", 4: "src/r.py"})
     assert order(ranking.rerank(as_list(spark, ids), relevance, where, 9)) == [5, 4, 3]
 
 
