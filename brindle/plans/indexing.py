@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def file_diff(known: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
-def new_chunks(files: DataFrame, watermark: int) -> DataFrame:
-    """Chunks of files, redacted, with ids above the watermark in the order of path and lines; and redactions by kind."""
+def new_chunks(files: DataFrame) -> DataFrame:
+    """Chunks of files, redacted, in the order of path and lines; and redactions by kind."""
     made = with_redaction(chunk_files(files))
     # Ids are handed out in ranges: a partition's rows are numbered within, after those of the partitions before.
     made = made.repartitionByRange("path", "start_line", "end_line", "symbol").sortWithinPartitions("path", "start_line", "end_line", "symbol", "text").withColumn("order", F.monotonically_increasing_id())
@@ -38,18 +40,20 @@ def numbered(made: DataFrame, watermark: int) -> DataFrame:
     return made.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("chunk_id", F.lit(watermark) + 1 + F.col("start") + within).drop("part", "start", "order")
 
 
-def index_files(store: Store, found: DataFrame, models: list[str], listed: DataFrame | None = None) -> dict:
-    """Brings the store up to found files(path, repo, suffix, sha256, size, mtime, text); files that are known but not found go. Returns the report."""
+def index_files(store: Store, found: DataFrame, models: list[str], read_again: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """Brings the store up to found files(path, repo, suffix, sha256, size, mtime, text); files that are known but not found go. Returns the report.
+    read_again gives the rows of some paths without reading the others; only hashes are kept of the first reading."""
     spark, state = store.spark, store.state()
-    found = found.cache()
     diff = file_diff(store.known_files(), found).cache()
     counts = {r["status"]: r["n"] for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     fresh, gone = diff.filter("status IN ('new', 'changed')").select("path"), diff.filter("status IN ('new', 'changed', 'deleted')").select("path")
     report = {"indexed": counts.get("new", 0) + counts.get("changed", 0), "unchanged": counts.get("unchanged", 0), "deleted": counts.get("deleted", 0), "chunks_added": 0, "redactions": {}, "embedded": {}}
     if report["indexed"] or report["deleted"]:
-        # The rows are numbered by the partition they are read from, so they are written before they are numbered.
-        staged = f"{store.root}/staged"
-        new_chunks(found.join(fresh, "path", "left_semi"), state["watermark"]).write.mode("overwrite").parquet(staged)
+        # Chunks and hashes come from the same reading. Chunks are numbered by the partition they are read from, so they are written before.
+        rows, staged = f"{store.root}/staged-files", f"{store.root}/staged-chunks"
+        (read_again(fresh) if read_again else found.join(fresh, "path", "left_semi")).filter("sha256 IS NOT NULL").write.mode("overwrite").parquet(rows)
+        now = spark.read.parquet(rows)
+        new_chunks(now).write.mode("overwrite").parquet(staged)
         made = spark.read.parquet(staged)
         report["chunks_added"] = made.count()
         report["redactions"] = {r["kind"]: r["hits"] for r in counts_by_kind(made).collect()}
@@ -57,7 +61,7 @@ def index_files(store: Store, found: DataFrame, models: list[str], listed: DataF
         old_ids = store.read("chunks").join(gone, "path", "left_semi").select("chunk_id")
         index = keyword.build(chunks)
         stay = lambda name: store.read(name).join(old_ids, "chunk_id", "left_anti")
-        files = store.read("files").join(gone, "path", "left_anti").unionByName(found.join(fresh, "path", "left_semi").select("path", "sha256", "size", "mtime"))
+        files = store.read("files").join(gone, "path", "left_anti").unionByName(now.select("path", "sha256", "size", "mtime"))
         store.commit(
             {
                 "files": files,
@@ -75,11 +79,12 @@ def index_files(store: Store, found: DataFrame, models: list[str], listed: DataF
         if report["embedded"][model]:
             store.commit({"embeddings": store.read("embeddings").unionByName(vectors.embed_chunks(lacking, model).select("chunk_id", "dim", "vector", "model"))})
     report["chunks_total"] = store.read("chunks").count()
-    found.unpersist()
     diff.unpersist()
     return report
 
 
 def index_corpus(spark: SparkSession, repos: list[Repo], root: str, models: list[str] = ("hashing",)) -> dict:
     """Walks, chunks, redacts, stores and embeds the repositories."""
-    return index_files(Store(spark, root), read_files(walk(spark, repos)), list(models))
+    listing = walk(spark, repos)
+    some = lambda paths: read_files(listing.withColumn("path", F.concat_ws("/", "repo", "rel")).join(paths, "path", "left_semi"))
+    return index_files(Store(spark, root), read_files(listing), list(models), some)

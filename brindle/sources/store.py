@@ -56,10 +56,13 @@ class Store:
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        self._fs.delete(target, False)
-        if not self._fs.rename(temporary, target):
-            raise OSError(f"can't replace {self.root}/CURRENT")
+        # Replaces the pointer in one step, so that a reader never finds none.
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        qualify = self._fs.makeQualified
+        context.rename(qualify(temporary), qualify(self._path(f"{self.root}/CURRENT")), options)
 
     def vacuum(self) -> None:
         """Removes folders of versions before the current one; not while anyone still reads them."""
