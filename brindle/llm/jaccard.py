@@ -256,16 +256,24 @@ class _Join:
         self.scratch.drop(f"{name}-sets")
         return found
 
+    def same_ids(self) -> DataFrame:
+        """Links (u, v) between an id and the nodes of its rows, for ids whose rows have unlike sets: they are one document."""
+        rows = self.rows.filter("n > 0 AND doc_id IS NOT NULL")
+        several = rows.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low <> high").select("doc_id")
+        return rows.join(several, "doc_id", "left_semi").join(self.nodes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+
     def run(self) -> DataFrame:
         self.measured()
         self.listed()
+        same = self.scratch.keep(self.same_ids(), "same")
+        same = None if same.isEmpty() else same
         if self.shared.isEmpty():
-            found = None
+            found = None if same is None else components(same, self.scratch, "c0")
         else:
             needed = self.shared.select("node").distinct()
             sketches = self.sketches.withColumnRenamed("doc_id", "node").join(needed, "node", "left_semi")
             self.near = self.scratch.keep(sketches, "sketches")
-            found = self._linked()
+            found = self._linked(same)
         ids = self.nodes.select("f1", "f2", "n", "node", "rows")
         if found is None:
             classes = ids.filter("rows > 1").withColumn("component", F.col("node"))
@@ -277,14 +285,16 @@ class _Join:
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
-    def _linked(self) -> DataFrame:
+    def _linked(self, same: DataFrame | None) -> DataFrame:
         keyed = Window.partitionBy("key")
         first_of = F.min(F.struct((F.col("n") - F.col("most")).alias("tight"), "node", "n", "most")).over(keyed)
         least = self.shared.withColumn("low", first_of).filter("node <> low.node AND n <= low.most AND low.n <= most")
         leader = least.groupBy("node", F.col("low.node").alias("leader")).agg(F.sum("pieces").alias("k")).groupBy("node").agg(F.min_by("leader", F.struct(-F.col("k"), "leader")).alias("leader"))
         tried = self.scratch.keep(leader.select(F.col("node").alias("x"), F.col("leader").alias("y")), "tried")
         first = self.verified(tried, "first")
-        found = self.scratch.keep(components(first.select(F.col("x").alias("u"), F.col("y").alias("v")), self.scratch, "c1"), "component1")
+        links_of = lambda df: df.select(F.col("x").alias("u"), F.col("y").alias("v"))
+        known = links_of(first) if same is None else links_of(first).unionByName(same)
+        found = self.scratch.keep(components(known, self.scratch, "c1"), "component1")
         rows = self.shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         main = F.min(F.struct((F.col("n") - F.col("most")).alias("tight"), "node", "component")).over(keyed)["component"]
         rows = self._several(rows, "component").withColumn("outside", F.col("component") != main)
@@ -296,8 +306,7 @@ class _Join:
         second = self.verified(pairs, "second")
         if second.isEmpty():
             return found
-        all_links = first.unionByName(second).select(F.col("x").alias("u"), F.col("y").alias("v"))
-        return components(all_links, self.scratch, "c2")
+        return components(known.unionByName(links_of(second)), self.scratch, "c2")
 
 
 def join(docs: DataFrame) -> DataFrame:

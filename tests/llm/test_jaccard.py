@@ -69,7 +69,7 @@ def result(spark, rows):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed):
-    rows = corpus(seed) + [(500, None), (501, ""), (502, " \n"), (None, "a b c d e f"), (503, "a b c d e f"), (503, "a b c d e f"), (504, "q"), (505, "Q"), (506, "w " * 30000)]
+    rows = corpus(seed) + [(500, None), (501, ""), (502, " \n"), (None, "a b c d e f"), (503, "a b c d e f"), (503, "a b c d e f"), (503, "u v w x y z"), (507, "u v w x y z"), (508, "one of its kind here now"), (508, "and another one of its own"), (504, "q"), (505, "Q"), (506, "w " * 30000)]
     assert result(spark, rows) == brute(rows)
 
 
@@ -83,6 +83,7 @@ def test_common_words_come_last_and_links_stay(spark, monkeypatch):
 
 def test_empty_and_unlinked(spark):
     assert result(spark, [(1, "a b c d e"), (2, "f g h i j k")]) == [(1, 1, 1), (2, 2, 2)]
+    assert result(spark, [(3, "a b c d e"), (3, "f g h i j k"), (2, "f g h i j k")]) == [(2, 2, 2), (3, 1, 2), (3, 2, 2)]
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
