@@ -22,30 +22,50 @@ PATTERNS = {
 }
 
 
+#: What any match of a kind holds: a cheap test that spares most texts the search.
+GUARDS = {
+    "telegram_token": r"(?U)\d{6}:", "openai_key": "sk-", "google_api_key": "AIza", "github_token": "ghp_|github_pat_", "bearer_token": "Bearer",
+    "credential": "(?iU)key|token|secret|password|passwd|api", "phone": r"(?U)\d{3}", "ip_address": r"(?U)\d\.\d",
+}
+
+
 def replacement(kind: str) -> str:
     mark = f"[REDACTED:{kind}]"
     return rf"$1$2{mark}$2" if kind == "credential" else mark
 
 
+def _pass(text: Column, kind: str) -> Column:
+    """One kind's pass. The array of one lets the text be named twice without being worked out twice."""
+    once = lambda t: F.when(t.rlike(GUARDS[kind]), F.regexp_replace(t, F.lit(PATTERNS[kind]), F.lit(replacement(kind)))).otherwise(t)
+    return F.transform(F.array(text), once)[0]
+
+
 def redact(text: Column | str) -> Column:
     out = F.col(text) if isinstance(text, str) else text
-    for kind, pattern in PATTERNS.items():
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement(kind)))
+    for kind in PATTERNS:
+        out = _pass(out, kind)
     return out
 
 
+def _counted_pass(state: Column, kind: str) -> Column:
+    """One kind's pass over a struct of text and the hits so far."""
+    pattern = F.lit(PATTERNS[kind])
+
+    def once(s: Column) -> Column:
+        hit = F.struct(F.regexp_replace(s["t"], pattern, F.lit(replacement(kind))).alias("t"), F.array_append(s["n"], F.regexp_count(s["t"], pattern)).alias("n"))
+        return F.when(s["t"].rlike(GUARDS[kind]), hit).otherwise(F.struct(s["t"].alias("t"), F.array_append(s["n"], F.lit(0)).alias("n")))
+
+    return F.transform(F.array(state), once)[0]
+
+
 def with_redaction(df: DataFrame, text: str = "text") -> DataFrame:
     """df with its text redacted, and redactions, a map of the number of hits by kind without zeros."""
-    stages, counts = F.col(text), {}
-    out = df
-    for i, (kind, pattern) in enumerate(PATTERNS.items()):
-        out = out.withColumn(f"_{i}", stages)
-        counts[kind] = F.regexp_count(F.col(f"_{i}"), F.lit(pattern))
-        stages = F.regexp_replace(F.col(f"_{i}"), F.lit(pattern), F.lit(replacement(kind)))
-    pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*counts.values()))
-    out = out.withColumns({"_out": stages, "redactions": F.map_filter(pairs, lambda _, n: n > 0)})
-    kept = [F.col("_out").alias(c) if c == text else F.col(c) for c in df.columns]
-    return out.select(*kept, "redactions")
+    state = F.struct(F.col(text).alias("t"), F.array().cast("array<int>").alias("n"))
+    for kind in PATTERNS:
+        state = _counted_pass(state, kind)
+    pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in PATTERNS]), F.col("_state.n"))
+    kept = [F.col("_state.t").alias(c) if c == text else F.col(c) for c in df.columns]
+    return df.withColumn("_state", state).select(*kept, F.map_filter(pairs, lambda _, n: n > 0).alias("redactions"))
 
 
 def counts_by_kind(df: DataFrame) -> DataFrame:
