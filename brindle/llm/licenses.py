@@ -1,9 +1,12 @@
 """Operator 4: license scans by sparse TF-IDF cosine, and inheritance from the nearest ancestor directory.
 
 Every line, paragraph and whole text is compared with license templates by the cosine of TF-IDF vectors. Document frequencies of the templates' words are
-counted over all files; a word that no template has weighs as one that no file has. A file whose whole text is like a template is a licence file; one that
-holds a line or paragraph like a template has a header. Files without a header of their own, licence files included, inherit: the nearest directory from
-their own upwards that holds a licence file gives its license; where it holds several, the most alike, and then that with the first path.
+counted over all files; a word that no template has weighs as one that no file has. A file whose whole text is like a template, or like one of the full license
+texts in license_texts/, is a licence file, and so is one that is named LICENSE, COPYING or alike and holds a line or paragraph like a template; another file
+that holds one has a header. For full texts, lines of up to 120 characters that tell a copyright's holder are left out, and one is added to each word's inverse
+frequency, so that texts are told in a table of nothing but licence files. A licence file told by a full text has that text's license and cosine, not its
+likest line's. Files without a header of their own, licence files included, inherit: the nearest directory from their own upwards that holds a licence file
+gives its license; where it holds several, the most alike, and then that with the first path.
 
 By the inequality of Cauchy and Schwarz, a text that holds none but a template's most common words can't reach the threshold. The largest such set of words is
 worked out, and only lines, paragraphs and texts with another template word (found by Aho-Corasick) are compared. This changes no result.
@@ -21,6 +24,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 from zlib import crc32
 
 import ahocorasick
@@ -31,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, each_slice, pick, slices, small_batches, table, worker_state
 
 THRESHOLD = 0.6
+TEXTS = Path(__file__).with_name("license_texts")
+COPYRIGHT = re.compile(r"^[^\w\n(©]{0,20}(?:copyright|\(c\)|©|all rights reserved)(?!\w).{0,120}$", re.MULTILINE | re.IGNORECASE)
+LICENCE_NAME = re.compile(r"(?:^|/)(?:(?:un)?licen[cs]e|copying)(?:[-_][a-z0-9+]+(?:[-.][0-9]\w*)*)?(?:\.(?:txt|md|rst|lesser|lib|mit|apache2?|bsd|isc|gpl|mpl))?$", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+")
 WORD_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
@@ -59,16 +67,71 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 ]
 
+#: Licenses whose full text is nearly that of another, and how their titles begin: a text like the other's with such a title is theirs.
+TITLES = {
+    "GPL-3.0": [("AGPL-3.0", "gnu affero general public license")],
+    "CC-BY-SA-4.0": [
+        ("CC-BY-4.0", "attribution 4 0 international"),
+        ("CC-BY-NC-4.0", "attribution noncommercial 4 0 international"),
+        ("CC-BY-NC-SA-4.0", "attribution noncommercial sharealike 4 0 international"),
+        ("CC-BY-ND-4.0", "attribution noderivatives 4 0 international"),
+        ("CC-BY-NC-ND-4.0", "attribution noncommercial noderivatives 4 0 international"),
+    ],
+}
+TITLE_WORDS = 20
+
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def unsigned(text: str) -> list[str]:
+    """Words of a text without the lines that tell a copyright's holder; all words of a text that has only such lines."""
+    return words(COPYRIGHT.sub("", text)) or words(text)
+
+
+@cache
+def full_texts() -> list[tuple[str, Counter]]:
+    """Licenses and the word counts of their full texts."""
+    return [(p.stem, Counter(unsigned(p.read_text(encoding="utf-8")))) for p in sorted(TEXTS.glob("*.txt"))]
+
+
+class FullTexts:
+    """TF-IDF vectors of full license texts."""
+
+    def __init__(self, texts: list[tuple[str, Counter]], frequency: dict[str, int], files: int, threshold: float):
+        self.names, self.threshold = [n for n, _ in texts], threshold
+        self.top = math.log(1 + files) + 1
+        self.idf = {w: math.log((1 + files) / (1 + frequency.get(w, 0))) + 1 for _, t in texts for w in t}
+        self.vectors = []
+        for _, counts in texts:
+            raw = {w: n * self.idf[w] for w, n in counts.items()}
+            norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+            self.vectors.append({w: x / norm for w, x in raw.items()})
+
+    def best(self, text: str) -> tuple[str | None, float]:
+        """License whose full text a text is most like, and the cosine; none below the threshold."""
+        found = unsigned(text)
+        weight = {w: n * self.idf.get(w, self.top) for w, n in Counter(found).items()}
+        norm = math.sqrt(sum(x * x for x in weight.values()))
+        known = {w: x / norm for w, x in weight.items() if w in self.idf}
+        # By the inequality of Cauchy and Schwarz, the words that the full texts have must reach the threshold by themselves.
+        if math.sqrt(sum(x * x for x in known.values())) < self.threshold - 1e-9:
+            return None, 0.0
+        cosines = [sum(x * v[w] for w, x in known.items() if w in v) for v in self.vectors]
+        at = max(range(len(cosines)), key=lambda i: (round(cosines[i], 9), -i), default=-1)
+        if at < 0 or round(cosines[at], 6) < self.threshold:
+            return None, 0.0
+        title = f" {' '.join(found[:TITLE_WORDS])} "
+        return next((n for n, t in TITLES.get(self.names[at], ()) if f" {t} " in title), self.names[at]), round(cosines[at], 6)
+
+
 class Index:
     """TF-IDF vectors of templates; one per worker."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], files: int, threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], files: int, threshold: float, texts: list[tuple[str, Counter]] | None = None):
         self.names, self.threshold = [n for n, _ in templates], threshold
+        self.full = FullTexts(full_texts() if texts is None else texts, frequency, files, threshold)
         vocabulary = sorted({w for _, t in templates for w in words(t)})
         self.top = math.log(1 + files)
         self.idf = {w: math.log((1 + files) / (1 + frequency.get(w, 0))) for w in vocabulary}
@@ -117,9 +180,15 @@ class Index:
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """License and cosine of the text's likest part, and whether the text as a whole is a licence file."""
         lowered = text.lower() if text else ""
-        if not lowered or not self.telling or not (hits := self.finder_hits(lowered)):
+        if not lowered:
             return None, 0.0, False
+        full, likeness = self.full.best(lowered)
+        hits = self.finder_hits(lowered) if self.telling else []
+        if not hits:
+            return full, likeness, full is not None
         whole, at = self.best(lowered)
+        if full and likeness > whole:
+            return full, likeness, True
         is_file, best = whole >= self.threshold, (whole, at)
         seen = set()
         for end in hits:
@@ -152,17 +221,20 @@ def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int]
 
 
 def detect(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id", "path")) -> DataFrame:
-    """keep, license, score and licence_file of each whole text."""
+    """keep, license, score and licence_file of each whole text. Full texts are compared with the module's own templates only; names count if keep has path."""
+    texts = full_texts() if templates is None else []
     templates = TEMPLATES if templates is None else templates
     files = pick(files, *keep, "text")
-    frequency, n = frequencies(files, sorted({w for _, t in templates for w in words(t)}))
-    held = files.sparkSession.sparkContext.broadcast((templates, frequency, n, threshold))
-    tag = crc32(repr((templates, sorted(frequency.items()), n, threshold)).encode())
+    frequency, n = frequencies(files, sorted({w for _, t in templates for w in words(t)}.union(*(t for _, t in texts))))
+    held = files.sparkSession.sparkContext.broadcast((templates, frequency, n, threshold, texts))
+    tag = crc32(repr((templates, sorted(frequency.items()), n, threshold, len(texts))).encode())
     schema = f"{', '.join(f'`{k}` {files.schema[k].dataType.simpleString()}' for k in keep)}, license string, score double, licence_file boolean"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         index = worker_state(("licenses", tag), lambda: Index(*held.value))
         found = [index.scan(t) for t in part.column("text").to_pylist()]
+        if "path" in keep:
+            found = [(name, score, is_file or name is not None and bool(LICENCE_NAME.search(path or ""))) for (name, score, is_file), path in zip(found, part.column("path").to_pylist())]
         kinds = (pa.string(), pa.float64(), pa.bool_())
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))], [*keep, "license", "score", "licence_file"])
 

@@ -62,3 +62,27 @@ def test_odd_rows(spark):
     out = lic.inherit(lic.detect(df)).collect()
     assert len(out) == 5 and sorted((r.doc_id or 0, r.how) for r in out) == [(0, "none"), (1, "header"), (2, "none"), (3, "none"), (3, "none")]
     assert lic.inherit(lic.detect(df.limit(0))).count() == 0
+
+
+def test_full_texts_are_licence_files_and_pass_on(spark):
+    """Real licence texts, signed and wrapped anew, each in a directory with a file that has no header."""
+    prose = " ".join(f"word{i}" for i in range(300))
+    rows, want = [], {}
+    for i, p in enumerate(sorted(lic.TEXTS.glob("*.txt"))):
+        text = "Copyright (c) 2019-2021 Some Holder and Others\n\n" + "\n\n".join(" ".join(x.split()) for x in p.read_text().split("\n\n"))
+        rows += [(2 * i, f"r/{p.stem}/notice", text, 0), (2 * i + 1, f"r/{p.stem}/src/a.py", prose + str(i), 0)]
+        want |= {2 * i: (p.stem, "file"), 2 * i + 1: (p.stem, "inherited")}
+    mit = (lic.TEXTS / "MIT.txt").read_text()
+    rows += [(900, "h/a.py", mit + "\n".join(f"value{i} = call{i}(other{i})" for i in range(400)), 0), (901, "h/b.py", prose, 0)]
+    rows += [(902, "n/LICENSE-MIT", "Released under the MIT License.\n" + prose, 0), (903, "n/b.py", prose, 0), (904, "n/license.py", "Released under the MIT License.\n" + prose, 0)]
+    want |= {900: ("MIT", "header"), 901: (None, "none"), 902: ("MIT", "file"), 903: ("MIT", "inherited"), 904: ("MIT", "header")}
+    out = {r.doc_id: (r.license, r.how) for r in lic.inherit(lic.detect(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert out == want
+
+
+def test_full_text_alone_and_title():
+    gpl = (lic.TEXTS / "GPL-3.0.txt").read_text()
+    for files in (1, 5000):
+        index = lic.Index(lic.TEMPLATES, {w: 1 for w in lic.words(gpl)}, files, lic.THRESHOLD)
+        assert index.scan(gpl)[::2] == ("GPL-3.0", True)
+        assert index.scan(gpl.replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", 1))[::2] == ("AGPL-3.0", True)
