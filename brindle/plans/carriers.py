@@ -42,3 +42,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES_SQL = "queries AS (SELECT item_id AS qid, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS query FROM benchmark)"
+
+
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each benchmark item as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+WHOLE_QUERIES_SQL = "queries AS (SELECT item_id AS qid, text AS query FROM benchmark)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions.stemming import stemmed
 from ..operators import chunking, evaluation, keyword, ranking, vectors
 from ..sources import files as sources
 from . import search as plans
-from .carriers import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, chunks, files, queries, table
+from .carriers import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, WHOLE_QUERIES_SQL, chunks, files, queries, table, whole_queries
 from .indexing import file_diff
 
 DIGITS, K = 6, 8
@@ -290,13 +291,13 @@ def _final_sql(name: str, source: str, k: int = K) -> str:
 {name} AS (SELECT qid, chunk_id, path, score, (row_number() OVER (PARTITION BY qid ORDER BY r) - 1)::INT AS rank FROM {name}_c WHERE f <= 2 QUALIFY rank < {k})"""
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = keyword.search(_index(spark, sf_dir), queries(spark, sf_dir), POOL, stem=False, digits=DIGITS)
+def bm25_topk(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
+    found = keyword.search(_index(spark, sf_dir), asked_by(spark, sf_dir), POOL, stem=False, digits=DIGITS)
     return ranking.capped(ranking.with_prior(found, chunks(spark, sf_dir), DIGITS), K).select("qid", "chunk_id", "path", "score", "rank")
 
 
-def bm25_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.search(_index(spark, sf_dir), queries(spark, sf_dir), POOL, "src3", stem=False, digits=DIGITS)
+def bm25_repo(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
+    return keyword.search(_index(spark, sf_dir), asked_by(spark, sf_dir), POOL, "src3", stem=False, digits=DIGITS)
 
 
 # Vector search
@@ -338,9 +339,9 @@ def _corpus(spark: SparkSession, sf_dir: str) -> plans.Corpus:
     return plans.Corpus(own, keyword.build(own, stem=False), _vectors(spark, sf_dir), lambda q: _asked(spark, sf_dir).join(q.select("qid"), "qid", "left_semi"), stem=False, digits=DIGITS)
 
 
-def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rrf_fuse(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
     corpus = _corpus(spark, sf_dir)
-    asked = queries(spark, sf_dir)
+    asked = asked_by(spark, sf_dir)
     return ranking.fuse([plans.keyword_pool(corpus, asked, POOL), plans.dense_pool(corpus, asked, POOL)], weights=[ranking.KEYWORD_WEIGHT, 1.0], digits=DIGITS)
 
 
@@ -350,13 +351,13 @@ fused_s AS (SELECT coalesce(kp.qid, dp.qid) AS qid, coalesce(kp.chunk_id, dp.chu
 {_ranked_sql('fused', 'fused_s', 10**9, 'score DESC, a NULLS LAST, b NULLS LAST')}"""
 
 
-def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.hybrid_candidates(_corpus(spark, sf_dir), queries(spark, sf_dir), K).select("qid", "chunk_id", "path", "score", "rank")
+def hybrid_topk(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
+    return plans.hybrid_candidates(_corpus(spark, sf_dir), asked_by(spark, sf_dir), K).select("qid", "chunk_id", "path", "score", "rank")
 
 
-def rerank_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rerank_fuse(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
     """Relevance: the share of the query's tokens that the chunk's text has, as a logit."""
-    corpus, asked = _corpus(spark, sf_dir), queries(spark, sf_dir)
+    corpus, asked = _corpus(spark, sf_dir), asked_by(spark, sf_dir)
     candidates = plans.hybrid_candidates(corpus, asked, ranking.RERANKED).select("qid", "chunk_id", "score", "rank")
     rows = candidates.join(chunks(spark, sf_dir).select("chunk_id", text.query_tokens("text").alias("has")), "chunk_id").join(asked.select("qid", text.query_tokens("query").alias("wants")), "qid")
     share = F.size(F.array_intersect("has", "wants")) / F.greatest(F.lit(1), F.size("wants"))
@@ -443,14 +444,17 @@ def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(ids, "chunk_id").select("chunk_id", "path", "repo", F.length("text").cast("long").alias("n_chars"))
 
 
-def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stemmed_search(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
     """Search with stems, as the index uses them, and the hashing model."""
     own = chunks(spark, sf_dir).withColumn("header", text.header("path", "symbol", "kind"))
     embedded = vectors.embed_chunks(own, "hashing").select("chunk_id", "vector")
     corpus = plans.Corpus(own, keyword.build(own), embedded, lambda q: vectors.embed(q, "hashing", "query", query=True, keep="qid"))
-    return plans.search(corpus, queries(spark, sf_dir), K, "hybrid+rerank")
+    return plans.search(corpus, asked_by(spark, sf_dir), K, "hybrid+rerank")
 
 
+#: The keyword, hybrid and rerank queries with whole benchmark items as queries; those above ask the first four words only, as their SQL does.
+WHOLE = {f"{f.__name__}_whole": partial(f, asked_by=whole_queries) for f in (bm25_topk, bm25_repo, rrf_fuse, hybrid_topk, rerank_fuse, stemmed_search)}
+
 QUERIES = {
     "line_windows": line_windows, "char_split": char_split, "oversize_split": oversize_split, "markdown_sections": markdown_sections, "python_ast_chunks": python_ast_chunks, "gap_merge": gap_merge,
     "redact": redact, "redact_counts": redact_counts, "file_classify": file_classify, "dir_prune": dir_prune, "skip_counts": skip_counts, "content_hash": content_hash, "file_diff": diff_files,
@@ -458,6 +462,7 @@ QUERIES = {
     "stopword_filter": stopword_filter, "stem_vocab": stem_vocab, "snippet": snippets, "source_prior": source_prior, "bm25_stats": bm25_stats, "bm25_topk": bm25_topk, "bm25_repo": bm25_repo,
     "dense_topk": dense_topk, "dense_repo": dense_repo, "normalize": normalize, "rrf_fuse": rrf_fuse, "hybrid_topk": hybrid_topk, "rerank_fuse": rerank_fuse, "file_cap": file_cap,
     "eval_file": eval_file, "eval_span": eval_span, "eval_metrics": eval_metrics, "repo_counts": repo_counts, "chunk_lookup": chunk_lookup, "stemmed_search": stemmed_search,
+    **WHOLE,
 }
 
 ORACLES = {
@@ -497,3 +502,4 @@ ORACLES = {
     "repo_counts": f"WITH {CHUNKS_SQL} SELECT repo, count(*) AS chunks FROM chunks GROUP BY repo",
     "chunk_lookup": f"WITH {CHUNKS_SQL} SELECT chunk_id, path, repo, length(text) AS n_chars FROM chunks WHERE chunk_id IN (SELECT vec_id * 3 FROM embeddings)",
 }
+ORACLES |= {name: ORACLES[name.removesuffix("_whole")].replace(QUERIES_SQL, WHOLE_QUERIES_SQL) for name in WHOLE if name.removesuffix("_whole") in ORACLES}

@@ -125,3 +125,18 @@ def test_ranks_and_metrics(spark, question, hits, file_rank, span_rank):
 def test_unknown_mode():
     with pytest.raises(ValueError):
         plans.search(None, None, mode="nope")
+
+
+def test_whole_items_are_asked(spark):
+    """Words after the fourth count, and SQL asks the same."""
+    import __spark_entry__
+    from brindle.plans import carriers, catalogue
+
+    sf_dir = __spark_entry__.SMOKE_DIR
+    texts = {r.item_id: r.text for r in carriers.table(spark, sf_dir, "benchmark").collect()}
+    assert {r.qid: r["query"] for r in carriers.whole_queries(spark, sf_dir).collect()} == texts and min(len(t.split()) for t in texts.values()) > 4
+    short, whole = ({(r.qid, r.chunk_id, r.score) for r in catalogue.QUERIES[n](spark, sf_dir).collect()} for n in ("bm25_topk", "bm25_topk_whole"))
+    assert short != whole
+    assert {(r.qid, r.chunk_id) for r in __spark_entry__.entry(spark).collect()} == {(r.qid, r.chunk_id) for r in catalogue.QUERIES["hybrid_topk_whole"](spark, sf_dir).collect()}
+    for name in ("bm25_topk", "bm25_repo", "rrf_fuse", "hybrid_topk", "rerank_fuse"):
+        assert carriers.WHOLE_QUERIES_SQL in catalogue.ORACLES[f"{name}_whole"] and carriers.QUERIES_SQL in catalogue.ORACLES[name]
