@@ -265,6 +265,13 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.join(F.broadcast(found.lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("length").cast("long").alias("n_terms"))))
 
 
+def bm25_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_stats for every term of both fields; bm25_stats has the terms of bodies that three chunks hold at least, as its SQL does."""
+    found = _index(spark, sf_dir)
+    each = found.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    return each.join(F.broadcast(found.lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("length").cast("long").alias("n_terms"))))
+
+
 _TERMS = "regexp_extract_all(lower(strip_accents({t})), '[\\p{{L}}\\p{{N}}]+')"
 _KEYWORD = f"""{CHUNKS_SQL}, {QUERIES_SQL},
 t AS (SELECT chunk_id, 'header' AS field, unnest({_TERMS.format(t="path || ' ' || symbol || ' ' || kind || ' ' || repo")}) AS term FROM chunks
@@ -459,7 +466,7 @@ QUERIES = {
     "line_windows": line_windows, "char_split": char_split, "oversize_split": oversize_split, "markdown_sections": markdown_sections, "python_ast_chunks": python_ast_chunks, "gap_merge": gap_merge,
     "redact": redact, "redact_counts": redact_counts, "file_classify": file_classify, "dir_prune": dir_prune, "skip_counts": skip_counts, "content_hash": content_hash, "file_diff": diff_files,
     "deleted_files": deleted_files, "missing_embeddings": missing_embeddings, "identifier_split": identifier_split, "header_tokens": header_tokens, "query_tokens": query_tokens,
-    "stopword_filter": stopword_filter, "stem_vocab": stem_vocab, "snippet": snippets, "source_prior": source_prior, "bm25_stats": bm25_stats, "bm25_topk": bm25_topk, "bm25_repo": bm25_repo,
+    "stopword_filter": stopword_filter, "stem_vocab": stem_vocab, "snippet": snippets, "source_prior": source_prior, "bm25_stats": bm25_stats, "bm25_stats_whole": bm25_stats_whole, "bm25_topk": bm25_topk, "bm25_repo": bm25_repo,
     "dense_topk": dense_topk, "dense_repo": dense_repo, "normalize": normalize, "rrf_fuse": rrf_fuse, "hybrid_topk": hybrid_topk, "rerank_fuse": rerank_fuse, "file_cap": file_cap,
     "eval_file": eval_file, "eval_span": eval_span, "eval_metrics": eval_metrics, "repo_counts": repo_counts, "chunk_lookup": chunk_lookup, "stemmed_search": stemmed_search,
     **WHOLE,
@@ -487,6 +494,7 @@ ORACLES = {
     "snippet": f"WITH {CHUNKS_SQL}, s AS (SELECT chunk_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM chunks) SELECT chunk_id, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(regexp_replace(regexp_replace(substr(t, 1, 240), '\\n[^\\n]*$', ''), '^\\s+', ''), '\\s+$', '') || ' ...' END AS snippet FROM s",
     "source_prior": f"WITH {CHUNKS_SQL} SELECT chunk_id, path, ({_PRIOR.format(p='path')})::DOUBLE AS prior FROM chunks",
     "bm25_stats": f"WITH {_KEYWORD} SELECT term, df, (SELECT n FROM corpus) AS n_chunks, (SELECT sum(length)::BIGINT FROM lengths) AS n_terms FROM df WHERE field = 'body' AND df >= 3",
+    "bm25_stats_whole": f"WITH {_KEYWORD} SELECT field, term, df, (SELECT n FROM corpus) AS n_chunks, (SELECT sum(length)::BIGINT FROM lengths) AS n_terms FROM df",
     "bm25_topk": f"WITH {_KEYWORD}, {_ranked_sql('pool', 'scored', POOL)}, {_final_sql('found', 'pool')} SELECT * FROM found",
     "bm25_repo": f"WITH {_KEYWORD}, mine AS (SELECT scored.* FROM scored JOIN chunks USING (chunk_id) WHERE repo = 'src3'), {_ranked_sql('pool', 'mine', POOL)} SELECT * FROM pool",
     "dense_topk": f"WITH {CHUNKS_SQL}, {_DENSE.format(where='')}, {_ranked_sql('pool', 'dense', POOL)}, {_final_sql('found', 'pool')} SELECT * FROM found",

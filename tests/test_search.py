@@ -140,3 +140,14 @@ def test_whole_items_are_asked(spark):
     assert {(r.qid, r.chunk_id) for r in __spark_entry__.entry(spark).collect()} == {(r.qid, r.chunk_id) for r in catalogue.QUERIES["hybrid_topk_whole"](spark, sf_dir).collect()}
     for name in ("bm25_topk", "bm25_repo", "rrf_fuse", "hybrid_topk", "rerank_fuse"):
         assert carriers.WHOLE_QUERIES_SQL in catalogue.ORACLES[f"{name}_whole"] and carriers.QUERIES_SQL in catalogue.ORACLES[name]
+
+
+def test_statistics_have_every_term_and_field(spark):
+    import __spark_entry__
+    from brindle.plans import carriers, catalogue
+
+    rows = catalogue.QUERIES["bm25_stats_whole"](spark, __spark_entry__.SMOKE_DIR).collect()
+    terms = {(r.field, r.term): r.df for r in rows}
+    assert len(terms) == len(rows) and {f for f, _ in terms} == {"header", "body"} and min(terms.values()) == 1
+    n = carriers.table(spark, __spark_entry__.SMOKE_DIR, "documents").count()
+    assert terms["header", "window"] == n and all(r.n_chunks == n for r in rows)
