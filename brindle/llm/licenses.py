@@ -3,7 +3,7 @@
 Every line, paragraph and whole text is compared with license templates by the cosine of TF-IDF vectors. Document frequencies of the templates' words are
 counted over all files; a word that no template has weighs as one that no file has. A file whose whole text is like a template, or like one of the full license
 texts in license_texts/, is a licence file, and so is one that is named LICENSE, COPYING or alike and holds a line or paragraph like a template; another file
-that holds one has a header. For full texts, lines of up to 120 characters that tell a copyright's holder are left out, and one is added to each word's inverse
+that holds one has a header. A bare "All rights reserved." counts only where a text is like nothing else. For full texts, lines of up to 120 characters that tell a copyright's holder are left out, and one is added to each word's inverse
 frequency, so that texts are told in a table of nothing but licence files. A licence file told by a full text has that text's license and cosine, not its
 likest line's. Files without a header of their own, licence files included, inherit: the nearest directory from their own upwards that holds a licence file
 gives its license; where it holds several, the most alike, and then that with the first path.
@@ -67,6 +67,9 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 ]
 
+#: What counts only where a text is like no other template, as texts of free licenses have such lines too.
+RESERVED = ("Proprietary", "All rights reserved.")
+
 #: Licenses whose full text is nearly that of another, and how their titles begin: a text like the other's with such a title is theirs.
 TITLES = {
     "GPL-3.0": [("AGPL-3.0", "gnu affero general public license")],
@@ -129,7 +132,7 @@ class FullTexts:
 class Index:
     """TF-IDF vectors of templates; one per worker."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], files: int, threshold: float, texts: list[tuple[str, Counter]] | None = None):
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], files: int, threshold: float, texts: list[tuple[str, Counter]] | None = None, reserved: tuple[str, str] | None = RESERVED):
         self.names, self.threshold = [n for n, _ in templates], threshold
         self.full = FullTexts(full_texts() if texts is None else texts, frequency, files, threshold)
         vocabulary = sorted({w for _, t in templates for w in words(t)})
@@ -149,6 +152,10 @@ class Index:
             reach = more
             common.add(w)
         self.telling = set(vocabulary) - common
+        # The last resort has an index of its own, so that it changes no other vector.
+        self.reserved = Index([reserved], frequency, files, threshold, [], None) if reserved else None
+        # One of its words could reach the threshold where the others are common.
+        self.phrase = re.compile(r"(?<![a-z0-9])" + r"[^a-z0-9]+".join(words(reserved[1])) + r"(?![a-z0-9])", re.IGNORECASE) if reserved else None
         self.finder = ahocorasick.Automaton()
         for w in self.telling:
             self.finder.add_word(w, w)
@@ -179,10 +186,16 @@ class Index:
 
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """License and cosine of the text's likest part, and whether the text as a whole is a licence file."""
+        found = self._scan(text)
+        if found[0] is None and text and self.reserved and self.phrase.search(text) and (last := self.reserved.scan(text))[0]:
+            return last
+        return found
+
+    def _scan(self, text: str | None) -> tuple[str | None, float, bool]:
         lowered = text.lower() if text else ""
         if not lowered:
             return None, 0.0, False
-        full, likeness = self.full.best(lowered)
+        full, likeness = self.full.best(lowered) if self.full.names else (None, 0.0)
         hits = self.finder_hits(lowered) if self.telling else []
         if not hits:
             return full, likeness, full is not None
@@ -221,12 +234,12 @@ def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int]
 
 
 def detect(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id", "path")) -> DataFrame:
-    """keep, license, score and licence_file of each whole text. Full texts are compared with the module's own templates only; names count if keep has path."""
-    texts = full_texts() if templates is None else []
+    """keep, license, score and licence_file of each whole text. Full texts and RESERVED are compared with the module's own templates only; names count if keep has path."""
+    texts, reserved = (full_texts(), RESERVED) if templates is None else ([], None)
     templates = TEMPLATES if templates is None else templates
     files = pick(files, *keep, "text")
     frequency, n = frequencies(files, sorted({w for _, t in templates for w in words(t)}.union(*(t for _, t in texts))))
-    held = files.sparkSession.sparkContext.broadcast((templates, frequency, n, threshold, texts))
+    held = files.sparkSession.sparkContext.broadcast((templates, frequency, n, threshold, texts, reserved))
     tag = crc32(repr((templates, sorted(frequency.items()), n, threshold, len(texts))).encode())
     schema = f"{', '.join(f'`{k}` {files.schema[k].dataType.simpleString()}' for k in keep)}, license string, score double, licence_file boolean"
 

@@ -86,3 +86,12 @@ def test_full_text_alone_and_title():
         index = lic.Index(lic.TEMPLATES, {w: 1 for w in lic.words(gpl)}, files, lic.THRESHOLD)
         assert index.scan(gpl)[::2] == ("GPL-3.0", True)
         assert index.scan(gpl.replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", 1))[::2] == ("AGPL-3.0", True)
+
+
+def test_bare_reservation_comes_last():
+    index = lic.Index(lic.TEMPLATES, {}, 1000, lic.THRESHOLD)
+    assert index.scan("first line\nAll rights reserved.\nlast line") == ("Proprietary", 1.0, False)
+    assert index.scan("# All rights reserved.\n# Licensed under the Apache License, Version 2.1.\n" + "x = y\n" * 500)[0] == "Apache-2.0"
+    assert index.scan("All the other rights are for others to have and to hold\nreserved")[0] is None
+    index = lic.Index(lic.TEMPLATES, {"all": 900, "rights": 800}, 1000, lic.THRESHOLD)
+    assert index.scan("some line\nreserved\nlast line")[0] is None and index.scan("some line\nall rights reserved\nlast")[0] == "Proprietary"
