@@ -221,6 +221,9 @@ def read(spark: SparkSession, folder: str, page_type: str = "bigint") -> DataFra
     schema = f"page_id {page_type}, url string, record_type string, payload_digest string, payload_bytes long, refers_to {page_type}, payload binary"
     if not manifest:
         return spark.createDataFrame([], schema)
+    there = {name for name, _ in _Files(spark, folder).list(folder)}
+    if missing := [m["file"] for m in manifest if m["file"] not in there]:
+        raise ValueError(f"{folder} lacks {len(missing)} files of its manifest, {missing[0]} first")
     known = spark.sparkContext.broadcast({m["file"]: m for m in manifest})
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
 

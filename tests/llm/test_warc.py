@@ -90,3 +90,11 @@ def test_no_manifest_no_archive(spark, tmp_path):
 def test_empty(spark, tmp_path):
     assert warc.write(spark.createDataFrame([], SCHEMA), str(tmp_path / "e")) == []
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_missing_archive_is_noticed(spark, tmp_path):
+    made = warc.write(spark.createDataFrame(pages(), SCHEMA), str(tmp_path / "g"), roll_bytes=2000)
+    assert len(made) > 1
+    __import__("os").remove(tmp_path / "g" / made[1]["file"])
+    with pytest.raises(ValueError, match=made[1]["file"]):
+        warc.read(spark, str(tmp_path / "g"))
