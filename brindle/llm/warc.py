@@ -1,20 +1,25 @@
 """Operator 7: a deterministic sharded WARC writer, and its reader.
 
-Order. Records are sorted by page_id, and shards are ranges of it. The ranges follow from the data alone, not from samples or from how the input was split:
-bytes are summed in a fixed number of equal ranges of page_id, ranges over a shard's bytes are summed again in finer ones, and neighbours are joined up to a
-shard's bytes. So the same pages give the same archives, byte for byte, on any cluster.
-
-Roles. Payload digests are grouped, with partial sums first, to the smallest page_id of each payload; it is the response, and others of the digest become
-revisits that refer to it. Payloads of fewer than a given number of bytes are all responses.
-
-Files. Each record is a gzip member of its own. A shard's task writes its members one after another and starts a new file where the next one would exceed the
-roll size in compressed bytes. A file ends with an empty member, so a cut file is told from a whole one. Files are written under a temporary name by
+Order. Records are sorted by page_id, then by the digest of their payload, then by url, and shards are ranges of that order. The ranges follow from the data alone, not from
+samples or from how the input was split: bytes are summed by the leading bits of page_id, ranges over a shard's bytes are summed again by more bits, all of a
+level in one pass, and neighbours are joined up to a shard's bytes. An id whose rows are over a shard's bytes is split by digest. So the same pages give the same archives, byte
+for byte, on any cluster. There are MAX_SHARDS shards' worth of bytes at most: a shard of more input is larger, so that the table of ranges has a bounded size.
+
+Roles. Ids, sizes and digests are written once, without payloads. Digests are grouped, with partial sums first, to the smallest page_id of each payload; it is the response,
+and others of the digest become revisits that refer to it. Digests that hold a given share of all rows are few and are looked up in a broadcast table; the rows of
+others are joined. Payloads of fewer than a given number of bytes are all responses. Roles meet payloads in the shard's task, where both come sorted by id and
+digest, so payloads are shuffled once.
+
+Files. A file starts with a warcinfo record. Each record is a gzip member of its own. A shard's task writes its members one after another and starts a new file where the next one
+would exceed the roll size in compressed bytes. A file ends with an empty member, so a cut file is told from a whole one. Files are written under a temporary name by
 Spark's own writer and its commit protocol (lost executors and tasks that run twice leave nothing behind), described by a manifest of name, records, bytes and
-SHA-256, and renamed by the driver; the manifest is renamed last. A reader trusts only archives with a manifest, and checks size and digest of every file.
+SHA-256, and renamed by the driver, several at a time; the manifest is renamed last. A reader trusts only archives with a manifest, and checks size and digest of every file,
+digest of every block and of every payload, and that a revisit names the record that its page's response has.
 
-Defined results: null html is an empty payload; a null url is an empty one; rows that repeat the smallest page_id of a payload are all responses; a row with a
-null page_id comes last and, where its payload has no other id, is a response; an empty table gives an empty manifest; payloads of any length stay whole;
-other columns don't matter.
+Defined results: null html is an empty payload; a null url is an empty one; page_id is a whole number (TypeError otherwise); rows that repeat the smallest page_id of a payload are
+all responses, told apart by a number in their record ids, and the first is what revisits refer to; a row with a null page_id comes last and, where its payload has no other id, is a
+response; an empty table gives an empty manifest; payloads of any length stay whole; other columns don't matter. A revisit has no payload: its digest and length are
+those that its headers keep.
 """
 
 from __future__ import annotations
@@ -25,16 +30,21 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, small_batches, table
 
 SHARD_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
-RANGES = 4096
-LEVEL = 6
+MAX_SHARDS = 1 << 16
+#: Leading bits of page_id by which bytes are summed at first, and bits more at each further level.
+FIRST_BITS, MORE_BITS = 12, 4
+#: A payload that at least one row in so many has is looked up in a broadcast table, of so many rows at most.
+HOT = 1024
+LEVEL, RENAMES = 6, 16
 EPOCH = "2000-01-01T00:00:00Z"
 #: An empty gzip member. Its last byte is written as the line end of Spark's text writer.
 END = bytes.fromhex("1f8b08000000000002ff03000000000000000000")
@@ -55,17 +65,29 @@ def _line(text: str) -> str:
     return " ".join(text.split())
 
 
-def record(page_id, url: str, payload: bytes, refers_to, is_revisit: bool, date: str = EPOCH) -> bytes:
+def record_id(page_id, sha: str, times: int) -> str:
+    """Of the rows with one id and payload, each has its own number."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{sha}|{times}')}>"
+
+
+def _headers(lines: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *lines, f"WARC-Block-Digest: sha1:{digest(block)}", f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str, date: str = EPOCH) -> bytes:
+    """The record that a file starts with."""
+    return _headers(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"software: brindle\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id, url: str, payload: bytes, refers_to, is_revisit: bool, date: str = EPOCH, times: int = 0) -> bytes:
     """A WARC 1.1 record. Its headers follow from the page alone."""
-    sha, n = digest(payload), len(payload)
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{sha}\n{is_revisit}")
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
-    block = http if is_revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url)}"]
+    sha = digest(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    lines = [f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, sha, times)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url)}"]
     if is_revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-    lines += [f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Page-ID: {'' if page_id is None else page_id}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, sha, 0)}", f"X-Refers-To-Page: {refers_to}"]
+    lines += [f"WARC-Payload-Digest: sha1:{sha}", f"X-Page-ID: {'' if page_id is None else page_id}", "Content-Type: application/http; msgtype=response"]
+    return _headers(lines, http if is_revisit else http + payload)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -125,93 +147,134 @@ class _Files:
         self.fs.delete(self.path(name), True)
 
 
-def boundaries(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """First page_ids of the shards after the first. sizes: page_id and n. The sums of at most RANGES ranges come to the driver at once."""
-    ends = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if ends[0] is None:
-        return []
-    sums: list[tuple[int, int]] = []  # first page_id of a range and its bytes, in order
-
-    def split(low: int, high: int) -> None:
-        width = -(-(high - low + 1) // RANGES)
-        part = sizes.filter(F.col("page_id").between(low, high)).groupBy(F.expr(f"(page_id - ({low})) div {width}").alias("r")).agg(F.sum("n").alias("n"))
-        for r, n in sorted((x["r"], x["n"]) for x in part.collect()):
-            if n > shard_bytes and width > 1:
-                split(low + r * width, min(high, low + (r + 1) * width - 1))
-            else:
-                sums.append((low + r * width, n))
-
-    split(ends[0], ends[1])
-    found, held = [], 0
-    for first, n in sums:
-        if held and held + n > shard_bytes:
-            found.append(first)
-            held = 0
-        held += n
-    return found
-
-
-def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, n, and refers_to for the pages that another page's equal payload stands for. pages: page_id, url, html."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("n"), F.sha2(payload, 256).alias("sha"))
-    # Only payloads that are there more than once need a lookup, and each gives one row of it.
-    first = pages.filter(F.col("n") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1 AND first IS NOT NULL").drop("times")
-    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    return pages.join(first, "sha", "left").select("page_id", "url", "payload", "n", refers.alias("refers_to"))
+def _cell(shift: int) -> Column:
+    """The leading bits of page_id, in its order, without the last so many."""
+    return F.shiftrightunsigned(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63))), shift)
+
+
+class Ranges:
+    """The shard of each row of a table (page_id, n, sha). leaves: (shift, cell, first shard, number of shards) of ranges of page_id in order."""
+
+    def __init__(self, facts: DataFrame, shard_bytes: int):
+        self.spark, self.leaves = facts.sparkSession, []
+        ends = facts.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("n"))).alias("nulls")).first()
+        shard_bytes = max(shard_bytes, -(-ends["n"] // MAX_SHARDS))
+        sums: list[tuple[int, int, int]] = []  # shift, cell and bytes
+        if ends["low"] is not None:
+            shift = max(0, (ends["low"] ^ ends["high"]).bit_length() - FIRST_BITS) if (ends["low"] < 0) == (ends["high"] < 0) else 64 - FIRST_BITS
+            rows = facts.filter("page_id IS NOT NULL")
+            while True:
+                found = rows.groupBy(_cell(shift).alias("cell")).agg(F.sum("n").alias("n")).collect()
+                large = [(r["cell"],) for r in found if r["n"] > shard_bytes and shift]
+                sums += [(shift, r["cell"], r["n"]) for r in found if r["n"] <= shard_bytes or not shift]
+                if not large:
+                    break
+                # Each of them has more than a shard's bytes, so they are fewer than MAX_SHARDS.
+                rows = facts.withColumn("cell", _cell(shift)).join(F.broadcast(self.spark.createDataFrame(large, "cell long")), "cell", "left_semi").drop("cell")
+                shift = max(0, shift - MORE_BITS)
+        at, held = 0, 0
+        for shift, cell, n in sorted(sums, key=lambda x: (x[1] % (1 << 64)) << x[0]):
+            if held and held + n > shard_bytes:
+                at, held = at + 1, 0
+            parts = max(1, -(-n // shard_bytes))
+            self.leaves.append((shift, cell, at, parts))
+            at, held = at + parts - 1, held + n
+        at += bool(self.leaves)
+        self.nulls = (at, max(1, -(-(ends["nulls"] or 0) // shard_bytes)))
+        self.count = at + (ends["nulls"] is not None) * self.nulls[1]
+
+    def shard(self, df: DataFrame) -> DataFrame:
+        """df with its shard. There are few levels, and each is a lookup in a table of bounded size."""
+        first, parts = F.when(F.col("page_id").isNull(), self.nulls[0]), F.when(F.col("page_id").isNull(), self.nulls[1])
+        names = []
+        for shift in sorted({x[0] for x in self.leaves}):
+            names += [f"cell_{shift}", f"first_{shift}", f"parts_{shift}"]
+            level = self.spark.createDataFrame([x[1:] for x in self.leaves if x[0] == shift], f"cell_{shift} long, first_{shift} int, parts_{shift} int")
+            df = df.withColumn(names[-3], _cell(shift)).join(F.broadcast(level), names[-3], "left")
+            first, parts = F.coalesce(first, F.col(names[-2])), F.coalesce(parts, F.col(names[-1]))
+        lead = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
+        return df.withColumn("shard", (first + F.when(parts > 1, F.shiftright(lead * parts, 32)).otherwise(0)).cast("int")).drop(*names)
+
+
+def roles(facts: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
+    """page_id, sha and refers_to of the rows that another page's equal payload stands for, each once. facts: page_id, n, sha."""
+    first = facts.filter(F.col("n") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("times")).filter("times > 1 AND refers_to IS NOT NULL")
+    first = scratch.keep(first, "first")
+    total = facts.count()
+    hot = F.broadcast(first.filter(F.col("times") * HOT >= total).select("sha", "refers_to"))
+    cold = first.filter(F.col("times") * HOT < total).select("sha", "refers_to")
+    found = facts.join(hot, "sha").unionByName(facts.join(hot, "sha", "left_anti").join(cold, "sha"))
+    return found.filter(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select("page_id", "sha", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = EPOCH) -> list[dict]:
     """Writes the archives and their manifest to a folder that isn't there yet; returns the manifest."""
     spark = pages.sparkSession
     pages = pick(pages, "page_id", "url", "html")
-    files, temporary = _Files(spark, folder), f"{folder}-{uuid.uuid4().hex}.tmp"
-    sizes = pages.select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("n"))
-    bounds = boundaries(sizes, shard_bytes)
-    last = len(bounds)
-    # Shards are few: one for each shard_bytes. A page's shard is the number of bounds up to its id.
-    below = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("page_id"))) if bounds else F.lit(0)
-    dealt = roles(pages, least_bytes).withColumn("shard", F.when(F.col("page_id").isNull(), last).otherwise(below))
-    dealt = small_batches(dealt.repartitionById(last + 1, F.col("shard").cast("int")).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "url", "payload"))
+    if pages.schema["page_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"page_id is a whole number, not {pages.schema['page_id'].dataType.simpleString()}")
+    files, temporary, scratch = _Files(spark, folder), f"{folder}-{uuid.uuid4().hex}.tmp", Scratch(spark)
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("sha"))
+    facts = scratch.keep(pages.select("page_id", F.octet_length("payload").cast("long").alias("n"), "sha"), "facts")
+    ranges = Ranges(facts, shard_bytes)
+    none = F.lit(None)
+    rows = pages.withColumn("refers_to", none.cast("long")).unionByName(roles(facts, scratch, least_bytes).select("page_id", F.lit("").alias("url"), none.cast("binary").alias("payload"), "sha", "refers_to"))
+    # A row's roles, which have no payload, come before it.
+    dealt = small_batches(ranges.shard(rows).repartitionById(max(1, ranges.count), "shard").sortWithinPartitions(F.col("page_id").asc_nulls_last(), "sha", F.col("payload").isNotNull(), "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, count, roll, at = [], 0, 0, 0, None
+        held, size, count, roll, before = [], 0, 0, 0, None  # before: shard, page_id and digest of the row before
+        role, times = None, 0
 
-        def file() -> pa.RecordBatch:
+        def file(shard: int) -> pa.RecordBatch:
             data = b"".join(held) + END
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([roll], pa.int32()), pa.array([count], pa.int64()), pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data[:-1]], pa.binary())], ["shard", "roll", "records", "sha256", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([roll], pa.int32()), pa.array([count], pa.int64()), pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data[:-1]], pa.binary())], ["shard", "roll", "records", "sha256", "data"])
 
         for batch in batches:
-            for page, url, payload, refers, at in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "refers_to", "shard"))):
-                one = member(record(page, url, payload, refers, refers is not None, date))
-                if held and size + len(one) > roll_bytes:
-                    yield file()
-                    held, size, count, roll = [], 0, 0, roll + 1
+            for page, url, payload, refers, *key in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "refers_to", "shard", "page_id", "sha"))):
+                if key != before:
+                    role, times, before = None, 0, key
+                if payload is None:
+                    role = refers
+                    continue
+                one = member(record(page, url, payload, role, role is not None, date, times))
+                times += 1
+                if count and size + len(one) > roll_bytes:
+                    yield file(key[0])
+                    count, roll = 0, roll + 1
+                if not count:
+                    held = [member(info(f"pages-{key[0]:05d}-{roll:05d}.warc.gz", date))]
+                    size = len(held[0])
                 held.append(one)
                 size, count = size + len(one), count + 1
-        if held:
-            yield file()
+        if count:
+            yield file(before[0])
 
     made = dealt.mapInArrow(run, "shard int, roll int, records long, sha256 string, data binary")
     # One row is one file: a line of text whose line end completes the last gzip member. The folder names carry the manifest's columns.
     lines = made.select(F.col("data").cast("string").alias("value"), F.concat_ws("-", F.format_string("%05d", "shard"), F.format_string("%05d", "roll"), "records", "sha256").alias("file"))
+
+    def place(name: str) -> dict:
+        ((part, size),) = ((n, s) for n, s in files.list(f"{temporary}/{name}") if n.startswith("part-"))
+        at, roll, records, sha = name[5:].split("-")
+        entry = {"file": f"pages-{at}-{roll}.warc.gz", "records": int(records), "bytes": size, "sha256": sha}
+        files.rename(f"{temporary}/{name}/{part}", f"{temporary}/{entry['file']}")
+        files.delete(f"{temporary}/{name}")
+        return entry
+
     try:
         lines.write.partitionBy("file").option("maxRecordsPerFile", 1).option("lineSep", "\0").text(temporary)
-        manifest = []
-        for name, _ in files.list(temporary):
-            if not name.startswith("file="):
-                continue
-            ((part, size),) = ((n, s) for n, s in files.list(f"{temporary}/{name}") if n.startswith("part-"))
-            at, roll, records, sha = name[5:].split("-")
-            manifest.append({"file": f"pages-{at}-{roll}.warc.gz", "records": int(records), "bytes": size, "sha256": sha})
-            files.rename(f"{temporary}/{name}/{part}", f"{temporary}/{manifest[-1]['file']}")
-            files.delete(f"{temporary}/{name}")
+        with ThreadPoolExecutor(RENAMES) as several:
+            manifest = list(several.map(place, [n for n, _ in files.list(temporary) if n.startswith("file=")]))
         files.write(f"{temporary}/manifest.json.tmp", json.dumps({"files": manifest}))
         files.rename(f"{temporary}/manifest.json.tmp", f"{temporary}/manifest.json")
         files.rename(temporary, folder)
     except BaseException:
         files.delete(temporary)
         raise
+    finally:
+        scratch.drop()
     return manifest
 
 
@@ -239,11 +302,17 @@ def read(spark: SparkSession, folder: str, page_type: str = "bigint") -> DataFra
                     raise ValueError(f"{path} differs from the manifest")
                 rows, size = [], 0
                 for headers, block in parse(data):
+                    if headers["WARC-Type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
-                    revisit = headers["WARC-Type"] == "revisit"
-                    n = int(http.rsplit(b"Content-Length: ", 1)[1])
-                    page, refers = headers["X-Page-ID"], headers.get("X-Refers-To-Page")
-                    rows.append((int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:"), n, int(refers) if refers else None, None if revisit else payload))
+                    page, refers, sha = headers["X-Page-ID"], headers.get("X-Refers-To-Page"), headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if revisit := headers["WARC-Type"] == "revisit":
+                        n, sound = int(http.rsplit(b"Content-Length: ", 1)[1]), headers["WARC-Refers-To"] == record_id(refers, sha, 0)
+                    else:
+                        n, sound = len(payload), digest(payload) == sha
+                    if not sound:
+                        raise ValueError(f"record {headers['WARC-Record-ID']} isn't what its headers say")
+                    rows.append((int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], sha, n, int(refers) if refers else None, None if revisit else payload))
                     size += len(payload)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -255,6 +324,6 @@ def read(spark: SparkSession, folder: str, page_type: str = "bigint") -> DataFra
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{Scratch(spark).root}-warc"
+    folder = f"{Scratch(spark).root}/warc"
     write(table(spark, sf_dir, "pages"), folder)
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
