@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,7 +56,11 @@ class Scratch:
     """Tables written in the shared folder to cut lineage: lost executors cost no more than the stage at hand. What isn't dropped before, as a result may still be
     read from it, goes when the driver ends."""
 
+    live: list["Scratch"] = []
+
     def __init__(self, spark: SparkSession):
+        self.names: set[str] = set()
+        Scratch.live.append(self)
         self.spark, self.root = spark, f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -64,11 +69,30 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def only(self, *names: str) -> None:
+        """Drops all tables but those that a result is read from."""
+        for name in self.names.difference(names):
+            self.drop(name)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Around work whose result is written elsewhere: the scratch tables made within are dropped at its end."""
+    before = len(Scratch.live)
+    try:
+        yield
+    finally:
+        for scratch in Scratch.live[before:]:
+            scratch.drop()
+        del Scratch.live[before:]
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, slices, small_batches, table, worker_state
+from .common import Scratch, kept, pick, slices, small_batches, table, worker_state
 from .components import components
 from .shingles import mix, shingles
 
@@ -280,6 +280,7 @@ class _Join:
         else:
             classes = ids.join(found, "node", "left").filter("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
         classes = self.scratch.keep(classes.select("f1", "f2", "n", "component"), "classes")
+        self.scratch.only("measured", "classes")
         out = self.rows.join(classes, ["f1", "f2", "n"], "left")
         # Copies of a null id must not take a component from the rows that have one.
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -318,9 +319,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def _own_keys(docs: DataFrame, names: tuple[str, ...], at: str, scratch: Scratch) -> DataFrame:
+    """The documents with a column `key` that no unlike texts share: the id (column `at`), or a hash of id and text where several rows have the id. Of rows with
+    the same id and text, if it has a word, the one with the least other columns stays."""
+    whole = docs.schema[at].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    own = F.col(at).cast("long" if whole else "string")
+    several = scratch.keep(docs.filter(F.col(at).isNotNull()).groupBy(own.alias("id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id"), "several")
+    if several.isEmpty():
+        return docs.withColumn("key", own)
+    marked = docs.withColumn("id", own).join(several.withColumn("again", F.lit(True)), "id", "left")
+    mark = F.xxhash64(F.lit("row"), "id", "text")
+    marked = marked.withColumn("key", F.when(F.col("again"), mark if whole else F.concat_ws("#", "id", F.hex(mark))).otherwise(F.col("id"))).drop("id")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.coalesce("again", F.lit(False))
+    ordered = [n for n in names if "map<" not in docs.schema[n].dataType.simpleString()]
+    once = marked.filter(worded).groupBy("key").agg(F.min_by(F.struct(*names), F.struct(*ordered)).alias("least")).select(*(F.col("least")[n].alias(n) for n in names), "key")
+    return scratch.keep(marked.filter(~worded).select(*names, "key").unionByName(once), "keyed")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents that link with nothing stay."""
-    kept = join(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi")
-    # Rows that repeat an id are one document; rows without an id can't be told to be in a group.
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """One row of each group of linked texts: the one with the smallest id. Rows that link with nothing stay, and so do rows without an id or without a word. Rows that share an
+    id, but aren't alike, are documents of their own; of rows with equal id and text the one with the least other columns stays; rows of an id that several rows
+    have are ordered by a hash of id and text, which counts as their id."""
+    scratch = Scratch(spark)
+
+    def judge(flat: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        keyed = _own_keys(flat, names, f"c{docs.columns.index('doc_id')}", scratch)
+        first = join(keyed.select(F.col("key").alias("doc_id"), "text")).filter("component_id = doc_id").select(F.col("doc_id").alias("key")).distinct()
+        return keyed.join(first, "key", "left_semi").unionByName(keyed.filter("key IS NULL"))
+
+    return kept(docs, judge)

@@ -13,7 +13,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACES = [_U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
-_COUNT = _U(0xEB44ACCAB455D165)
+_COUNT = 0xEB44ACCAB455D165
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -30,6 +30,11 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _counted(n: np.ndarray | int) -> np.ndarray:
+    """Counts of bytes or words as a term of a hash."""
+    return np.atleast_1d(np.asarray(n, np.uint64)) * _U(_COUNT)
+
+
 def _power(name: str, n: int) -> np.ndarray:
     have = _powers[name]
     base = _BASE if name == "up" else _INVERSE
@@ -48,7 +53,7 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_lower[data].astype(np.uint64) * _power("up", len(data)), out=sums[1:])
-    return start, mix((sums[end] - sums[start]) * _power("down", len(data))[start] + (end - start).astype(np.uint64) * _COUNT)
+    return start, mix((sums[end] - sums[start]) * _power("down", len(data))[start] + _counted(end - start))
 
 
 def shingles(texts: list[bytes | None], size: int = WORDS) -> list[np.ndarray]:
@@ -60,14 +65,14 @@ def shingles(texts: list[bytes | None], size: int = WORDS) -> list[np.ndarray]:
     full = np.zeros(max(0, len(word) - size + 1), np.uint64)
     for k in range(size):
         full += word[k : k + len(full)] * _PLACES[k]
-    full = mix(full + _U(size) * _COUNT)
+    full = mix(full + _counted(size))
     out = []
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= size:
             out.append(np.unique(full[a : b - size + 1]))
         elif b > a:
             whole = (word[a:b] * np.array(_PLACES[: b - a], np.uint64)).sum(dtype=np.uint64)
-            out.append(mix(np.array([whole + _U(b - a) * _COUNT], np.uint64)))
+            out.append(mix(whole + _counted(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
