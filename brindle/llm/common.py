@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and text bytes that an Arrow loop hands on at a time, so that its outputs stay small however long the texts are.
@@ -95,6 +95,38 @@ def passing() -> Iterator[None]:
         del Scratch.live[before:]
 
 
+#: Bytes of text that learn at most: they come to the driver.
+SAMPLE_BYTES = 64 << 20
+
+
+def bounded_sample(rows: DataFrame, per_class: int, classes: int, size: int = SAMPLE_BYTES) -> tuple[list[str], list]:
+    """Texts and classes of a bounded part of rows(doc_id, y, text): of the most frequent classes, so many texts each at most, those with the least hashes of id and text, and no
+    more than so many bytes in all. A text that an id repeats counts once. The hashes are cut off by the class's number of texts first, so that no class, however
+    frequent, is sorted whole, and nothing but the sample's texts comes to the driver."""
+    span = 1 << 40
+    rows = rows.filter("doc_id IS NOT NULL AND y IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("doc_id", "text"))
+    counts = rows.groupBy("y").agg(F.approx_count_distinct("mark").alias("n")).orderBy(F.desc("n"), "y").limit(classes).collect()
+    if not counts:
+        return [], []
+    kind = rows.schema["y"].dataType.simpleString()
+    cuts = rows.sparkSession.createDataFrame([(r["y"], min(span, span * (2 * per_class + 100) // max(1, r["n"]))) for r in counts], f"y {kind}, cut long")
+    few = rows.join(F.broadcast(cuts), "y").filter(F.pmod("mark", F.lit(span)) < F.col("cut"))
+    each = few.groupBy("y", F.pmod("mark", F.lit(span)).alias("place"), "mark").agg(F.max(F.octet_length("text")).alias("n"))
+    order = Window.partitionBy("y").orderBy("place", "mark")
+    each = each.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_class).orderBy("at", "y").collect()
+    chosen, held = [], 0
+    for r in each:
+        if held + r["n"] <= size:
+            chosen.append((r["y"], r["mark"]))
+            held += r["n"]
+    if not chosen:
+        return [], []
+    picked = rows.sparkSession.createDataFrame(chosen, f"y {kind}, mark long")
+    found = rows.join(F.broadcast(picked), ["y", "mark"]).groupBy("y", "mark").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: (r["mark"], r["y"]))
+    return [r["text"] for r in found], [r["y"] for r in found]
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Lets Spark hand Python batches of some megabytes rather than its 64 MB, as each core holds several at once. A smaller setting stays."""
     key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20

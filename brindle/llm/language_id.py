@@ -2,11 +2,16 @@
 
 A word (a run of letters and marks, lower-cased) stands for itself and its character n-grams with word ends, hashed into a table of
 embeddings. A text is the average of the embeddings of all its words' subwords; a linear softmax gives the languages. Embeddings and softmax
-are trained together by stochastic gradient descent in numpy, on whole texts and their sentences. A fifth of the training texts is set aside
-to fit the softmax temperature and the confidence below which a prediction is rejected.
+are trained together by stochastic gradient descent in numpy, on whole texts and their sentences. A fifth of the training texts is set aside.
 
-Only texts and languages of a bounded sample are learned from: PER_LANGUAGE texts of each language, those with the least hash of the id.
-Scoring reads every text whole. As the logits of an average are the average of the logits, a worker keeps the summed logits of each word, and a
+Rejection is calibrated on the texts set aside and on pieces of them with few words. The softmax temperature is the one of least log loss, with smoothed targets, so that
+confidences are probabilities; a text is rejected if its best language is likelier wrong than right (below LEAST). A softmax is sure of anything that isn't like any language it
+knows, too; so the best language's logit, before the temperature, must also be at least a part NOVEL of what all but a share LOST of the texts set aside with about as many words have (about
+half, as that is what a text in two known languages has of each). Subwords that weren't learned from have logits about 0, so texts in other scripts and unlike languages fall short, the more
+surely the longer they are; a single word, or a language much like a known one, mostly can't be told.
+
+Only texts and languages of a bounded sample are learned from: PER_LANGUAGE texts of each of the MAX_LANGUAGES most frequent languages, those with the least hash of id and text, and
+SAMPLE_BYTES in all. Scoring reads every text whole. As the logits of an average are the average of the logits, a worker keeps the summed logits of each word, and a
 text costs a lookup for each word.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are rejected; texts of any length are read whole; rows with
@@ -22,15 +27,19 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, fold, kept, pick, small_batches, table, worker_state
+from .common import bounded_sample, each_slice, fold, kept, pick, small_batches, table, worker_state
 
 PER_LANGUAGE, MAX_LANGUAGES = 400, 200
-BUCKETS, DIMENSIONS, GRAMS, EPOCHS, RATE = 1 << 16, 16, (2, 3, 4), 3, 0.5
-#: The share of rightly predicted texts set aside that the rejection may cost, and the highest confidence that it may ask for.
-LOST, STRICTEST = 0.002, 0.4
+BUCKETS, DIMENSIONS, GRAMS, EPOCHS = 1 << 16, 16, (2, 3, 4), 3
+#: Rates of the softmax's weights, of its bias, and of the embeddings, at the start of the training.
+RATE, BIAS_RATE, TABLE_RATE = 0.5, 0.05, 10.0
+#: The least confidence; the share of the texts set aside whose best logit may fall short; and the part of the logit of the others that a text must have.
+LEAST, LOST, NOVEL = 0.5, 0.001, 0.55
+#: Numbers of words by which logits are told apart: powers of two, the last for all longer texts.
+SIZES = 8
 MEMO_CHARS, MEMO_ENTRIES = 40, 250_000
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -51,6 +60,10 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float  # confidence, else rejected
+    least_logits: np.ndarray  # by the number of words, else rejected
+
+    def told(self, sure: float, logit: float, words: int) -> bool:
+        return sure >= self.least and logit >= self.least_logits[min(SIZES, words.bit_length()) - 1]
 
 
 def _bag(words: list[str], memo: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +91,14 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
         parts = [p for s in SENTENCE.split(text.lower()) if (p := WORD.findall(s))]
         if not parts:
             continue
-        bag = _bag([w for p in parts for w in p], memo), at[language]
+        words = [w for p in parts for w in p]
         if crc32(text.encode()) % 5 == 0:
-            aside.append(bag)
+            aside.append((words, at[language]))
         else:
-            learn.append(bag)
+            learn.append((_bag(words, memo), at[language]))
             learn += [(_bag(p, memo), at[language]) for p in parts[:: max(1, len(parts) // 20)]]
     if not learn:
-        learn, aside = aside, []
+        learn, aside = [(_bag(words, memo), k) for words, k in aside], []
     draw = np.random.default_rng(seed)
     table_ = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((DIMENSIONS, len(names)), np.float32), np.zeros(len(names), np.float32)
@@ -93,38 +106,50 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
     for _ in range(EPOCHS):
         for i in draw.permutation(len(learn)):
             (rows, share), y = learn[i]
-            rate = np.float32(RATE * (1 - done / steps))
+            left = np.float32(1 - done / steps)
             done += 1
             hidden = share @ table_[rows]
             off = _softmax(hidden @ weights + bias)
             off[y] -= 1
             back = weights @ off
-            weights -= rate * np.outer(hidden, off)
-            bias -= rate * np.float32(0.1) * off
-            table_[rows] -= (rate * len(rows) * share)[:, None] * (back / max(1, len(rows)))[None, :] * np.float32(20)
-    logits = (table_ @ weights).astype(np.float64)
-    temperature, least = 1.0, 0.0
-    if aside:
-        raw = np.array([share @ logits[rows] + bias for (rows, share), _ in aside])
-        y = np.array([k for _, k in aside])
-        loss = lambda t: -np.log(np.maximum(_softmax(raw / t)[np.arange(len(y)), y], 1e-12)).mean()
-        temperature = float(min(np.geomspace(0.2, 5, 40), key=loss))
-        sure = _softmax(raw / temperature)
-        right = sure.max(1)[sure.argmax(1) == y]
-        least = float(min(STRICTEST, np.quantile(right, LOST))) if len(right) else 0.0
-    return Model(names, logits, bias.astype(np.float64), temperature, least)
+            weights -= RATE * left * np.outer(hidden, off)
+            bias -= BIAS_RATE * left * off
+            table_[rows] -= TABLE_RATE * left * np.outer(share, back)
+    model = Model(names, (table_ @ weights).astype(np.float64), bias.astype(np.float64), 1.0, 0.0, np.full(SIZES, -np.inf))
+    return _calibrated(model, aside, memo)
+
+
+def _calibrated(model: Model, aside: list[tuple[list[str], int]], memo: dict[str, list[int]]) -> Model:
+    """The model with temperature and thresholds fitted to texts set aside, and to pieces of them of each number of words."""
+    if not aside:
+        return model
+    pieces = [(words[start : start + n], k) for words, k in aside for n in (1 << j for j in range(SIZES - 1)) for start in range(0, min(len(words), 4 * n), n) if len(words) > start + n]
+    y = np.array([k for _, k in aside + pieces])
+    raw = np.array([share @ model.logits[rows] + model.bias for rows, share in (_bag(words, memo) for words, _ in aside + pieces)])
+    whole = slice(0, len(aside))
+    smooth = 1 / (len(aside) + 2)
+
+    def loss(t: float) -> float:
+        p = np.log(np.maximum(_softmax(raw[whole] / t), 1e-300))
+        own = p[np.arange(len(aside)), y[whole]]
+        others = (p.sum(1) - own) / max(1, len(model.languages) - 1)
+        return -((1 - smooth) * own + smooth * others).mean()
+
+    model.temperature, model.least = float(min(np.geomspace(0.01, 20, 120), key=loss)), LEAST
+    right = raw.argmax(1) == y
+    size = np.array([min(SIZES, len(words).bit_length()) - 1 for words, _ in aside + pieces])
+    for k in range(SIZES):
+        best = raw[right & (size == k)].max(1, initial=-np.inf)
+        if len(best):
+            model.least_logits[k] = NOVEL * max(0.0, np.quantile(best, LOST, method="lower"))
+    return model
 
 
 def sample(docs: DataFrame, skip: int = 2, modulus: int = 4) -> tuple[list[str], list[str]]:
     """Texts and languages of a bounded number of documents outside the fold that is held out."""
     docs = pick(docs, "doc_id", "text", "lang")
     known = docs.filter(F.col("lang").isNotNull() & (fold(modulus) != skip))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE)
-    ids = ids.orderBy("n", "lang").limit(PER_LANGUAGE * MAX_LANGUAGES).select("doc_id").distinct()
-    rows = known.join(F.broadcast(ids), "doc_id", "left_semi").filter(F.col("text").isNotNull()).select("doc_id", "lang", "text").toPandas()
-    rows = rows.sort_values(["doc_id", "lang", "text"]).drop_duplicates()
-    return rows["text"].tolist(), rows["lang"].tolist()
+    return bounded_sample(known.select("doc_id", F.col("lang").alias("y"), "text"), PER_LANGUAGE, MAX_LANGUAGES)
 
 
 class Scorer:
@@ -133,17 +158,19 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.memo = model, _Memo(model)
 
-    def score(self, text: str | None) -> tuple[str, float]:
+    def score(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, confidence, and whether that is rejected."""
         words = WORD.findall(text.lower()) if text else []
         if not words:
-            return "und", 0.0
+            return "und", 0.0, True
         if len(self.memo) > MEMO_ENTRIES:
             self.memo = _Memo(self.model)
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         sums = self.memo.rows[at].sum(0)
-        sure = _softmax((sums[:-1] / sums[-1] + self.model.bias) / self.model.temperature)
+        logits = sums[:-1] / sums[-1] + self.model.bias
+        sure = _softmax(logits / self.model.temperature)
         best = int(sure.argmax())
-        return self.model.languages[best], float(sure[best])
+        return self.model.languages[best], float(sure[best]), not self.model.told(sure[best], logits[best], len(words))
 
 
 class _Memo(dict):
@@ -176,11 +203,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         scorer = worker_state(("language", tag), lambda: Scorer(held.value))
         found = [scorer.score(t) for t in part.column("text").to_pylist()]
-        least = held.value.least
-        return pa.RecordBatch.from_arrays(
-            [*(part.column(k) for k in keep), pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array([k == "und" or x < least for k, x in found], pa.bool_())],
-            [*keep, "lang_pred", "score", "rejected"],
-        )
+        return pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array([x[j] for x in found], kind) for j, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))], [*keep, "lang_pred", "score", "rejected"])
 
     return small_batches(docs).mapInArrow(each_slice(work, "text"), schema)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, fold, kept, pick, small_batches, table, worker_state
+from .common import bounded_sample, each_slice, fold, kept, pick, small_batches, table, worker_state
 
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
 #: Clean words that the machine starts with, and at most so many more that it errs on in each round.
@@ -240,13 +240,11 @@ class Scorer:
 def sample(docs: DataFrame, labels: DataFrame, skip: int = 1, modulus: int = 3) -> tuple[list[str], list[int]]:
     """Texts and labels of a bounded number of documents outside the fold that is held out."""
     docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
-    known = labels.filter(F.col("toxic").isNotNull() & (fold(modulus) != skip)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("toxic").isNotNull() & (fold(modulus) != skip)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = docs.select("doc_id").distinct().join(known, "doc_id")
-    least = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    least = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     ids = least[0].unionByName(least[1])
-    rows = docs.join(F.broadcast(ids), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates()
-    return rows["text"].tolist(), rows["toxic"].tolist()
+    return bounded_sample(docs.join(F.broadcast(ids), "doc_id"), max(MAX_TOXIC, MAX_CLEAN), 2)
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

@@ -30,6 +30,27 @@ def test_held_out_accuracy(model):
     assert sum(scorer.score(t)[0] == k for _, t, k in rows) / len(rows) > 0.97
 
 
+def test_what_is_unlike_all_known_languages_is_rejected(model):
+    scorer = language_id.Scorer(model)
+    strange = ["これは日本語の文章です。とても長い文を書いています。", "Сегодня хорошая погода, и мы идём гулять в парк с друзьями.", "Zkw qpxjv mbwz kjx zzq wvk pkz jjm bwx qqk vmz"]
+    assert all(scorer.score(t)[2] for t in strange)
+    assert sum(scorer.score(t)[2] for _, t, _ in corpus(1000, 5)) <= 20
+    assert 0.01 < model.temperature < 20 and model.least == language_id.LEAST
+
+
+def test_confidence_is_calibrated():
+    """Of texts with half of their words from another language, the likelier language is about as often right as its confidence says."""
+    draw = random.Random(4)
+    rows = []
+    for i in range(1200):
+        a, b = draw.sample(list(SYLLABLES), 2)
+        words = ["".join(draw.choices(SYLLABLES[a if draw.random() < 0.7 else b], k=2)) for _ in range(3)]
+        rows.append((" ".join(words), a))
+    model = language_id.train([t for t, _ in rows[:900]], [k for _, k in rows[:900]])
+    found = [(language_id.Scorer(model).score(t), k) for t, k in rows[900:]]
+    assert abs(sum(x[1] for x, _ in found) / len(found) - sum(x[0] == k for x, k in found) / len(found)) < 0.1
+
+
 def test_memo_equals_average_of_embeddings(model):
     import numpy as np
 
@@ -54,5 +75,34 @@ def test_odd_rows(spark, model):
 def test_sample_leaves_out_the_held_out_fold(spark):
     rows = corpus(80, 3)
     df = spark.createDataFrame([*rows, (900, "the", None), (None, "the", "en")], "doc_id long, text string, lang string")
-    texts, _ = language_id.sample(df)
+    texts, found = language_id.sample(df)
+    assert dict(zip(texts, found)).items() <= {(t, k) for _, t, k in rows}
     assert sorted(texts) == sorted(t for i, t, _ in rows if crc32(str(i).encode()) % 4 != 2)
+
+
+def test_sample_is_bounded_however_often_an_id_or_language_is_there(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from brindle.llm.common import bounded_sample
+
+    many = spark.range(20000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 5000).cast("string")).alias("text"), F.lit("a").alias("y"))
+    rows = many.unionByName(spark.createDataFrame([(i, f"rare {i}", "b") for i in range(30)] + [(1, None, "b"), (None, "x", "b"), (2, "x", None)], "doc_id long, text string, y string"))
+    texts, y = bounded_sample(rows, 20, 5)
+    assert y.count("a") == 20 and y.count("b") == 20 and len(set(texts)) == 40
+    assert bounded_sample(rows, 20, 1)[1] == ["a"] * 20
+    assert sum(len(t) for t in bounded_sample(rows, 20, 5, 60)[0]) <= 60
+    assert bounded_sample(rows.limit(0), 20, 5) == ([], [])
+    assert bounded_sample(rows, 20, 5) == bounded_sample(rows.repartition(7), 20, 5)
+
+
+def test_query(spark, tmp_path):
+    """Folds and columns of the registered query; the fold held out is told from the others' texts."""
+    rows = corpus(400, 6) + [(900, None, "en"), (901, "12", None), (None, "the and of", "en")]
+    spark.createDataFrame([(*r, "s", "x") for r in rows], "doc_id long, text string, lang string, source string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = language_id.query(spark, str(tmp_path))
+    assert out.dtypes[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    found = {r.doc_id: r for r in out.collect()}
+    assert len(found) == len(rows) and found[900].lang_pred == found[901].lang_pred == "und"
+    assert all(r.held_out == (i is not None and crc32(str(i).encode()) % 4 == 2) for i, r in found.items())
+    held = [(found[i].lang_pred, k) for i, _, k in rows[:400] if found[i].held_out]
+    assert sum(a == b for a, b in held) / len(held) > 0.95

@@ -45,7 +45,7 @@ def test_run_against_plain_stages(spark, folder):
     frame = spark.createDataFrame([(*r, "s", 1) for r in kept], docs.schema)
     told = language_id.train(*language_id.sample(frame))
     scores = [language_id.Scorer(told).score(r[1]) for r in kept]
-    kept = [r for r, (k, x) in zip(kept, scores) if k != "und" and x >= told.least]
+    kept = [r for r, (_, _, rejected) in zip(kept, scores) if not rejected]
     component = {i: c for i, _, c in components([r[:2] for r in kept])}
     kept = [r for r in kept if r[0] is None or component[r[0]] == r[0]]
     kept = [r for r in kept if not found_items(items, r[1], decontaminate.RATE)]
