@@ -8,7 +8,7 @@ and neighbours of which one is a fragment, are read as one word, too; digits and
 
 Sentences. Texts are cut at sentence ends and lines, and sentences of more than WINDOW words into overlapping windows. Labels are of documents: every word of every sentence of a
 clean document is clean, and a toxic document has a witness, the word in a sentence that scores highest, chosen anew after each training (multiple instances). Words of many toxic
-documents and no clean one are witnesses in any sentence, and so are forms of them with characters put in (virtual examples).
+documents and no clean one are witnesses in any sentence, and so are forms of them with characters put in (virtual examples). One character put in, and marks, blanks or look-alikes at any number of places, leave an insult an insult; letters put in at many places mostly do not.
 
 Landmarks. For words those most tied to toxic training documents, such forms of them, and the most common words of clean ones; for sentences the latter. The inverse square roots of the
 landmarks' kernel matrices map a point to as many coordinates as there are landmarks; a linear machine with squared hinge loss is trained there. A sentence's value is the most of its
@@ -47,17 +47,20 @@ RIDGE, COST, SURE = 1.0, 3.0, 0.1
 #: What a word without any like subsequence costs.
 STRANGE = 1000.0
 #: What a sentence's coordinates count for.
-CONTEXT = 1.0
-BUCKETS_LOG, DECAY, SPANS = 18, 0.7, {2: 2, 3: 4, 4: 5}
+CONTEXT = 0.5
+BUCKETS_LOG, DECAY, SPANS = 18, 0.85, {2: 2, 3: 4, 4: 4}
 THRESHOLD, WORDLESS = 0.7, -1.0
 #: Longer words are read in overlapping windows, and so are sentences of more words than WINDOW.
 LONGEST, WINDOW = 28, 32
+#: Characters that virtual examples have put in.
+PUT_IN = "xqzjkvw"
 #: Neighbours are joined where one has at most FRAGMENT letters and both together at most JOINED.
 FRAGMENT, JOINED = 3, 8
 MEMO_ENTRIES = 400_000
 
-#: (offsets, weight) of the gapped subsequences; the last offset is bounded by SPANS.
-PATTERNS = [((0, *mid, last), DECAY ** (last + 1 - p)) for p, widest in SPANS.items() for last in range(p - 1, widest + 1) for mid in combinations(range(1, last), p - 2)]
+#: (offsets, weight) of the gapped subsequences; the last offset is bounded by SPANS, but for four characters with one put in between any two.
+OFFSETS = [(0, *mid, last) for p, widest in SPANS.items() for last in range(p - 1, widest + 1) for mid in combinations(range(1, last), p - 2)] + [(0, 2, 4, 6)]
+PATTERNS = [(x, DECAY ** (x[-1] + 1 - len(x))) for x in OFFSETS]
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 NOISE = re.compile(r"[\W_]+")
@@ -128,9 +131,9 @@ def sentences(tokens: list[str], kinds: list[Token]) -> list[tuple[list[str], li
 
 def disguised(word: str) -> list[str]:
     """Forms of a word with a character put in at one place, at every other, and at every place."""
-    seen = "xzq"
-    forms = [word[:i] + seen[i % 3] + word[i:] for i in range(1, len(word))]
-    return [*forms, *("".join(c + (x if (i % 2 == k) else "") for i, c in enumerate(word[:-1])) + word[-1] for x in "xq" for k in (0, 1)), *(x.join(word) for x in "xq")]
+    once = [word[:i] + PUT_IN[i % len(PUT_IN)] + word[i:] for i in range(1, len(word))]
+    several = ["".join(c + (PUT_IN[(i + k) % len(PUT_IN)] if (i + k) % step == 0 else "") for i, c in enumerate(word[:-1])) + word[-1] for step, turns in ((2, 2), (1, 4)) for k in range(turns)]
+    return list(dict.fromkeys(once + several))
 
 
 def features(units: list[str]):
@@ -328,7 +331,8 @@ def _machine_of(sample: _Sample, labels: np.ndarray, chosen: np.ndarray) -> Mode
     virtual = list(dict.fromkeys(v for i in sure if len(names[i]) > 3 for v in disguised(names[i])))
     known = {u for u, k in zip(names, of_clean) if k}
     virtual = [v for v in virtual if v not in known]
-    names += virtual
+    # What is put in counts for nothing by itself.
+    names += virtual + [c * k for c in PUT_IN for k in (3, 8, LONGEST)]
     common = sorted(np.nonzero(of_clean)[0].tolist(), key=lambda i: (-of_clean[i], names[i]))
     marks = [names[i] for i in common[:CLEAN_LANDMARKS]]
     focus = _Space(names, list(dict.fromkeys([names[i] for i in order[:TOXIC_LANDMARKS]] + virtual[:: len(virtual) // VIRTUAL_LANDMARKS + 1] + marks)))
@@ -376,15 +380,18 @@ def _machine_of(sample: _Sample, labels: np.ndarray, chosen: np.ndarray) -> Mode
     active = np.zeros(len(c_word), bool)
     active[:ACTIVE] = True
     low, m = points(c_word[active], c_place[active]), len(focus.landmarks)
-    fixed = np.array([*sure, *range(n, len(names))], np.int64)
+    fixed = np.array([*sure, *range(n, n + len(virtual))], np.int64)
+    strange = focus.words(np.arange(n + len(virtual), len(names)))
+    strange = np.concatenate([np.concatenate([strange, np.zeros((len(strange), low.shape[1] - m), low.dtype)], 1), np.zeros((1, low.shape[1]), low.dtype)])
     fixed_points = np.concatenate([focus.words(fixed), np.tile(low[:, m:].mean(0), (len(fixed), 1))], 1)
     fixed_cost = np.array([9.0 * COST] * len(sure) + [COST] * len(virtual))
     for _ in range(ROUNDS):
         words = t_word[witness]
-        cost = np.concatenate([COST / np.sqrt(np.bincount(words, minlength=n)[words]), fixed_cost, np.ones(len(low)), [STRANGE]])
-        y = np.concatenate([np.ones(len(witness) + len(fixed)), -np.ones(len(low) + 1)])
+        cost = np.concatenate([COST / np.sqrt(np.bincount(words, minlength=n)[words]), fixed_cost, np.ones(len(low)), np.full(len(strange), 5.0 * COST)])
+        cost[-1] = STRANGE
+        y = np.concatenate([np.ones(len(witness) + len(fixed)), -np.ones(len(low) + len(strange))])
         # The last is a word like no landmark, in a sentence of such words: it is clean.
-        w = _machine(np.concatenate([points(words, t_place[witness]), fixed_points, low, np.zeros((1, low.shape[1]), low.dtype)]), y, cost)
+        w = _machine(np.concatenate([points(words, t_place[witness]), fixed_points, low, strange]), y, cost)
         model = Model(focus.collapsed(w[:m]), around.collapsed(CONTEXT * w[m:-1]), float(w[-1]), 1.0, 0.0)
         own, by_word = np.concatenate([weigh(names[i : min(n, i + 10_000)], model.weights, model.context) for i in range(0, n, 10_000)], 1)
         sentence = np.add.reduceat(by_word[flat], firsts) / sizes

@@ -41,9 +41,9 @@ def test_gaps_and_inserted_characters(model):
 
 
 def test_inserted_characters_cost_less_than_other_words(model):
-    near = scores(model, ["wxoxrxtxhxlxexsxs", "wxortxhlexss", "pxathextixc"])
-    far = scores(model, ["thandshinged", "onerattoed", "whinerand"])
-    assert min(near) > 2 * max(far)
+    near = toxicity.Scorer(model).values(["wxoxrxtxhxlxexsxs", "wxortxhlexss", "pxathextixc", "ixdixot"])
+    far = toxicity.Scorer(model).values(["thandshinged", "onerattoed", "whinerand", "xxxxxx", "qzqzqz"])
+    assert min(near) > max(far) + 0.3
 
 
 def test_the_sentence_counts():
