@@ -79,7 +79,7 @@ def spans_of_python(text: str) -> list[tuple[str, str, int, int]] | None:
     """(symbol, kind, first line, last line) of a Python file's parts in order; None where it can't be parsed or has none."""
     try:
         body = ast.parse(text).body
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):  # the last two are what the parser says of code nested too deep
         return None
     defs = (ast.FunctionDef, ast.AsyncFunctionDef)
     found: list[tuple[str, str, int, int]] = []

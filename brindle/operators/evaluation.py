@@ -24,7 +24,8 @@ def load_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def file_ranks(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """qid and file_rank: the rank by which every group of expected files has been hit, null if one never is."""
-    groups = questions.select("qid", F.posexplode(F.coalesce("expected_all", F.array("expected_paths"))).alias("g", "paths"))
+    # A question without groups has its expected files as the only one.
+    groups = questions.select("qid", F.posexplode(F.when(F.size("expected_all") > 0, F.col("expected_all")).otherwise(F.array("expected_paths"))).alias("g", "paths"))
     wanted = groups.select("qid", "g", F.explode("paths").alias("p")).select("qid", "g", normal_path("p").alias("p")).distinct()
     first = wanted.join(hits.select("qid", "rank", normal_path("path").alias("p")), ["qid", "p"]).groupBy("qid", "g").agg(F.min("rank").alias("r"))
     ranks = groups.select("qid", "g").join(first, ["qid", "g"], "left").groupBy("qid")

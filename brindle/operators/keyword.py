@@ -45,9 +45,10 @@ def build(chunks: DataFrame, stem: bool = True) -> KeywordIndex:
 
 
 def postings(fields: DataFrame) -> DataFrame:
-    """Postings of chunk_id and arrays of terms header and body."""
-    each = [fields.select("chunk_id", F.lit(f).alias("field"), F.posexplode(f).alias("position", "term")) for f in WEIGHTS]
-    return each[0].unionByName(each[1]).groupBy("term", "field", "chunk_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """Postings of chunk_id and arrays of terms header and body. The arrays are dealt by chunk, so a chunk's terms are grouped where they are and aren't shuffled one by one."""
+    tagged = lambda f: F.transform(f, lambda t, i: F.struct(F.lit(f).alias("field"), t.alias("term"), i.alias("position")))
+    each = fields.repartition("chunk_id").select("chunk_id", F.explode(F.concat(*map(tagged, WEIGHTS))).alias("t")).select("chunk_id", "t.*")
+    return each.groupBy("chunk_id", "field", "term").agg(F.sort_array(F.collect_list("position")).alias("positions")).select("term", "field", "chunk_id", "positions")
 
 
 def lengths(fields: DataFrame) -> DataFrame:
@@ -94,8 +95,9 @@ def pool(scored: DataFrame, size: int, digits: int | None = None) -> DataFrame:
     """The best rows of each qid with their ranks from 0, ties by chunk_id. digits: rounds the score before it is ranked."""
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size)
+    # Compared before it is lowered to start at 0: so each task keeps its best rows only, before they are shuffled.
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
+    return scored.withColumn("rank", place).filter(F.col("rank") <= size).withColumn("rank", F.col("rank") - 1)
 
 
 def search(index: KeywordIndex, queries: DataFrame, size: int, repo: str | None = None, stem: bool = True, digits: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.redaction import counts_by_kind, with_redaction
 from ..functions.text import header
 from ..operators import keyword, vectors
 from ..operators.chunking import chunk_files
-from ..sources.files import Repo, read_files, walk
+from ..sources.files import Repo, read_files, skip_summary, walk
 from ..sources.store import Store
 
 
@@ -50,10 +50,11 @@ def index_files(store: Store, found: DataFrame, models: list[str], read_again: C
     report = {"indexed": counts.get("new", 0) + counts.get("changed", 0), "unchanged": counts.get("unchanged", 0), "deleted": counts.get("deleted", 0), "chunks_added": 0, "redactions": {}, "embedded": {}}
     if report["indexed"] or report["deleted"]:
         # Chunks and hashes come from the same reading. Chunks are numbered by the partition they are read from, so they are written before.
-        rows, staged = f"{store.root}/staged-files", f"{store.root}/staged-chunks"
-        (read_again(fresh) if read_again else found.join(fresh, "path", "left_semi")).filter("sha256 IS NOT NULL").write.mode("overwrite").parquet(rows)
+        folder = store.staged()
+        rows, staged = f"{folder}/files", f"{folder}/chunks"
+        (read_again(fresh) if read_again else found.join(fresh, "path", "left_semi")).filter("sha256 IS NOT NULL").write.parquet(rows)
         now = spark.read.parquet(rows)
-        new_chunks(now).write.mode("overwrite").parquet(staged)
+        new_chunks(now).write.parquet(staged)
         made = spark.read.parquet(staged)
         report["chunks_added"] = made.count()
         report["redactions"] = {r["kind"]: r["hits"] for r in counts_by_kind(made).collect()}
@@ -62,29 +63,40 @@ def index_files(store: Store, found: DataFrame, models: list[str], read_again: C
         index = keyword.build(chunks)
         stay = lambda name: store.read(name).join(old_ids, "chunk_id", "left_anti")
         files = store.read("files").join(gone, "path", "left_anti").unionByName(now.select("path", "sha256", "size", "mtime"))
+        vectors_ = stay("embeddings")
+        for model in models:
+            report["embedded"][model] = report["chunks_added"]
+            vectors_ = vectors_.unionByName(vectors.embed_chunks(chunks, model).select("chunk_id", "dim", "vector", "model"))
+        # New chunks and their vectors come in one version, so that no reader finds the ones without the others.
         store.commit(
             {
                 "files": files,
                 "chunks": store.read("chunks").join(gone, "path", "left_anti").unionByName(chunks.select(*store.read("chunks").columns)),
                 "postings": stay("postings").unionByName(index.postings.select("term", "field", "chunk_id", "positions")),
                 "lengths": stay("lengths").unionByName(index.lengths),
-                "embeddings": stay("embeddings"),
+                "embeddings": vectors_,
             },
             state["watermark"] + report["chunks_added"],
+            since=state,
         )
         chunks.unpersist()
+        store.remove(folder)
     for model in models:
+        # Chunks from before that lack a vector: of a model that is new, or after a run that failed.
+        state = store.state()
         lacking = vectors.missing(store.read("chunks"), store.read("embeddings"), model)
-        report["embedded"][model] = lacking.count()
-        if report["embedded"][model]:
-            store.commit({"embeddings": store.read("embeddings").unionByName(vectors.embed_chunks(lacking, model).select("chunk_id", "dim", "vector", "model"))})
+        more = lacking.count()
+        report["embedded"][model] = report["embedded"].get(model, 0) + more
+        if more:
+            store.commit({"embeddings": store.read("embeddings").unionByName(vectors.embed_chunks(lacking, model).select("chunk_id", "dim", "vector", "model"))}, since=state)
     report["chunks_total"] = store.read("chunks").count()
     diff.unpersist()
     return report
 
 
 def index_corpus(spark: SparkSession, repos: list[Repo], root: str, models: list[str] = ("hashing",)) -> dict:
-    """Walks, chunks, redacts, stores and embeds the repositories."""
+    """Walks, chunks, redacts, stores and embeds the repositories. The report tells besides what was left out, and why."""
     listing = walk(spark, repos)
     some = lambda paths: read_files(listing.withColumn("path", F.concat_ws("/", "repo", "rel")).join(paths, "path", "left_semi"))
-    return index_files(Store(spark, root), read_files(listing), list(models), some)
+    report = index_files(Store(spark, root), read_files(listing), list(models), some)
+    return report | {"skipped": [r.asDict() for r in skip_summary(listing).collect()]}

@@ -88,6 +88,8 @@ def run_mode(corpus: Corpus, questions: DataFrame, mode: str, logits=ranking.ove
     from ..operators import evaluation
 
     queries = questions.select("qid", F.col("question").alias("query"))
+    # Loads models and starts workers, which isn't counted.
+    search(corpus, queries.limit(1), evaluation.DEPTH, mode, logits=logits).collect()
     began = time.perf_counter()
     hits = search(corpus, queries, evaluation.DEPTH, mode, logits=logits).withColumn("rank", F.col("rank") + 1).cache()
     hits.count()

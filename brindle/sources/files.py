@@ -6,12 +6,13 @@ read the bytes; on a cluster the root must be a folder that all of them see.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ VENDORED = ["vendor", "third_party", "thirdparty", "_generated"]
 SECRET_PARTS = ["credential", "secret", ".env"]
 SECRET_SUFFIXES = [".pem", ".key", ".p12"]
 
+#: Bytes of files that a task hands on at once.
+READ_BYTES = 8 << 20
 LISTING = "repo string, root string, rel string, name string, size long, reason string, is_dir boolean"
 
 
@@ -34,17 +37,21 @@ class Repo:
 
 
 def load_corpus(path: str) -> list[Repo]:
-    """Repositories of a YAML list of name and root; relative roots start at the YAML file's folder."""
-    base = Path(path).resolve().parent
-    return [Repo(r["name"], str((base / r["root"]).resolve())) for r in yaml.safe_load(Path(path).read_text(encoding="utf-8")) or []]
+    """The repositories that a YAML file lists under `repos`, each with a name and a path; paths that aren't absolute start where the file is. An empty file has none."""
+    file = Path(path).resolve()
+    with file.open(encoding="utf-8") as text:
+        listed = yaml.safe_load(text)
+    entries = listed.get("repos") if isinstance(listed, dict) else listed
+    if not isinstance(entries, list | None) or not all(isinstance(e, dict) and e.keys() >= {"name", "path"} for e in entries or ()):
+        raise ValueError(f"{path} has no list `repos` of entries with `name` and `path`")
+    return [Repo(str(e["name"]), os.path.normpath(file.parent / str(e["path"]))) for e in entries or ()]
 
 
 def file_reason(name: Column, size: Column) -> Column:
     """Why a file is left out, or null."""
     low = F.lower(name)
     # The extension starts at the last dot, if that neither opens nor ends the name.
-    suffix = F.regexp_extract(low, r"(?s)[^.].*?(\.[^.]+)$", 1)
-    suffix = F.when(low.rlike(r"(?s)^.*[^.].*\.[^.]+$|^\.+[^.]+.*\.[^.]+$"), suffix).otherwise(F.lit(""))
+    suffix = F.regexp_extract(low, r"(?s)\A.+(\.[^.]+)\z", 1)
     secret = F.lit(False)
     for part in SECRET_PARTS:
         secret = secret | low.contains(part)
@@ -113,21 +120,29 @@ def decode(data: bytes) -> str:
 
 
 def read_files(listing: DataFrame) -> DataFrame:
-    """path (repository and path below it), repo, suffix, sha256, size, mtime and text of the files that aren't left out; unreadable ones have a null sha256."""
-    schema = "path string, repo string, suffix string, size long, mtime double, content binary, text string"
+    """path (repository and path below it), repo, suffix, size, mtime, sha256 and text of the files that aren't left out; unreadable ones have a null sha256. The hash is
+    taken where the bytes are read."""
+    schema = pa.schema([("path", pa.string()), ("repo", pa.string()), ("suffix", pa.string()), ("size", pa.int64()), ("mtime", pa.float64()), ("sha256", pa.string()), ("text", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for repo, root, rel in zip(batch["repo"], batch["root"], batch["rel"]):
-                full = os.path.join(root, rel)
-                row = {"path": f"{repo}/{rel}", "repo": repo, "suffix": Path(rel).suffix, "size": None, "mtime": None, "content": None, "text": None}
+            rows, held = [], 0
+            for entry in batch.to_pylist():
+                full = os.path.join(entry["root"], entry["rel"])
+                row = {"path": f"{entry['repo']}/{entry['rel']}", "repo": entry["repo"], "suffix": Path(entry["rel"]).suffix}
                 try:
                     with open(full, "rb") as file:
-                        data = file.read()
-                    row |= {"size": len(data), "mtime": os.stat(full).st_mtime, "content": data, "text": decode(data)}
+                        data, known = file.read(), os.fstat(file.fileno())
+                    row |= {"size": len(data), "mtime": known.st_mtime, "sha256": hashlib.sha256(data).hexdigest(), "text": decode(data)}
+                    held += len(data)
                 except OSError:
                     pass
-                yield pd.DataFrame([row]).astype({"size": "Int64"})
-
-    found = listing.filter("reason IS NULL AND NOT is_dir").select("repo", "root", "rel").mapInPandas(run, schema)
-    return found.withColumn("sha256", F.sha2("content", 256)).drop("content")
+                rows.append(row)
+                if held > READ_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    found = listing.filter("reason IS NULL AND NOT is_dir").select("repo", "root", "rel")
+    return found.mapInArrow(run, "path string, repo string, suffix string, size long, mtime double, sha256 string, text string")

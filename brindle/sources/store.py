@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ SCHEMAS = {
 PARTITIONS = {"chunks": ["repo"], "embeddings": ["model"]}
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another run has changed the index since this one read it."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -31,7 +36,7 @@ class Store:
         """Folders of the tables, and the highest chunk id ever given."""
         at = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(at):
-            return {"tables": {}, "watermark": 0}
+            return {"tables": {}, "watermark": 0, "version": 0}
         file = self._fs.open(at)
         try:
             return json.loads(bytes(self._io.toByteArray(file)).decode())
@@ -44,14 +49,26 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
 
-    def commit(self, tables: dict[str, DataFrame], watermark: int | None = None) -> None:
-        now = self.state()
+    def staged(self) -> str:
+        """A folder of its own for what a run writes on the way."""
+        return f"{self.root}/staged-{uuid.uuid4().hex}"
+
+    def remove(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
+    def commit(self, tables: dict[str, DataFrame], watermark: int | None = None, since: dict | None = None) -> None:
+        """Writes the tables and makes them the current ones. Versions are numbered, and each is claimed by one commit; a commit that is made from `since`, a state read before,
+        fails where another run has committed in between, and so loses none of the other's rows."""
+        now = since or self.state()
+        now = {"tables": dict(now["tables"]), "watermark": now["watermark"], "version": now.get("version", 0)}
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
             writer = df.select(*(c.split(" ")[0] for c in SCHEMAS[name].split(", "))).write.mode("error")
             (writer.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.root}/{folder}")
             now["tables"][name] = folder
         now["watermark"] = max(now["watermark"], watermark or 0)
+        now["version"] += 1
+        self._claim(now["version"])
         temporary = self._path(f"{self.root}/CURRENT-{uuid.uuid4().hex}")
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(now).encode()))
@@ -64,9 +81,23 @@ class Store:
         qualify = self._fs.makeQualified
         context.rename(qualify(temporary), qualify(self._path(f"{self.root}/CURRENT")), options)
 
+    def _claim(self, version: int) -> None:
+        """Makes the file that stands for a version, which only one run can."""
+        taken = self.state().get("version", 0) >= version
+        try:
+            if not taken:
+                self._fs.create(self._path(f"{self.root}/VERSION-{version:012d}"), False).close()
+        except Py4JJavaError as error:
+            if "exists" not in str(error).lower():
+                raise
+            taken = True
+        if taken:
+            raise ConcurrentCommit(f"another run has committed version {version} of {self.root}; read it and start again")
+
     def vacuum(self) -> None:
         """Removes folders of versions before the current one; not while anyone still reads them."""
-        kept = {*self.state()["tables"].values(), "CURRENT"}
+        now = self.state()
+        kept = {*now["tables"].values(), "CURRENT", f"VERSION-{now.get('version', 0):012d}"}
         for status in self._fs.listStatus(self._path(self.root)):
             if status.getPath().getName() not in kept:
                 self._fs.delete(status.getPath(), True)

@@ -1,8 +1,11 @@
 import random
 import sqlite3
+import sys
+import types
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import evaluation, keyword, ranking, vectors
 from brindle.plans import search as plans
@@ -94,6 +97,51 @@ def test_dense_against_numpy(spark, monkeypatch):
         assert [out[i][r] for r in range(10)] == np.argsort(-(v @ q[i]), kind="stable")[:10].tolist()
 
 
+def test_vectors_that_cant_be_compared(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 2)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "chunk_id long, vector array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [2.0, 1.0])], "qid int, vector array<double>")
+    assert sorted((r.qid, r.chunk_id, r["rank"]) for r in vectors.search(rows, asked, 1).collect()) == [(0, 1, 0), (2, 3, 0), (3, 1, 0), (4, 1, 0)]
+    with pytest.raises(Exception, match="chunk 7 has 3 numbers"):
+        vectors.search(rows.unionByName(spark.createDataFrame([(7, [1.0, 2.0, 3.0])], rows.schema)), asked, 1).collect()
+    assert vectors.search(rows, asked.limit(0), 1).count() == 0 and vectors.search(rows.limit(0), asked, 1).count() == 0
+
+
+def test_best_rows_are_kept_before_the_shuffle(spark):
+    scored = spark.range(1000).select((F.col("id") % 3).cast("int").alias("qid"), F.col("id").alias("chunk_id"), (F.col("id") % 17).cast("double").alias("score"))
+    paths_ = spark.range(1000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("src/"), (F.col("id") % 9).cast("string")).alias("path"))
+    for found in (keyword.pool(scored, 5), ranking.capped(ranking.with_prior(keyword.pool(scored, 5), paths_), 3), ranking.fuse([keyword.pool(scored, 5)])):
+        assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_published_models_by_name(monkeypatch):
+    """The libraries aren't at hand: stand-ins with their interfaces show what is asked of them."""
+    asked = []
+    made = lambda **parts: type("M", (), {"__init__": lambda self, *a, **k: asked.append((a, k)), **parts})
+    modules = {
+        "sentence_transformers": {"SentenceTransformer": made(encode=lambda self, texts, **k: [[3.0, 4.0]] * len(texts)), "CrossEncoder": made(predict=lambda self, pairs, **k: [float(len(p)) for _, p in pairs])},
+        "torch": {"nn": type("N", (), {"Identity": object})},
+        "fastembed": {"TextEmbedding": made(embed=lambda self, texts, batch_size: ([float(batch_size), 0.0] for _ in texts))},
+        "fastembed.rerank": {},
+        "fastembed.rerank.cross_encoder": {"TextCrossEncoder": made(rerank=lambda self, q, ps, batch_size: [len(q) + len(p) for p in ps])},
+    }
+    for name, parts in modules.items():
+        module = types.ModuleType(name)
+        module.__dict__.update(parts)
+        monkeypatch.setitem(sys.modules, name, module)
+    assert vectors.factory_of("hashing")().embed(["a"]).shape == (1, 64)
+    assert vectors.factory_of("x/multilingual-e5-large@st-cuda")().embed(["a", "b"]).tolist() == [[3.0, 4.0]] * 2 and asked[-1] == (("x/multilingual-e5-large",), {"device": "cuda"})
+    assert [vectors.factory_of(n)().embed(["a"])[0][0] for n in ("x/bge-small", "x/e5", "other")] == [32, 16, 16]
+    assert ranking.scorer("x/reranker@st-cuda")(["q", "q"], ["a", "bb"]) == [1.0, 2.0] and asked[-1][1]["max_length"] == 512
+    n = len(asked)
+    assert ranking.scorer("x/mini")(["q", "rr", "q"], ["a", "b", "ccc"]) == [2.0, 3.0, 4.0] and ranking.scorer("x/mini")(["q"], ["a"]) == [2.0] and len(asked) == n + 1
+    assert ranking.scorer("x/mini")([], []) == []
+    ranking.register_scorer("mine", lambda: lambda queries, passages: [0.5] * len(queries))
+    assert ranking.scorer("mine")(["a"], ["b"]) == [0.5] and ranking.scorer("overlap")(["big cats"], ["a big cat"]) == [3.0]
+    ranking.unload_scorers()
+    vectors.unload()
+
+
 def test_models():
     assert vectors.parse_model("a/b@st-cuda") == ("a/b", "cuda") and vectors.parse_model("a/b") == ("a/b", "cpu")
     assert vectors.prefix("x/multilingual-e5-large@st-cuda", True) == "query: " and vectors.prefix("x/e5", False) == "passage: " and vectors.prefix("bge", True) == ""
@@ -111,6 +159,7 @@ Q = {"expected_paths": ["r/a.py", "r/b.py"], "expected_spans": ["r/a.py:100-120"
     (Q | {"expected_paths": ["r/a.py"], "expected_spans": None}, [("r/x.py", 1, 2), ("R\\A.py", 1, 2)], 2, 2),
     (Q | {"expected_spans": None, "expected_all": [["r/a.py"], ["r/b.py", "r/c.py"]]}, [("r/c.py", 1, 2), ("r/x.py", 1, 2), ("r/a.py", 1, 2)], 3, 3),
     (Q | {"expected_spans": None, "expected_all": [["r/a.py"], ["r/b.py", "r/c.py"]]}, [("r/c.py", 1, 2), ("r/b.py", 1, 2)], None, None),
+    (Q | {"expected_spans": [], "expected_all": []}, [("r/x.py", 1, 9), ("r/b.py", 1, 9)], 2, 2),
 ])
 def test_ranks_and_metrics(spark, question, hits, file_rank, span_rank):
     qs = spark.createDataFrame([(0, "q", None, "?", question["expected_paths"], question["expected_spans"], question["expected_all"])], evaluation.SCHEMA)
