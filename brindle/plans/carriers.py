@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import header
+from ..operators import keyword, vectors
+from ..sources.store import Store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,17 +43,45 @@ CHUNKS_SQL = f"chunks AS (SELECT doc_id AS chunk_id, {PATH_SQL.format(n='(doc_id
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each benchmark item as a query."""
-    words = F.slice(F.split("text", " "), 1, 4)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
-
-
-QUERIES_SQL = "queries AS (SELECT item_id AS qid, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS query FROM benchmark)"
-
-
-def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of each benchmark item as a query."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-WHOLE_QUERIES_SQL = "queries AS (SELECT item_id AS qid, text AS query FROM benchmark)"
+QUERIES_SQL = "queries AS (SELECT item_id AS qid, text AS query FROM benchmark)"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where Spark runs on this machine alone."""
+    said = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if said:
+        return said
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    said = tempfile.mkdtemp(prefix="brindle-")
+    spark.conf.set("spark.checkpoint.dir", said)
+    return said
+
+
+def stored(spark: SparkSession, sf_dir: str, stem: bool) -> Store:
+    """An index of the documents as chunks: built by the first query that needs it, read by the others, as long as the files are the same; it goes when the driver
+    ends. Vectors are those of the embeddings table where words aren't stemmed, and of the hashing model where they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files_ = path(sf_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = [(name, s.getLen(), s.getModificationTime()) for name in ("documents", "embeddings") for s in files_.globStatus(path(f"{sf_dir}/{name}.parquet"))]
+    root = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{crc32(repr((sf_dir, seen, stem)).encode()):08x}"
+    store = Store(spark, root)
+    if not store.state()["version"]:
+        build(spark, sf_dir, store, stem)
+        shared = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        shared.deleteOnExit(path(root))
+    return store
+
+
+def build(spark: SparkSession, sf_dir: str, store: Store, stem: bool) -> None:
+    own = chunks(spark, sf_dir).withColumn("header", header("path", "symbol", "kind"))
+    index = keyword.build(own, stem)
+    if stem:
+        rows = vectors.embed_chunks(own, "hashing")
+    else:
+        rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("vector"), F.lit("given").alias("model"))
+    store.commit({"chunks": own, "postings": index.postings, "lengths": index.lengths, "embeddings": rows})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from dataclasses import replace
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +13,10 @@ from ..functions import redaction, text
 from ..functions.stemming import stemmed
 from ..operators import chunking, evaluation, keyword, ranking, vectors
 from ..sources import files as sources
+from ..sources.store import Store
 from . import search as plans
-from .carriers import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, WHOLE_QUERIES_SQL, chunks, files, queries, table, whole_queries
-from .indexing import file_diff
+from .carriers import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, chunks, files, queries, shared_dir, stored, table
+from .indexing import file_diff, index_files
 
 DIGITS, K = 6, 8
 POOL = ranking.pool_size(K)
@@ -154,7 +157,11 @@ _NAMES = """n AS (SELECT doc_id, replace(['a%d.py','B%d.PY','my_secret%d.md','.e
   ['','src/pkg','src/vendor_libs/x','Build/out','.venv/lib','docs','gen_generated','a/node_modules/b','src/core','tests/unit'][(doc_id // 10) % 10 + 1] AS rel_dir, n_chars * 100 AS size FROM documents),
 c AS (SELECT *, CASE WHEN contains(lower(name), 'credential') OR contains(lower(name), 'secret') OR contains(lower(name), '.env') OR regexp_matches(lower(name), '\\.(pem|key|p12)$') THEN 'secret_like_name'
   WHEN NOT regexp_matches(lower(name), '^.+\\.(py|md|rst|txt|yaml|yml|toml|cfg|ini|sh|j2)$') THEN 'extension_not_included' WHEN size > 307200 THEN 'too_large' END AS reason,
-  regexp_extract(lower(rel_dir), '^(?:(?:.*/)?(?:\\.venv|node_modules|build)(?:/|$)|.*?(?:vendor|third_party|thirdparty|_generated)[^/]*)') AS hit FROM n)"""
+  list_filter(list_transform(range(1, len(string_split(rel_dir, '/')) + 1), lambda i: array_to_string(list_slice(string_split(rel_dir, '/'), 1, i), '/')),
+    lambda d: list_contains({names}, lower(string_split(d, '/')[-1])) OR len(list_filter({parts}, lambda v: contains(lower(d), v))) > 0)[1] AS pruned_at FROM n),
+d AS (SELECT *, CASE WHEN list_contains({names}, lower(string_split(pruned_at, '/')[-1])) THEN 'skip_dir_name' WHEN pruned_at IS NOT NULL THEN 'vendored_or_generated' END AS dir_reason FROM c)""".replace(
+    "{names}", f"[{', '.join(map(_quote, sources.SKIPPED_DIRECTORIES))}]"
+).replace("{parts}", f"[{', '.join(map(_quote, sources.VENDORED))}]")
 
 
 def file_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +173,6 @@ def dir_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listing(spark, sf_dir).select("doc_id", "rel_dir", at.alias("pruned_at"), sources.directory_reason(at).alias("reason"))
 
 
-_PRUNED = {"src/vendor_libs/x": ("src/vendor_libs", "vendored_or_generated"), "Build/out": ("Build", "skip_dir_name"), ".venv/lib": (".venv", "skip_dir_name"), "gen_generated": ("gen_generated", "vendored_or_generated"), "a/node_modules/b": ("a/node_modules", "skip_dir_name")}
-_DIR_CASE = lambda i: "CASE rel_dir " + " ".join(f"WHEN '{d}' THEN '{v[i]}'" for d, v in _PRUNED.items()) + " END"
-
-
 def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.coalesce(sources.directory_reason(sources.pruned_at(F.col("rel_dir"))), sources.file_reason(F.col("name"), F.col("size")))
     return _listing(spark, sf_dir).select(reason.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -179,12 +182,12 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The documents before: without every ninth, with another text in every fifth; and now: without every eleventh."""
+def _snapshots(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """path and sha256, and the text if the whole is asked for, of the documents before: without every ninth, with another text in every fifth; and now: without every eleventh."""
     now = files(spark, sf_dir)
-    sha = lambda t: F.sha2(t.cast("binary"), 256).alias("sha256")
-    before = now.filter("doc_id % 9 <> 0").select("path", sha(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
-    return before, now.filter("doc_id % 11 <> 0").select("path", sha(F.col("text")))
+    before = now.filter("doc_id % 9 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    sha = F.sha2(F.col("text").cast("binary"), 256).alias("sha256")
+    return tuple(df.select("path", sha, *(["text"] if whole else [])) for df in (before, now.filter("doc_id % 11 <> 0")))
 
 
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +200,7 @@ SELECT coalesce(b.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'deleted'
 
 
 def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, now = _snapshots(spark, sf_dir)
-    return before.join(now, "path", "left_anti").select("path")
+    return file_diff(*_snapshots(spark, sf_dir)).filter("status = 'deleted'").select("path")
 
 
 def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,19 +257,15 @@ _PRIOR = "CASE WHEN regexp_matches({p}, '(?i)(^|/)(tests?|docs?|examples?|benchm
 # Keyword search, unstemmed so that SQL can follow
 
 
-def _index(spark: SparkSession, sf_dir: str) -> keyword.KeywordIndex:
-    return keyword.build(chunks(spark, sf_dir), stem=False)
+def _corpus(spark: SparkSession, sf_dir: str) -> plans.Corpus:
+    """The stored index, with the vectors of the embeddings table as those of the queries of the same numbers."""
+    corpus = plans.open_store(stored(spark, sf_dir, stem=False), "given")
+    return replace(corpus, embed_queries=lambda q: _asked(spark, sf_dir).join(q.select("qid"), "qid", "left_semi"), stem=False, digits=DIGITS)
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _index(spark, sf_dir)
-    common = found.postings.filter("field = 'body'").groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df >= 3")
-    return common.join(F.broadcast(found.lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("length").cast("long").alias("n_terms"))))
-
-
-def bm25_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bm25_stats for every term of both fields; bm25_stats has the terms of bodies that three chunks hold at least, as its SQL does."""
-    found = _index(spark, sf_dir)
+    """Statistics of every term of both fields."""
+    found = _corpus(spark, sf_dir).index
     each = found.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     return each.join(F.broadcast(found.lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("length").cast("long").alias("n_terms"))))
 
@@ -298,13 +296,22 @@ def _final_sql(name: str, source: str, k: int = K) -> str:
 {name} AS (SELECT qid, chunk_id, path, score, (row_number() OVER (PARTITION BY qid ORDER BY r) - 1)::INT AS rank FROM {name}_c WHERE f <= 2 QUALIFY rank < {k})"""
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
-    found = keyword.search(_index(spark, sf_dir), asked_by(spark, sf_dir), POOL, stem=False, digits=DIGITS)
-    return ranking.capped(ranking.with_prior(found, chunks(spark, sf_dir), DIGITS), K).select("qid", "chunk_id", "path", "score", "rank")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _corpus(spark, sf_dir)
+    return plans.final(corpus, plans.keyword_pool(corpus, queries(spark, sf_dir), POOL), K).select("qid", "chunk_id", "path", "score", "rank")
+
+
+def bm25_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.keyword_pool(_corpus(spark, sf_dir), queries(spark, sf_dir), POOL, "src3")
 
 
-def bm25_repo(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
-    return keyword.search(_index(spark, sf_dir), asked_by(spark, sf_dir), POOL, "src3", stem=False, digits=DIGITS)
+def bm25_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole results of the stored index, with the fields and snippets of their chunks."""
+    return plans.search(_corpus(spark, sf_dir), queries(spark, sf_dir), K, "bm25")
+
+
+def hybrid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.search(_corpus(spark, sf_dir), queries(spark, sf_dir), K, "hybrid")
 
 
 # Vector search
@@ -332,7 +339,7 @@ def dense_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit vectors of the events' values and their neighbours in the hour; zeros stay."""
+    """Unit vectors made of the events' values and numbers; zeros stay."""
     raw = table(spark, sf_dir, "events").select("event_id", F.array(F.floor("value"), F.floor("value") % 3, F.col("event_id") % 2).cast("array<double>").alias("v"))
     unit = vectors.normalize("v")
     return raw.select("event_id", *(F.round(unit[i], DIGITS).alias(f"x{i}") for i in range(3)))
@@ -341,14 +348,8 @@ def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fusion
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> plans.Corpus:
-    own = chunks(spark, sf_dir).withColumn("header", text.header("path", "symbol", "kind"))
-    return plans.Corpus(own, keyword.build(own, stem=False), _vectors(spark, sf_dir), lambda q: _asked(spark, sf_dir).join(q.select("qid"), "qid", "left_semi"), stem=False, digits=DIGITS)
-
-
-def rrf_fuse(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
-    corpus = _corpus(spark, sf_dir)
-    asked = asked_by(spark, sf_dir)
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, asked = _corpus(spark, sf_dir), queries(spark, sf_dir)
     return ranking.fuse([plans.keyword_pool(corpus, asked, POOL), plans.dense_pool(corpus, asked, POOL)], weights=[ranking.KEYWORD_WEIGHT, 1.0], digits=DIGITS)
 
 
@@ -358,26 +359,32 @@ fused_s AS (SELECT coalesce(kp.qid, dp.qid) AS qid, coalesce(kp.chunk_id, dp.chu
 {_ranked_sql('fused', 'fused_s', 10**9, 'score DESC, a NULLS LAST, b NULLS LAST')}"""
 
 
-def hybrid_topk(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
-    return plans.hybrid_candidates(_corpus(spark, sf_dir), asked_by(spark, sf_dir), K).select("qid", "chunk_id", "path", "score", "rank")
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.hybrid_candidates(_corpus(spark, sf_dir), queries(spark, sf_dir), K).select("qid", "chunk_id", "path", "score", "rank")
 
 
-def rerank_fuse(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
+def rerank_fuse(spark: SparkSession, sf_dir: str, first: int = ranking.RERANKED, k: int = K) -> DataFrame:
     """Relevance: the share of the query's tokens that the chunk's text has, as a logit."""
-    corpus, asked = _corpus(spark, sf_dir), asked_by(spark, sf_dir)
-    candidates = plans.hybrid_candidates(corpus, asked, ranking.RERANKED).select("qid", "chunk_id", "score", "rank")
-    rows = candidates.join(chunks(spark, sf_dir).select("chunk_id", text.query_tokens("text").alias("has")), "chunk_id").join(asked.select("qid", text.query_tokens("query").alias("wants")), "qid")
+    corpus, asked = _corpus(spark, sf_dir), queries(spark, sf_dir)
+    candidates = plans.hybrid_candidates(corpus, asked, first).select("qid", "chunk_id", "score", "rank")
+    rows = candidates.filter(F.col("rank") < ranking.RERANKED).join(chunks(spark, sf_dir).select("chunk_id", text.query_tokens("text").alias("has")), "chunk_id").join(asked.select("qid", text.query_tokens("query").alias("wants")), "qid")
     share = F.size(F.array_intersect("has", "wants")) / F.greatest(F.lit(1), F.size("wants"))
     relevance = rows.select("qid", "chunk_id", F.round(text.to_unit_interval(6 * share - 3), DIGITS).alias("relevance"))
-    return ranking.rerank(candidates, relevance, corpus.chunks, K, digits=DIGITS).select("qid", "chunk_id", "score", "rank")
+    return ranking.rerank(candidates, relevance, corpus.chunks, k, digits=DIGITS).select("qid", "chunk_id", "score", "rank")
 
 
-_RERANK = f"""WITH {_fused_sql(120)}, {_final_sql('cand', 'fused', 20)},
+def rerank_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More candidates and results than are reranked: the rest follow with score 0."""
+    return rerank_fuse(spark, sf_dir, 28, 26)
+
+
+def _rerank_sql(first: int, k: int) -> str:
+    return f"""WITH {_fused_sql(max(30, 6 * first))}, {_final_sql('cand', 'fused', first)},
 rel AS (SELECT c.qid, c.chunk_id, c.path, c.rank, round(0.5 * (1 + tanh((6.0 * len(list_intersect(list_distinct({_TOKENS.format(t='k.text')}), list_distinct({_TOKENS.format(t='q.query')}))) / greatest(1, len(list_distinct({_TOKENS.format(t='q.query')}))) - 3) / 2)), {DIGITS}) AS rel
-  FROM cand c JOIN chunks k USING (chunk_id) JOIN queries q ON q.qid = c.qid),
+  FROM cand c JOIN chunks k USING (chunk_id) JOIN queries q ON q.qid = c.qid WHERE c.rank < 20),
 own AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rel * {_PRIOR.format(p='path')}, {DIGITS + 1}) DESC, rank) - 1 AS second FROM rel),
-again AS (SELECT qid, chunk_id, round(1.0 / (61 + rank) + 1.0 / (61 + second), {DIGITS}) AS score, rank AS came FROM own)
-SELECT qid, chunk_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, came) - 1)::INT AS rank FROM again QUALIFY rank < {K}"""
+again AS (SELECT qid, chunk_id, round(1.0 / (61 + rank) + 1.0 / (61 + second), {DIGITS}) AS score, rank AS came FROM own UNION ALL SELECT qid, chunk_id, 0.0, rank FROM cand WHERE rank >= 20)
+SELECT qid, chunk_id, score::DOUBLE AS score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, came) - 1)::INT AS rank FROM again QUALIFY rank < {k}"""
 
 
 def file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,36 +449,67 @@ round(avg(coalesce(1.0 / {r}, 0)), {DIGITS}) AS {p}mrr, coalesce(string_agg(id,
 
 
 def repo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).groupBy("repo").agg(F.count(F.lit(1)).alias("chunks"))
+    return stored(spark, sf_dir, stem=False).repos()
+
+
+def repo_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, stem=False).repo_ids("src3")
 
 
 def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by the ids that the embeddings name; ids without a chunk give nothing."""
     ids = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("chunk_id")).distinct()
-    return chunks(spark, sf_dir).join(ids, "chunk_id").select("chunk_id", "path", "repo", F.length("text").cast("long").alias("n_chars"))
+    return stored(spark, sf_dir, stem=False).chunks_by_id(ids).select("chunk_id", "path", "repo", F.length("text").cast("long").alias("n_chars"))
+
+
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of the stored index, and its highest id."""
+    store = stored(spark, sf_dir, stem=False)
+    parts = [store.read(t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n"), F.max("chunk_id").alias("last")) for t in ("chunks", "postings", "lengths", "embeddings")]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def stemmed_search(spark: SparkSession, sf_dir: str, asked_by=queries) -> DataFrame:
-    """Search with stems, as the index uses them, and the hashing model."""
-    own = chunks(spark, sf_dir).withColumn("header", text.header("path", "symbol", "kind"))
-    embedded = vectors.embed_chunks(own, "hashing").select("chunk_id", "vector")
-    corpus = plans.Corpus(own, keyword.build(own), embedded, lambda q: vectors.embed(q, "hashing", "query", query=True, keep="qid"))
-    return plans.search(corpus, asked_by(spark, sf_dir), K, "hybrid+rerank")
+_TABLES = """SELECT 'chunks' AS name, count(*) AS n, max(chunk_id) AS last FROM chunks UNION ALL SELECT 'postings', count(*), max(chunk_id) FROM post
+UNION ALL SELECT 'lengths', count(*), max(chunk_id) FROM lengths UNION ALL SELECT 'embeddings', count(*), max(vec_id) FROM embeddings"""
 
 
-#: The keyword, hybrid and rerank queries with whole benchmark items as queries; those above ask the first four words only, as their SQL does.
-WHOLE = {f"{f.__name__}_whole": partial(f, asked_by=whole_queries) for f in (bm25_topk, bm25_repo, rrf_fuse, hybrid_topk, rerank_fuse, stemmed_search)}
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of one day are indexed, then those of the next: hash, chunks and vectors of each file that is there. Rows of files that went or changed must be gone from every table."""
+    store = Store(spark, f"{shared_dir(spark)}/update-{uuid4().hex}")
+    for number in (0, 1):
+        found = _snapshots(spark, sf_dir, whole=True)[number]
+        index_files(store, found.withColumns({"size": F.octet_length("text").cast("long"), "mtime": F.lit(float(number)), "repo": F.lit("r"), "suffix": F.lit(".txt")}), ["hashing"])
+    path = spark._jvm.org.apache.hadoop.fs.Path(store.root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    count = lambda df, name: df.groupBy("path").agg(F.count(F.lit(1)).alias(name))
+    own = store.read("chunks").select("chunk_id", "path")
+    # Rows of ids that no chunk has would show as those of a file without a name.
+    of = lambda name: store.read(name).join(own, "chunk_id", "left")
+    out = store.read("files").select("path", "sha256")
+    for df, name in ((own, "chunks"), (of("embeddings"), "vectors"), (of("lengths"), "lengths")):
+        out = out.join(count(df, name), "path", "full_outer")
+    return out.select("path", "sha256", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "vectors", "lengths")))
+
+
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search of the stored index with stems and the hashing model."""
+    return plans.search(plans.open_store(stored(spark, sf_dir, stem=True)), queries(spark, sf_dir), K, "hybrid+rerank")
 
 QUERIES = {
     "line_windows": line_windows, "char_split": char_split, "oversize_split": oversize_split, "markdown_sections": markdown_sections, "python_ast_chunks": python_ast_chunks, "gap_merge": gap_merge,
     "redact": redact, "redact_counts": redact_counts, "file_classify": file_classify, "dir_prune": dir_prune, "skip_counts": skip_counts, "content_hash": content_hash, "file_diff": diff_files,
     "deleted_files": deleted_files, "missing_embeddings": missing_embeddings, "identifier_split": identifier_split, "header_tokens": header_tokens, "query_tokens": query_tokens,
-    "stopword_filter": stopword_filter, "stem_vocab": stem_vocab, "snippet": snippets, "source_prior": source_prior, "bm25_stats": bm25_stats, "bm25_stats_whole": bm25_stats_whole, "bm25_topk": bm25_topk, "bm25_repo": bm25_repo,
+    "stopword_filter": stopword_filter, "stem_vocab": stem_vocab, "snippet": snippets, "source_prior": source_prior, "bm25_stats": bm25_stats, "bm25_topk": bm25_topk, "bm25_repo": bm25_repo,
+    "bm25_results": bm25_results, "hybrid_results": hybrid_results, "rerank_tail": rerank_tail, "repo_ids": repo_ids, "index_tables": index_tables, "index_update": index_update,
     "dense_topk": dense_topk, "dense_repo": dense_repo, "normalize": normalize, "rrf_fuse": rrf_fuse, "hybrid_topk": hybrid_topk, "rerank_fuse": rerank_fuse, "file_cap": file_cap,
     "eval_file": eval_file, "eval_span": eval_span, "eval_metrics": eval_metrics, "repo_counts": repo_counts, "chunk_lookup": chunk_lookup, "stemmed_search": stemmed_search,
-    **WHOLE,
 }
 
+_SNIPPET = "CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(regexp_replace(regexp_replace(substr(t, 1, 240), '\\n[^\\n]*$', ''), '^\\s+', ''), '\\s+$', '') || ' ...' END"
+_RESULTS = f"""SELECT f.qid, f.rank, f.chunk_id, c.path, c.repo, c.symbol, c.kind, 1 AS start_line, 60 AS end_line, {_SNIPPET} AS snippet, f.score
+FROM found f JOIN (SELECT *, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM chunks) c USING (chunk_id)"""
+_NOW_SQL = FILES_SQL + ", now_files AS (SELECT path, sha256(text) AS h FROM files WHERE doc_id % 11 <> 0)"
+
 ORACLES = {
     "line_windows": f"WITH {_WINDOWS} SELECT * FROM windows",
     "char_split": f"WITH {CHUNKS_SQL} {_CHARS.format(source='chunks', extra='')}",
@@ -481,8 +519,8 @@ ORACLES = {
     "redact": f"WITH {_FAKED}, {_STEPS} SELECT doc_id, t8 AS text FROM r8",
     "redact_counts": f"WITH {_FAKED}, {_STEPS} SELECT kind, sum(n)::BIGINT AS hits FROM ({_HITS}) GROUP BY kind HAVING sum(n) > 0",
     "file_classify": f"WITH {_NAMES} SELECT doc_id, name, reason FROM c",
-    "dir_prune": f"WITH {_NAMES} SELECT doc_id, rel_dir, {_DIR_CASE(0)} AS pruned_at, {_DIR_CASE(1)} AS reason FROM n",
-    "skip_counts": f"WITH {_NAMES} SELECT r AS reason, count(*) AS n FROM (SELECT coalesce({_DIR_CASE(1)}, reason) AS r FROM c) WHERE r IS NOT NULL GROUP BY r",
+    "dir_prune": f"WITH {_NAMES} SELECT doc_id, rel_dir, pruned_at, dir_reason AS reason FROM d",
+    "skip_counts": f"WITH {_NAMES} SELECT r AS reason, count(*) AS n FROM (SELECT coalesce(dir_reason, reason) AS r FROM d) WHERE r IS NOT NULL GROUP BY r",
     "content_hash": f"WITH {FILES_SQL} SELECT path, sha256(text) AS sha256 FROM files",
     "file_diff": _DIFF,
     "deleted_files": f"WITH {FILES_SQL} SELECT path FROM files WHERE doc_id % 9 <> 0 AND doc_id % 11 = 0",
@@ -491,10 +529,9 @@ ORACLES = {
     "header_tokens": f"WITH {CHUNKS_SQL} SELECT chunk_id, path || ' | ' || symbol || ' | ' || kind AS header, array_to_string(list_filter(regexp_split_to_array(lower(path || ' ' || symbol || ' ' || kind || ' ' || repo), '[\\\\/_\\-.\\s]+'), lambda p: p <> ''), ' ') AS tokens FROM chunks",
     "query_tokens": f"SELECT item_id, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: list_position(l, z[1]) = z[2]), lambda z: z[1]), ' ') AS tokens FROM (SELECT item_id, {_TOKENS.format(t='text')} AS l FROM benchmark)",
     "stopword_filter": f"SELECT doc_id, len({_TOKENS.format(t="coalesce(text, '')")}) AS n_tokens FROM documents",
-    "snippet": f"WITH {CHUNKS_SQL}, s AS (SELECT chunk_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM chunks) SELECT chunk_id, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(regexp_replace(regexp_replace(substr(t, 1, 240), '\\n[^\\n]*$', ''), '^\\s+', ''), '\\s+$', '') || ' ...' END AS snippet FROM s",
+    "snippet": f"WITH {CHUNKS_SQL}, s AS (SELECT chunk_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM chunks) SELECT chunk_id, {_SNIPPET} AS snippet FROM s",
     "source_prior": f"WITH {CHUNKS_SQL} SELECT chunk_id, path, ({_PRIOR.format(p='path')})::DOUBLE AS prior FROM chunks",
-    "bm25_stats": f"WITH {_KEYWORD} SELECT term, df, (SELECT n FROM corpus) AS n_chunks, (SELECT sum(length)::BIGINT FROM lengths) AS n_terms FROM df WHERE field = 'body' AND df >= 3",
-    "bm25_stats_whole": f"WITH {_KEYWORD} SELECT field, term, df, (SELECT n FROM corpus) AS n_chunks, (SELECT sum(length)::BIGINT FROM lengths) AS n_terms FROM df",
+    "bm25_stats": f"WITH {_KEYWORD} SELECT field, term, df, (SELECT n FROM corpus) AS n_chunks, (SELECT sum(length)::BIGINT FROM lengths) AS n_terms FROM df",
     "bm25_topk": f"WITH {_KEYWORD}, {_ranked_sql('pool', 'scored', POOL)}, {_final_sql('found', 'pool')} SELECT * FROM found",
     "bm25_repo": f"WITH {_KEYWORD}, mine AS (SELECT scored.* FROM scored JOIN chunks USING (chunk_id) WHERE repo = 'src3'), {_ranked_sql('pool', 'mine', POOL)} SELECT * FROM pool",
     "dense_topk": f"WITH {CHUNKS_SQL}, {_DENSE.format(where='')}, {_ranked_sql('pool', 'dense', POOL)}, {_final_sql('found', 'pool')} SELECT * FROM found",
@@ -502,7 +539,13 @@ ORACLES = {
     "normalize": f"WITH v AS (SELECT event_id, floor(value) AS a, floor(value)::BIGINT % 3 AS b, event_id % 2 AS c FROM events), n AS (SELECT *, CASE WHEN a = 0 AND b = 0 AND c = 0 THEN 1.0 ELSE sqrt((a * a + b * b + c * c)::DOUBLE) END AS l FROM v) SELECT event_id, round(a / l, {DIGITS}) AS x0, round(b / l, {DIGITS}) AS x1, round(c / l, {DIGITS}) AS x2 FROM n",
     "rrf_fuse": f"WITH {_fused_sql(POOL)} SELECT * FROM fused",
     "hybrid_topk": f"WITH {_fused_sql(POOL)}, {_final_sql('found', 'fused')} SELECT * FROM found",
-    "rerank_fuse": _RERANK,
+    "rerank_fuse": _rerank_sql(20, K),
+    "rerank_tail": _rerank_sql(28, 26),
+    "bm25_results": f"WITH {_KEYWORD}, {_ranked_sql('pool', 'scored', POOL)}, {_final_sql('found', 'pool')} {_RESULTS}",
+    "hybrid_results": f"WITH {_fused_sql(POOL)}, {_final_sql('found', 'fused')} {_RESULTS}",
+    "repo_ids": f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE repo = 'src3'",
+    "index_tables": f"WITH {_KEYWORD} {_TABLES}",
+    "index_update": f"WITH {_OVERSIZE.replace(FILES_SQL, _NOW_SQL)}".replace("SELECT path, symbol, start_line, end_line, text FROM windows WHERE", "SELECT n.path, n.h AS sha256, count(w.path) AS chunks, count(w.path) AS vectors, count(w.path) AS lengths FROM now_files n LEFT JOIN (SELECT path, symbol, start_line, end_line, text FROM windows WHERE", 1) + ") w ON w.path = n.path GROUP BY n.path, n.h",
     "file_cap": _CAP,
     "eval_file": f"{_EVAL} SELECT qid, file_rank FROM ranks",
     "eval_span": f"{_EVAL} SELECT qid, span_rank FROM ranks",
@@ -510,4 +553,3 @@ ORACLES = {
     "repo_counts": f"WITH {CHUNKS_SQL} SELECT repo, count(*) AS chunks FROM chunks GROUP BY repo",
     "chunk_lookup": f"WITH {CHUNKS_SQL} SELECT chunk_id, path, repo, length(text) AS n_chars FROM chunks WHERE chunk_id IN (SELECT vec_id * 3 FROM embeddings)",
 }
-ORACLES |= {name: ORACLES[name.removesuffix("_whole")].replace(QUERIES_SQL, WHOLE_QUERIES_SQL) for name in WHOLE if name.removesuffix("_whole") in ORACLES}

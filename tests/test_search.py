@@ -177,26 +177,31 @@ def test_unknown_mode():
 
 
 def test_whole_items_are_asked(spark):
-    """Words after the fourth count, and SQL asks the same."""
     import __spark_entry__
     from brindle.plans import carriers, catalogue
 
     sf_dir = __spark_entry__.SMOKE_DIR
     texts = {r.item_id: r.text for r in carriers.table(spark, sf_dir, "benchmark").collect()}
-    assert {r.qid: r["query"] for r in carriers.whole_queries(spark, sf_dir).collect()} == texts and min(len(t.split()) for t in texts.values()) > 4
-    short, whole = ({(r.qid, r.chunk_id, r.score) for r in catalogue.QUERIES[n](spark, sf_dir).collect()} for n in ("bm25_topk", "bm25_topk_whole"))
-    assert short != whole
-    assert {(r.qid, r.chunk_id) for r in __spark_entry__.entry(spark).collect()} == {(r.qid, r.chunk_id) for r in catalogue.QUERIES["hybrid_topk_whole"](spark, sf_dir).collect()}
-    for name in ("bm25_topk", "bm25_repo", "rrf_fuse", "hybrid_topk", "rerank_fuse"):
-        assert carriers.WHOLE_QUERIES_SQL in catalogue.ORACLES[f"{name}_whole"] and carriers.QUERIES_SQL in catalogue.ORACLES[name]
+    assert {r.qid: r["query"] for r in carriers.queries(spark, sf_dir).collect()} == texts
+    assert {(r.qid, r.chunk_id) for r in __spark_entry__.entry(spark).collect()} == {(r.qid, r.chunk_id) for r in catalogue.QUERIES["hybrid_topk"](spark, sf_dir).collect()}
 
 
 def test_statistics_have_every_term_and_field(spark):
     import __spark_entry__
     from brindle.plans import carriers, catalogue
 
-    rows = catalogue.QUERIES["bm25_stats_whole"](spark, __spark_entry__.SMOKE_DIR).collect()
+    rows = catalogue.QUERIES["bm25_stats"](spark, __spark_entry__.SMOKE_DIR).collect()
     terms = {(r.field, r.term): r.df for r in rows}
     assert len(terms) == len(rows) and {f for f, _ in terms} == {"header", "body"} and min(terms.values()) == 1
     n = carriers.table(spark, __spark_entry__.SMOKE_DIR, "documents").count()
     assert terms["header", "window"] == n and all(r.n_chunks == n for r in rows)
+
+
+def test_the_index_is_built_once_and_searches_read_it(spark):
+    import __spark_entry__
+    from brindle.plans import carriers, catalogue
+
+    store = carriers.stored(spark, __spark_entry__.SMOKE_DIR, stem=False)
+    version = store.state()["version"]
+    plan = catalogue.QUERIES["bm25_topk"](spark, __spark_entry__.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert store.state()["version"] == version and "documents.parquet" not in plan and "ArrowEvalPython" not in plan
