@@ -1,7 +1,7 @@
 """Operator 6: byte-level BPE encoding and decoding.
 
 A text is split by the tokenizer's pattern; each match is merged by a rank queue. The queue holds, for each merge rank, a bucket of
-positions in a linked list of parts. A bitmap in three levels marks the buckets that aren't empty, so that the next rank is found by a
+positions in a linked list of parts. A bitmap in two levels marks the buckets that aren't empty, so that the next rank is found by a
 find-first-set on each level, whatever the number of ranks. A merge leaves the entries of its neighbours in place; an entry whose pair has
 changed since is recognised by its rank and skipped. A match of n bytes takes O(n) queue operations, so matches without any break, of
 megabytes, don't take quadratic time. Matches of up to MEMO_CHARS characters are merged once and kept in a bounded memo of the worker.

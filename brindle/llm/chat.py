@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import Scratch, pick, table
 
 BLOCK = 256
 
@@ -39,9 +39,10 @@ def prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     return joined.select("conv_id", "position", *(F.bit_xor(f"x{i}").over(running).bitwiseXOR(F.col(f"s{i}")).alias(f"p{i}") for i in (1, 2)), "x1", "x2")
 
 
-def maximal(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def maximal(turns: DataFrame, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """conv_id, n_turns and copies of the conversations that no other one continues."""
-    nodes = prefixes(turns, block)
+    # Written once, as hashes only: it is read for the ends and for what is continued.
+    nodes = (scratch or Scratch(turns.sparkSession)).keep(prefixes(turns, block), "prefixes")
     last = F.max_by(F.struct("p1", "p2"), "position")
     ends = nodes.groupBy("conv_id").agg(F.max("position").alias("n_turns"), last.alias("p")).groupBy("n_turns", "p").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     continued = nodes.filter("position > 1").select((F.col("position") - 1).alias("n_turns"), F.struct(F.col("p1").bitwiseXOR(F.col("x1")).alias("p1"), F.col("p2").bitwiseXOR(F.col("x2")).alias("p2")).alias("p")).distinct()
@@ -54,7 +55,9 @@ def rendering(role: str | Column, text: str | Column) -> Column:
 
 def render(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, n_turns, copies and the rendered text of the maximal conversations."""
-    kept = maximal(turns, block)
+    scratch = Scratch(turns.sparkSession)
+    kept = scratch.keep(maximal(turns, block, scratch), "kept")
+    scratch.only("kept")
     rows = pick(turns, "conv_id", "turn", "role", "text").join(kept.select("conv_id"), "conv_id", "left_semi")
     parts = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     # A conversation's text is one value of the result, so its turns must come together here.

@@ -127,6 +127,24 @@ def bounded_sample(rows: DataFrame, per_class: int, classes: int, size: int = SA
     return [r["text"] for r in found], [r["y"] for r in found]
 
 
+#: A key that at least one row in so many has is hot, so there are so many hot keys at most.
+HOT = 1024
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """left joined to right, which has a key once at most (inner or left join). Rows of hot keys are looked up in a broadcast table of at most `hot` rows, so that none of them is
+    dealt by its key; the others are joined as usual. left is read three times, so it is a written table or cheap."""
+    total = left.count()
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * hot >= total).select(key)
+    found = right.join(counts, key, "left_semi").collect()
+    if not found:
+        return left.join(right, key, how)
+    few = F.broadcast(left.sparkSession.createDataFrame(found, right.schema))
+    names = [c for c in left.columns + right.columns if c != key]
+    some = left.join(few, key).select(key, *names)
+    return some.unionByName(left.join(few.select(key), key, "left_anti").join(right, key, how).select(key, *names))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Lets Spark hand Python batches of some megabytes rather than its 64 MB, as each core holds several at once. A smaller setting stays."""
     key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20

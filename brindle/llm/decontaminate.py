@@ -6,8 +6,11 @@ verified upwards: pieces are the leaves of a binary tree in which a node with bu
 edits holds one child within its budget. Each node on the way is searched around the hit with Myers' bit-parallel algorithm; a chance hit mostly ends at the
 first node. At the root the least distance counts.
 
-Texts and items are compared in lower case, with each run of white space as one blank. The items are a stated query set: they are collected in blocks of
-BLOCK characters, each broadcast and matched against every whole text. Nothing is shuffled, so no text, however common, makes a hot key.
+Texts and items are compared in lower case, with each run of white space as one blank. The items are a stated query set: they are collected in blocks of about
+BLOCK characters, each broadcast and matched against every whole text; the driver holds one block at a time, and what a block finds is written before the next is
+read. Nothing is shuffled, so no text, however common, makes a hot key.
+
+An item of fewer than SHORT characters that allows no edit is found only where neither a letter nor a digit stands on either side, as it would be found in longer words.
 
 Defined results: null and empty texts hold no item; null, empty and blank items are found nowhere; equal items are each reported; a repeated row is reported
 as often as it is there; without items nothing is reported; other columns don't matter.
@@ -16,6 +19,8 @@ as often as it is there; without items nothing is reported; other columns don't
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
+from functools import partial, reduce
 from zlib import crc32
 
 import ahocorasick
@@ -23,16 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_slice, kept, pick, small_batches, table, worker_state
+from .common import Scratch, each_slice, kept, pick, small_batches, table, worker_state
 
 RATE = 0.1
-BLOCK = 8 << 20
+BLOCK, SHORT = 8 << 20, 10
 
 
 def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+def apart(text: str, start: int, end: int) -> bool:
+    """Whether neither a letter nor a digit stands on either side of a part of a text."""
+    return not (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum())
+
+
 class Node:
     """A part of an item with its error budget."""
 
@@ -112,6 +122,8 @@ class Matcher:
                 origin = last + 1 - size - leaf.start
                 if any(abs(origin - o) <= k for o, k in seen[item]) if item in seen else False:
                     continue
+                if leaf.parent is None and len(item) < SHORT and not apart(text, origin, last + 1):
+                    continue
                 distance, node, root = 0, leaf.parent, leaf
                 while node is not None:
                     root, k = node, node.budget
@@ -143,13 +155,17 @@ def _matches(docs: DataFrame, items: list[tuple[object, str]], rate: float, keep
     return small_batches(docs).mapInArrow(each_slice(work, "text"), schema)
 
 
-def blocks(items: DataFrame) -> list[list[tuple[object, str]]]:
-    """The items, in blocks of bounded size."""
+def blocks(items: DataFrame) -> list[Callable[[], list[tuple[object, str]]]]:
+    """What reads each block of the items."""
     items = pick(items, "item_id", "text").filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = 1 + size // BLOCK
-    part = lambda b: items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-    return [sorted(((r["item_id"], r["text"]) for r in part(b).collect()), key=repr) for b in range(n)]
+
+    def read(block: int) -> list[tuple[object, str]]:
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
+        return sorted(((r["item_id"], r["text"]) for r in part.collect()), key=repr)
+
+    return [partial(read, b) for b in range(n)]
 
 
 def _kind(items: DataFrame) -> str:
@@ -161,18 +177,28 @@ def _kind(items: DataFrame) -> str:
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, item_id, distance and length of item for each item found in each text."""
-    docs, out = pick(docs, *keep, "text"), None
-    for block in blocks(items):
-        found = _matches(docs, block, rate, keep, _kind(items)).select(*keep, F.explode("found").alias("f")).select(*keep, "f.*")
-        out = found if out is None else out.unionByName(found)
-    return out
+    docs, parts, out = pick(docs, *keep, "text"), blocks(items), []
+    scratch = Scratch(docs.sparkSession) if len(parts) > 1 else None
+    for number, block in enumerate(parts):
+        found = _matches(docs, block(), rate, keep, _kind(items)).select(*keep, F.explode("found").alias("f")).select(*keep, "f.*")
+        out.append(scratch.keep(found, f"found-{number}") if scratch else found)
+    return reduce(DataFrame.unionByName, out)
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows whose texts hold no item, with all their columns."""
-    for block in blocks(items):
-        docs = kept(docs, lambda flat, names, block=block: _matches(pick(flat, *names), block, rate, names, _kind(items)).filter(F.size("found") == 0))
-    return docs
+    parts = blocks(items)
+
+    def judge(flat: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        scratch = Scratch(flat.sparkSession) if len(parts) > 1 else None
+        for number, block in enumerate(parts):
+            flat = _matches(pick(flat, *names), block(), rate, names, _kind(items)).filter(F.size("found") == 0).select(*names)
+            if scratch:
+                flat = scratch.keep(flat, f"kept-{number}")
+                scratch.only(f"kept-{number}")
+        return flat
+
+    return kept(docs, judge)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

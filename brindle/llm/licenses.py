@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, each_slice, pick, slices, small_batches, table, worker_state
+from .common import Scratch, each_slice, join_unique, pick, slices, small_batches, table, worker_state
 
 THRESHOLD = 0.6
 TEXTS = Path(__file__).with_name("license_texts")
@@ -263,7 +263,7 @@ def inherit(found: DataFrame, key: str = "doc_id") -> DataFrame:
     upwards = found.select("folder").distinct().select("folder", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"), parts.alias("parts"))
     upwards = upwards.select(F.col("folder").alias("below"), "depth", F.array_join(F.expr("slice(parts, 1, depth)"), "/").alias("folder"))
     nearest = upwards.join(told, "folder").groupBy("below").agg(F.max_by("told", "depth").alias("told")).withColumnRenamed("below", "folder")
-    out = found.join(nearest, "folder", "left")
+    out = join_unique(found, nearest, "folder", "left")
     own, given = F.col("license").isNotNull(), F.col("told").isNotNull()
     how = F.when(F.col("licence_file"), "file").when(own, "header").when(given, "inherited").otherwise("none")
     return out.select(key, "path", F.when(own, F.col("license")).otherwise(F.col("told.license")).alias("license"), how.alias("how"), "score", F.when(own, F.col("path")).otherwise(F.col("told.path")).alias("origin"))
@@ -271,7 +271,7 @@ def inherit(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are taken as files in one, two or three directories: source, language, and a number."""
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     lang, number = F.coalesce("lang", F.lit("und")), F.concat(F.lit("d"), (F.col("doc_id") % 8).cast("string"))
     path = F.when(F.col("doc_id") % 5 == 0, F.concat_ws("/", "source", name)).when(F.col("doc_id") % 5 == 1, F.concat_ws("/", "source", lang, name)).otherwise(F.concat_ws("/", "source", lang, number, name))

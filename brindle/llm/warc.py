@@ -36,14 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, small_batches, table
+from .common import Scratch, join_unique, pick, small_batches, table
 
 SHARD_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
 MAX_SHARDS = 1 << 16
 #: Leading bits of page_id by which bytes are summed at first, and bits more at each further level.
 FIRST_BITS, MORE_BITS = 12, 4
-#: A payload that at least one row in so many has is looked up in a broadcast table, of so many rows at most.
-HOT = 1024
 LEVEL, RENAMES = 6, 16
 EPOCH = "2000-01-01T00:00:00Z"
 #: An empty gzip member. Its last byte is written as the line end of Spark's text writer.
@@ -199,12 +197,8 @@ class Ranges:
 def roles(facts: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
     """page_id, sha and refers_to of the rows that another page's equal payload stands for, each once. facts: page_id, n, sha."""
     first = facts.filter(F.col("n") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("times")).filter("times > 1 AND refers_to IS NOT NULL")
-    first = scratch.keep(first, "first")
-    total = facts.count()
-    hot = F.broadcast(first.filter(F.col("times") * HOT >= total).select("sha", "refers_to"))
-    cold = first.filter(F.col("times") * HOT < total).select("sha", "refers_to")
-    found = facts.join(hot, "sha").unionByName(facts.join(hot, "sha", "left_anti").join(cold, "sha"))
-    return found.filter(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select("page_id", "sha", "refers_to")
+    first = scratch.keep(first.select("sha", "refers_to"), "first")
+    return join_unique(facts.select("page_id", "sha"), first, "sha").filter(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select("page_id", "sha", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = EPOCH) -> list[dict]:

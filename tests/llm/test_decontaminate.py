@@ -22,7 +22,8 @@ def brute(items, text, rate):
     out = {}
     for _, item in items:
         if (item := d.normal(item)) and text and (x := least(item, text)) <= int(rate * len(item)):
-            out[item] = x
+            if len(item) >= d.SHORT or int(rate * len(item)) or any(text[i : i + len(item)] == item and not text[i - 1 : i].isalnum() and not text[i + len(item) : i + len(item) + 1].isalnum() for i in range(len(text))):
+                out[item] = x
     return out
 
 
@@ -74,5 +75,23 @@ def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(d, "BLOCK", 100)
     items = spark.createDataFrame([(i, f"item number {i} with words of its own") for i in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"so item number {i} with words of its own it is") for i in range(20)], "doc_id long, text string")
+    assert {r.doc_id for r in d.clean(docs, items.filter("item_id < 15"), 0.0).collect()} == {i for i in range(20) if not any(f"item number {j} with" in f"item number {i} with" for j in range(15))}
     got = {(r.doc_id, r.item_id) for r in d.matches(docs, items, 0.0).collect()}
     assert got == {(i, j) for i in range(20) for j in range(20) if f"item number {j} with" in f"item number {i} with"}
+
+
+def test_short_items_are_found_as_words_only(spark):
+    m = d.Matcher([(1, "a"), (2, "cat sat"), (3, "the cat sat on")], d.RATE)
+    assert m.find("banana cataract") == {} and m.find("concat sats") == {} and m.find("A banana") == {"a": 0}
+    assert m.find("the cat sat!") == {"cat sat": 0} and m.find("xxthe cat saton") == {"the cat sat on": 1}
+
+
+def test_clashing_names_and_query(spark, tmp_path):
+    passage = "the quick brown fox jumps over the lazy dog again and again"
+    docs = spark.createDataFrame([(1, "x " + passage, 2, "f"), (2, "clean", 3, "g")], "doc_id long, text string, DOC_ID long, found string")
+    items = spark.createDataFrame([(7, passage, 1)], "item_id long, text string, TEXT int")
+    assert [tuple(r) for r in d.clean(docs, items).collect()] == [(2, "clean", 3, "g")]
+    spark.createDataFrame([(1, "x " + passage, "f"), (2, "clean", "g")], "doc_id long, text string, found string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = d.query(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "item_id", "distance", "length"] and [tuple(r) for r in out.collect()] == [(1, 7, 0, len(passage))]

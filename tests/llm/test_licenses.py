@@ -95,3 +95,74 @@ def test_bare_reservation_comes_last():
     assert index.scan("All the other rights are for others to have and to hold\nreserved")[0] is None
     index = lic.Index(lic.TEMPLATES, {"all": 900, "rights": 800}, 1000, lic.THRESHOLD)
     assert index.scan("some line\nreserved\nlast line")[0] is None and index.scan("some line\nall rights reserved\nlast")[0] == "Proprietary"
+
+
+def test_against_vectors_of_its_own():
+    """TF-IDF vectors, cosines and ties by numpy, over all templates, lines, paragraphs and whole texts."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    data = [t for t in texts() if t]
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    assert all(split(t) == lic.words(t) for t in data)
+    vocabulary = sorted({w for t in data for w in split(t)} | {w for _, t in lic.TEMPLATES for w in split(t)})
+    at = {w: i for i, w in enumerate(vocabulary)}
+    df = Counter(w for t in data for w in set(split(t)))
+    known = {w for _, t in lic.TEMPLATES for w in split(t)}
+    idf = np.array([np.log((1 + len(data)) / (1 + df[w])) if w in known else np.log(1 + len(data)) for w in vocabulary])
+
+    def vector(text):
+        v = np.zeros(len(vocabulary))
+        for w in split(text):
+            v[at[w]] += 1
+        v *= idf
+        return v / (np.linalg.norm(v) or 1)
+
+    templates = np.array([vector(t) for _, t in lic.TEMPLATES])
+    index = lic.Index(lic.TEMPLATES, {w: df[w] for w in known}, len(data), lic.THRESHOLD, [], None)
+    for text in data:
+        cosines = np.array([templates @ vector(p) for p in {text, *text.split("\n"), *re.split(r"\n\s*\n", text)}])
+        best = cosines.max()
+        name, score, _ = index.scan(text)
+        if best < lic.THRESHOLD - 1e-6:
+            assert name is None
+        else:
+            assert abs(score - best) < 1e-5
+            assert name in {lic.TEMPLATES[j][0] for j in np.nonzero(cosines.max(0) >= best - 1e-6)[0]}
+
+
+def test_inheritance_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    draw = random.Random(8)
+    folders = ["", "a", "a/b", "a/b/c", "d", "d/e", "ab", "a/bc"]
+    rows = []
+    for i in range(400):
+        told = draw.random() < 0.1
+        license_ = draw.choice(["MIT", "ISC", "GPL-3.0"]) if told or draw.random() < 0.2 else None
+        folder = "a/b/c" if i % 3 else draw.choice(folders)  # a third of the rows and more in one folder
+        rows.append((i, f"{folder}/f{i}" if folder else f"f{i}", license_, draw.randint(60, 99) / 100 if license_ else 0.1, told))
+    found = pd.DataFrame(rows, columns=["doc_id", "path", "license", "score", "licence_file"])
+    want = duckdb.sql("""
+        WITH f AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS folder FROM found),
+        told AS (SELECT folder, license, path, row_number() OVER (PARTITION BY folder ORDER BY score DESC, path) AS n FROM f WHERE licence_file),
+        near AS (SELECT f.doc_id, t.license, t.path, row_number() OVER (PARTITION BY f.doc_id ORDER BY length(t.folder) DESC) AS n
+                 FROM f JOIN told t ON t.n = 1 AND (t.folder = '' OR f.folder = t.folder OR starts_with(f.folder, t.folder || '/')))
+        SELECT f.doc_id, coalesce(f.license, near.license) AS license, CASE WHEN licence_file THEN 'file' WHEN f.license IS NOT NULL THEN 'header' WHEN near.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+               CASE WHEN f.license IS NOT NULL THEN f.path ELSE near.path END AS origin
+        FROM f LEFT JOIN near ON near.doc_id = f.doc_id AND near.n = 1 ORDER BY f.doc_id""").fetchall()
+    df = spark.createDataFrame(rows, "doc_id long, path string, license string, score double, licence_file boolean")
+    got = sorted((r.doc_id, r.license, r.how, r.origin) for r in lic.inherit(df).collect())
+    assert got == want
+
+
+def test_query(spark, tmp_path):
+    """Paths of the registered query, on a table with a clashing column name."""
+    rows = [(i, "Released under the MIT License." if i % 4 == 0 else f"text number {i}", "en" if i % 2 else None, "s1", "x") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, license string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in lic.query(spark, str(tmp_path)).collect()}
+    assert len(out) == 40 and out[0].path == "s1/0.txt" and out[1].path == "s1/en/1.txt" and out[2].path == "s1/und/d2/2.txt"
+    assert all((out[i].license == "MIT") == (i % 4 == 0) or out[i].how == "inherited" for i in out)

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from brindle.llm import warc
+from brindle.llm import common, warc
 
 SCHEMA = "page_id long, url string, html string, payload string"
 
@@ -124,7 +124,7 @@ def test_an_id_and_nulls_over_a_shard_are_split(spark, tmp_path):
 
 
 def test_hot_payloads_are_looked_up_apart(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "HOT", 4)
+    monkeypatch.setattr(warc, "join_unique", lambda *a: common.join_unique(*a, hot=4))
     rows = [(i, "u", "hot" if i % 3 == 0 else f"cold {i // 4}", "x") for i in range(200)]
     warc.write(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "k"))
     assert rows_of(warc.read(spark, str(tmp_path / "k"))) == expected(rows)
@@ -139,8 +139,6 @@ def test_kinds_of_page_id(spark, tmp_path):
 
 
 def test_payloads_are_shuffled_once_and_scratch_goes(spark, tmp_path):
-    from brindle.llm import common
-
     before = set(glob.glob(f"{common.shared_dir(spark)}/brindle-*"))
     warc.write(spark.createDataFrame(pages(), SCHEMA), str(tmp_path / "o"))
     assert set(glob.glob(f"{common.shared_dir(spark)}/brindle-*")) == before
