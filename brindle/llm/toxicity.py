@@ -196,22 +196,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -500, 500))))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights, the bias last, of least squared hinge loss by Newton's method; a step is halved until it lowers the loss."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-    ridge = np.full(x.shape[1], RIDGE)
+def _machine(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Weights, the bias last, of least squared hinge loss by Newton's method, for points in several arrays; a step is halved until it lowers the loss. Points are
+    taken some at a time, so that little memory is used besides theirs."""
+    pieces, at = [], 0
+    for part in parts:
+        for start in range(0, len(part), 2048):
+            pieces.append((at + start, part[start : start + 2048]))
+        at += len(part)
+    width = parts[0].shape[1]
+    ridge = np.full(width + 1, RIDGE)
     ridge[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w, made = np.zeros(width + 1), np.zeros(at)
     loss = lambda v, made: float((ridge * v * v).sum() / 2 + (cost * np.maximum(0, 1 - y * made) ** 2).sum())
-    made = x @ w
     now = loss(w, made)
     for _ in range(40):
         gap = 1 - y * made
-        on = gap > 0
-        xa, ca = x[on].astype(np.float64), cost[on]
-        gradient = ridge * w - 2 * xa.T @ (ca * y[on] * gap[on])
-        step = np.linalg.solve(np.diag(ridge) + 2 * xa.T @ (ca[:, None] * xa), gradient)
-        along = x @ step
+        gradient, curve = ridge * w, np.diag(ridge)
+        for start, x in pieces:
+            on = np.nonzero(gap[start : start + len(x)] > 0)[0]
+            if len(on):
+                xa, c = np.concatenate([x[on].astype(np.float64), np.ones((len(on), 1))], 1), cost[start + on]
+                gradient -= 2 * xa.T @ (c * y[start + on] * gap[start + on])
+                curve += 2 * xa.T @ (c[:, None] * xa)
+        step = np.linalg.solve(curve, gradient)
+        along = np.concatenate([x @ step[:-1].astype(x.dtype) for _, x in pieces]) + step[-1]
         size = 1.0
         while size > 1e-4 and (then := loss(w - size * step, made - size * along)) > now:
             size /= 2
@@ -259,12 +268,16 @@ class _Space:
         new = np.unique(words[self.at[words] < 0])
         if len(new):
             self.at[new] = np.arange(len(self.rows), len(self.rows) + len(new))
-            self.rows = np.concatenate([self.rows, (kernel([self.names[i] for i in new], self.landmarks) @ self.root).astype(np.float32)])
+            made = [(kernel([self.names[i] for i in new[k : k + 4096]], self.landmarks) @ self.root).astype(np.float32) for k in range(0, len(new), 4096)]
+            self.rows = np.concatenate([self.rows, *made])
         return self.rows[self.at[words]]
 
     def means(self, sentences: list[np.ndarray]) -> np.ndarray:
-        self.words(np.concatenate(sentences))
-        return np.stack([self.rows[self.at[s]].mean(0) for s in sentences])
+        self.words(np.unique(np.concatenate(sentences)))
+        out = np.zeros((len(sentences), len(self.landmarks)), np.float32)
+        for row, s in zip(out, sentences):
+            row += self.rows[self.at[s]].mean(0)
+        return out
 
     def collapsed(self, w: np.ndarray) -> np.ndarray:
         return _collapsed(self.landmarks, self.root @ w)
@@ -379,19 +392,19 @@ def _machine_of(sample: _Sample, labels: np.ndarray, chosen: np.ndarray) -> Mode
 
     active = np.zeros(len(c_word), bool)
     active[:ACTIVE] = True
-    low, m = points(c_word[active], c_place[active]), len(focus.landmarks)
+    low, m = [points(c_word[active], c_place[active])], len(focus.landmarks)
     fixed = np.array([*sure, *range(n, n + len(virtual))], np.int64)
     strange = focus.words(np.arange(n + len(virtual), len(names)))
-    strange = np.concatenate([np.concatenate([strange, np.zeros((len(strange), low.shape[1] - m), low.dtype)], 1), np.zeros((1, low.shape[1]), low.dtype)])
-    fixed_points = np.concatenate([focus.words(fixed), np.tile(low[:, m:].mean(0), (len(fixed), 1))], 1)
+    strange = np.concatenate([np.concatenate([strange, np.zeros((len(strange), len(around.landmarks)), np.float32)], 1), np.zeros((1, m + len(around.landmarks)), np.float32)])
+    fixed_points = np.concatenate([focus.words(fixed), np.tile(low[0][:, m:].mean(0), (len(fixed), 1))], 1)
     fixed_cost = np.array([9.0 * COST] * len(sure) + [COST] * len(virtual))
     for _ in range(ROUNDS):
         words = t_word[witness]
-        cost = np.concatenate([COST / np.sqrt(np.bincount(words, minlength=n)[words]), fixed_cost, np.ones(len(low)), np.full(len(strange), 5.0 * COST)])
+        cost = np.concatenate([COST / np.sqrt(np.bincount(words, minlength=n)[words]), fixed_cost, np.ones(n_low := sum(map(len, low))), np.full(len(strange), 5.0 * COST)])
         cost[-1] = STRANGE
-        y = np.concatenate([np.ones(len(witness) + len(fixed)), -np.ones(len(low) + len(strange))])
+        y = np.concatenate([np.ones(len(witness) + len(fixed)), -np.ones(n_low + len(strange))])
         # The last is a word like no landmark, in a sentence of such words: it is clean.
-        w = _machine(np.concatenate([points(words, t_place[witness]), fixed_points, low, strange]), y, cost)
+        w = _machine([points(words, t_place[witness]), fixed_points, *low, strange], y, cost)
         model = Model(focus.collapsed(w[:m]), around.collapsed(CONTEXT * w[m:-1]), float(w[-1]), 1.0, 0.0)
         own, by_word = np.concatenate([weigh(names[i : min(n, i + 10_000)], model.weights, model.context) for i in range(0, n, 10_000)], 1)
         sentence = np.add.reduceat(by_word[flat], firsts) / sizes
@@ -406,7 +419,7 @@ def _machine_of(sample: _Sample, labels: np.ndarray, chosen: np.ndarray) -> Mode
         witness = again
         if len(worst):
             active[worst] = True
-            low = np.concatenate([low, points(c_word[worst], c_place[worst])])
+            low.append(points(c_word[worst], c_place[worst]))
     return model
 
 
