@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -161,11 +163,21 @@ def worker_state(key, make: Callable):
     """What a Python worker keeps between batches: one model or memo at a time, as workers are used again by other operators."""
     if key not in _STATE:
         _STATE.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _STATE[key] = make()
     return _STATE[key]
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system, as workers live on, and the C library keeps what it has had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def slices(batch: pa.RecordBatch, column: str, rows: int = STEP_ROWS, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most so many rows and, but for single long texts, so many bytes of a column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -179,12 +191,12 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = STEP_ROWS, size: int
         yield batch.slice(start)
 
 
-def each_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def each_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, size: int = STEP_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that applies work to one slice after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, size=size):
                 yield work(part)
 
     return run

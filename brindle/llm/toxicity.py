@@ -56,7 +56,8 @@ LONGEST, WINDOW = 28, 32
 PUT_IN = "xqzjkvw"
 #: Neighbours are joined where one has at most FRAGMENT letters and both together at most JOINED.
 FRAGMENT, JOINED = 3, 8
-MEMO_ENTRIES = 400_000
+#: Tokens that a worker keeps, and bytes of text that it takes at once.
+MEMO_ENTRIES, STEP = 200_000, 1 << 20
 
 #: (offsets, weight) of the gapped subsequences; the last offset is bounded by SPANS, but for four characters with one put in between any two.
 OFFSETS = [(0, *mid, last) for p, widest in SPANS.items() for last in range(p - 1, widest + 1) for mid in combinations(range(1, last), p - 2)] + [(0, 2, 4, 6)]
@@ -545,7 +546,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
         found = [held.value.probability(v) for v in scorer.values(part.column("text").to_pylist())]
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], [*keep, "score", "predicted"])
 
-    return small_batches(docs).mapInArrow(each_slice(work, "text"), schema)
+    return small_batches(docs).mapInArrow(each_slice(work, "text", STEP), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
