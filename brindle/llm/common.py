@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and text bytes that an Arrow loop hands on at a time, so that its outputs stay small however long the texts are.
-STEP_ROWS, STEP_BYTES = 2048, 4 << 20
+STEP_ROWS, STEP_BYTES = 2048, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,7 +149,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
 def small_batches(df: DataFrame) -> DataFrame:
     """Lets Spark hand Python batches of some megabytes rather than its 64 MB, as each core holds several at once. A smaller setting stays."""
-    key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
     said = df.sparkSession.conf.get(key).rstrip("b")
     if not said.isdigit() or int(said) > bound:
         df.sparkSession.conf.set(key, str(bound))

@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, each_slice, fold, kept, pick, small_batches, table, worker_state
+from .common import bounded_sample, each_slice, fold, give_back, kept, pick, small_batches, table, worker_state
 
-MAX_TOXIC, MAX_CLEAN = 1200, 1800
+MAX_TOXIC, MAX_CLEAN = 1000, 1400
 #: One in so many documents of the sample is set aside for the sigmoid.
 ASIDE = 3
 #: Clean words that the machine starts with, and at most so many more that it errs on in each round.
@@ -263,7 +263,7 @@ class _Space:
 
     def __init__(self, names: list[str], landmarks: list[str]):
         self.names, self.landmarks, self.root = names, landmarks, _root(landmarks)
-        self.at, self.rows = np.full(len(names), -1, np.int64), np.zeros((0, len(landmarks)), np.float32)
+        self.at, self.rows = np.full(len(names), -1, np.int32), np.zeros((0, len(landmarks)), np.float32)
 
     def words(self, words: np.ndarray) -> np.ndarray:
         new = np.unique(words[self.at[words] < 0])
@@ -302,7 +302,7 @@ class _Sample:
                 for t in pair[1]:
                     if t not in known:
                         known[t] = Token.of(t)
-                found.append([np.array([number.setdefault(u, len(number)) for t in part for u in known[t].units], np.int64) for part in pair])
+                found.append([np.array([number.setdefault(u, len(number)) for t in part for u in known[t].units], np.int32) for part in pair])
             self.docs.append([a for a, _ in found if len(a)])
             self.besides.append([b for a, b in found if len(a)])
         self.names = list(number)
@@ -310,6 +310,7 @@ class _Sample:
 
 def train(texts: list[str], labels: list[int]) -> Model | None:
     sample = _Sample(texts)
+    give_back()
     # A text's part follows from its hash; equal texts are in the same part.
     aside = np.array([crc32(t.encode()) % ASIDE == 0 for t in texts], bool)
     y = np.array(labels, int)
@@ -322,6 +323,8 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         fitted = np.nonzero(aside)[0]
         values = Scorer(model).values([texts[i] for i in fitted])
         scale = _sigmoid(np.array(values), y[fitted].astype(float))
+        model = None
+        give_back()
     model = _machine_of(sample, y, np.ones(len(texts), bool))
     if model is not None:
         # Too few to set some aside: the sigmoid is fitted to what the machine was trained on.
