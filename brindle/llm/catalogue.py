@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, chat, decontaminate, jaccard, language_id, licenses, media, sharding, toxicity, warc
+from . import byte_bpe, chat, decontaminate, jaccard, language_id, licenses, media, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_jaccard": jaccard.query,
     "op10_language_id": language_id.query,
+    "op12_simhash": simhash.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
