@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, chat, decontaminate, jaccard, language_id, licenses, media, sharding, simhash, toxicity, warc
+from . import byte_bpe, chat, decontaminate, jaccard, language_id, licenses, media, negatives, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -17,12 +17,14 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_jaccard": jaccard.query,
     "op10_language_id": language_id.query,
+    "op11_negatives": negatives.query,
     "op12_simhash": simhash.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_sharding": sharding.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op11_negatives": negatives.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
