@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import header
-from ..operators import keyword, vectors
+from ..operators import vectors
 from ..sources.store import Store
+from .indexing import put_keywords
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +79,13 @@ def stored(spark: SparkSession, sf_dir: str, stem: bool) -> Store:
 
 
 def build(spark: SparkSession, sf_dir: str, store: Store, stem: bool) -> None:
-    own = chunks(spark, sf_dir).withColumn("header", header("path", "symbol", "kind"))
-    index = keyword.build(own, stem)
+    now = store.snapshot()
+    segment = store.segment(now.state)
+    own = segment.put("chunks", chunks(spark, sf_dir).withColumn("header", header("path", "symbol", "kind")))
+    totals = put_keywords(segment, now, own, stem=stem)
     if stem:
         rows = vectors.embed_chunks(own, "hashing")
     else:
         rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("vector"), F.lit("given").alias("model"))
-    store.commit({"chunks": own, "postings": index.postings, "lengths": index.lengths, "embeddings": rows})
+    segment.put("embeddings", rows)
+    store.publish(segment, totals)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import redaction, text
 from ..functions.stemming import stemmed
 from ..operators import chunking, evaluation, keyword, ranking, vectors
+from ..operators.containment import holding
 from ..sources import files as sources
 from ..sources.store import Store
 from . import search as plans
@@ -264,10 +265,10 @@ def _corpus(spark: SparkSession, sf_dir: str) -> plans.Corpus:
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of every term of both fields."""
+    """Statistics of every term of both fields, as the store keeps them."""
     found = _corpus(spark, sf_dir).index
-    each = found.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    return each.join(F.broadcast(found.lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("length").cast("long").alias("n_terms"))))
+    each = keyword.added_up(found.dictionary, found.totals, whole=True).select("field", "term", "df")
+    return each.withColumns({"n_chunks": F.lit(found.totals[0]).cast("long"), "n_terms": F.lit(found.totals[1]).cast("long")})
 
 
 _TERMS = "regexp_extract_all(lower(strip_accents({t})), '[\\p{{L}}\\p{{N}}]+')"
@@ -398,44 +399,60 @@ _CAP = f"""WITH {CHUNKS_SQL}, a AS (SELECT chunk_id % 5 AS qid, chunk_id, path,
 c AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY r) AS f FROM r) SELECT qid, chunk_id, path, score, (row_number() OVER (PARTITION BY qid ORDER BY r) - 1)::INT AS rank FROM c WHERE f <= 2 QUALIFY rank < 20"""
 
 
-# Evaluation: hits are those of dense search; expected are the files of the chunks with the next numbers
+# Evaluation: the questions are the benchmark items, asked by keywords; expected are the files of the documents that hold the item's words
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dense_topk(spark, sf_dir)
+    """The first ten chunks, each taken as some lines of its file."""
+    corpus = _corpus(spark, sf_dir)
+    found = plans.final(corpus, plans.keyword_pool(corpus, queries(spark, sf_dir), ranking.pool_size(10)), 10)
     first = (F.col("chunk_id") % 50 + 1).cast("int")
     return found.select("qid", (F.col("rank") + 1).alias("rank"), "path", first.alias("start_line"), (first + 30).alias("end_line"))
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = chunks(spark, sf_dir).select("chunk_id", "path")
-    near = lambda step: paths.select((F.col("chunk_id") - step).alias("qid"), F.col("path").alias(f"p{step}"))
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")).join(near(0), "qid").join(near(4), "qid").join(near(8), "qid")
-    spans = F.when(F.col("qid") % 3 == 0, F.array(F.concat("p0", F.lit(":20-40"))))
-    groups = F.when(F.col("qid") % 2 == 1, F.array(F.array("p0"), F.array("p4", "p8")))
-    return rows.select("qid", F.concat(F.lit("q"), F.col("qid").cast("string")).alias("id"), F.array("p4", "p0").alias("expected_paths"), spans.alias("expected_spans"), groups.alias("expected_all"))
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid and path of the documents that hold the item."""
+    docs = chunks(spark, sf_dir)
+    held = holding(docs.select(F.col("chunk_id").alias("doc"), "text"), queries(spark, sf_dir).select(F.col("qid").alias("passage"), F.col("query").alias("text")))
+    return held.join(docs.select(F.col("chunk_id").alias("doc"), "path"), "doc").select(F.col("passage").alias("qid"), "path").distinct()
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The questions, every third with a span in the first of its files, and their expected files: any of these, or, for every second question, one in `docs` and one elsewhere, if it has both."""
+    truth = _truth(spark, sf_dir)
+    first = truth.groupBy("qid").agg(F.min("path").alias("first"))
+    asked = queries(spark, sf_dir).select("qid").join(first, "qid", "left")
+    spans = F.when((F.col("qid") % 3 == 0) & F.col("first").isNotNull(), F.array(F.concat("first", F.lit(":20-40"))))
+    questions = asked.select("qid", F.concat(F.lit("q"), F.col("qid").cast("string")).alias("id"), spans.alias("expected_spans"))
+    group = F.when((F.col("qid") % 2 == 1) & F.col("path").contains("/docs/"), 1).otherwise(0)
+    return questions, truth.select("qid", group.alias("g"), text.normal_path("path").alias("p"))
 
 
-_EVAL = f"""WITH {CHUNKS_SQL}, {_DENSE.format(where='')}, {_ranked_sql('pool', 'dense', POOL)}, {_final_sql('found', 'pool')},
+_SPACED = "regexp_replace(' ' || {t} || ' ', '[\\x20\\x09-\\x0D]+', ' ', 'g')"
+_EVAL = f"""WITH {_KEYWORD}, {_ranked_sql('pool', 'scored', 60)}, {_final_sql('found', 'pool', 10)},
 hits AS (SELECT qid, rank + 1 AS rank, lower(path) AS path, chunk_id % 50 + 1 AS s, chunk_id % 50 + 31 AS e FROM found),
-qs AS (SELECT item_id AS qid, lower(a.path) AS p0, lower(b.path) AS p4, lower(c.path) AS p8 FROM benchmark JOIN chunks a ON a.chunk_id = item_id JOIN chunks b ON b.chunk_id = item_id + 4 JOIN chunks c ON c.chunk_id = item_id + 8),
-g AS (SELECT qid, 0 AS g, p0 AS p FROM qs UNION SELECT qid, CASE WHEN qid % 2 = 1 THEN 1 ELSE 0 END, p4 FROM qs UNION SELECT qid, 1, p8 FROM qs WHERE qid % 2 = 1),
+truth AS (SELECT DISTINCT qid, path FROM queries JOIN chunks ON contains({_SPACED.format(t='text')}, {_SPACED.format(t='query')})),
+qs AS (SELECT qid, lower(min(path)) AS first FROM queries LEFT JOIN truth USING (qid) GROUP BY qid),
+g AS (SELECT qid, CASE WHEN qid % 2 = 1 AND contains(path, '/docs/') THEN 1 ELSE 0 END AS g, lower(path) AS p FROM truth),
 gr AS (SELECT g.qid, g.g, min(h.rank) AS r FROM g LEFT JOIN hits h ON h.qid = g.qid AND h.path = g.p GROUP BY ALL),
-fr AS (SELECT qid, CASE WHEN bool_or(r IS NULL) THEN NULL ELSE max(r) END AS file_rank FROM gr GROUP BY qid),
-sr AS (SELECT qs.qid, CASE WHEN qs.qid % 3 = 0 THEN (SELECT min(h.rank) FROM hits h WHERE h.qid = qs.qid AND h.path = qs.p0 AND h.s <= 40 AND h.e >= 20) ELSE fr.file_rank END AS span_rank FROM qs JOIN fr USING (qid)),
+fr AS (SELECT qs.qid, CASE WHEN bool_or(r IS NULL) THEN NULL ELSE max(r) END AS file_rank FROM qs LEFT JOIN gr USING (qid) GROUP BY qs.qid),
+sr AS (SELECT qs.qid, CASE WHEN qs.qid % 3 = 0 AND qs.first IS NOT NULL THEN (SELECT min(h.rank) FROM hits h WHERE h.qid = qs.qid AND h.path = qs.first AND h.s <= 40 AND h.e >= 20) ELSE fr.file_rank END AS span_rank FROM qs JOIN fr USING (qid)),
 ranks AS (SELECT fr.qid, 'q' || fr.qid AS id, file_rank::INT AS file_rank, span_rank::INT AS span_rank FROM fr JOIN sr USING (qid))"""
 
 
 def eval_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.file_ranks(_questions(spark, sf_dir), _hits(spark, sf_dir))
+    questions, wanted = _questions(spark, sf_dir)
+    return evaluation.file_ranks(questions, _hits(spark, sf_dir), wanted)
 
 
 def eval_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.span_ranks(_questions(spark, sf_dir), _hits(spark, sf_dir))
+    questions, wanted = _questions(spark, sf_dir)
+    return evaluation.span_ranks(questions, _hits(spark, sf_dir), wanted)
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluation.metrics(evaluation.ranks(_questions(spark, sf_dir), _hits(spark, sf_dir)))
+    questions, wanted = _questions(spark, sf_dir)
+    m = evaluation.metrics(evaluation.ranks(questions, _hits(spark, sf_dir), wanted))
     names = [f"{p}{n}" for p in ("", "fn_") for n in ("recall_5", "recall_10", "mrr")]
     return m.select(*(F.round(n, DIGITS).alias(n) for n in names), F.array_join("misses", ",").alias("misses"), F.array_join("fn_misses", ",").alias("fn_misses"))
 

@@ -29,9 +29,11 @@ class Corpus:
 
 
 def open_store(store: Store, model: str = "hashing") -> Corpus:
-    chunks = store.read("chunks")
-    index = keyword.KeywordIndex(store.read("postings"), store.read("lengths"), chunks.select("chunk_id", "path", "repo"))
-    return Corpus(chunks, index, store.vectors(model), lambda q: vectors.embed(q, model, "query", query=True, keep="qid"))
+    """The store as it is now: whatever is committed later, the corpus stays the same."""
+    now = store.snapshot()
+    chunks = now.read("chunks")
+    index = keyword.KeywordIndex(now.read("postings"), now.read("lengths"), chunks.select("chunk_id", "path", "repo"), now.read("lists"), now.read("dictionary"), tuple(now.state["totals"]), now.read("dead") if now.dead else None)
+    return Corpus(chunks, index, now.vectors(model), lambda q: vectors.embed(q, model, "query", query=True, keep="qid"))
 
 
 def keyword_pool(corpus: Corpus, queries: DataFrame, size: int, repo: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import sqlite3
 import sys
 import types
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -84,6 +85,59 @@ def test_bm25_against_sqlite(spark):
     assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_stems_from_a_dictionary_are_those_of_texts(spark):
+    from brindle.functions.stemming import stemmed
+
+    draw = random.Random(4)
+    odd = ["running", "Runs", "the", "foo_bars", "__", "___init___", "_", "Бегущие", "бежали", "naïve's", "x²", "caf\u00e9s", "日本語", "don't", "and"]
+    rows = [(i, "r/a.py", "r", "s", "function", draw.choice([" ", "\n", ", "]).join(draw.choices(odd, k=draw.randrange(30)))) for i in range(80)] + [(90, "r/b.py", "r", "s", "function", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, path string, repo string, symbol string, kind string, text string")
+    want = keyword.postings(chunks.select("chunk_id", keyword.terms(stemmed("text")).alias("terms")))
+    table = lambda df: sorted((r["chunk_id"], r["term"], tuple(r["positions"])) for r in df.collect())
+    index = keyword.build(chunks)
+    assert table(index.postings.filter("field = 'body'")) == table(want)
+    lengths = {r["chunk_id"]: r["length"] for r in index.lengths.collect()}
+    own = index.postings.groupBy("chunk_id").agg(F.sum(F.size("positions")).alias("n")).collect()
+    assert lengths == {r["chunk_id"]: r["n"] for r in own} and len(lengths) == 81
+
+
+def with_lists(index):
+    rows, totals = keyword.lists(index).cache(), keyword.totals(index.lengths)
+    return replace(index, lists=rows, dictionary=keyword.dictionary(rows, totals), totals=totals)
+
+
+@pytest.mark.parametrize("repo", [None, "repo1"])
+def test_bounded_search_gives_what_full_scores_give(spark, monkeypatch, repo):
+    monkeypatch.setattr(keyword, "RANGE", 16)
+    draw = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)] + ["foo_bar", "foo", "bar", "naïve", "naive"]
+    rows = [(i, f"p{i % 9}/x{i}.py", f"repo{i % 3}", "s", "function", " ".join(draw.choices(vocabulary, [1 / (j + 1) for j in range(65)], k=draw.choice([3, 30, 90])))) for i in range(0, 900, 3)]
+    rows += [(1000 + i, "p/y.py", "repo1", "s", "function", "w1 w2 w3") for i in range(20)] + [(2000, "p/z.py", "repo1", "s", "function", "")]
+    index = keyword.build(spark.createDataFrame(rows, "chunk_id long, path string, repo string, symbol string, kind string, text string"), stem=False)
+    asked = [" ".join(draw.sample(vocabulary, k)) for k in (1, 2, 5, 12, 30)] + ["foo_bar", "foo_bar w0 w1", "w0", "repo1", "nothing", "", "naïve naive w40", "the"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid int, query string")
+    bounded = with_lists(index)
+    for size in (1, 7, 5000):
+        get = lambda i: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 6)) for r in keyword.search(i, queries, size, repo, stem=False, digits=6).collect())
+        want = get(index)
+        assert want and get(bounded) == want
+    monkeypatch.setattr(keyword, "HELD", 3)  # nothing is held by the driver
+    assert get(bounded) == want
+
+
+def test_bounded_search_opens_few_lists_of_frequent_terms(spark):
+    from brindle.plans import carriers
+
+    sf = "/root/testdata/sf0.1"
+    made = keyword.build(carriers.chunks(spark, sf), stem=False)
+    index = with_lists(replace(made, postings=made.postings.cache(), lengths=made.lengths.cache()))
+    marked = keyword.Bounded(index, carriers.queries(spark, sf), 48, stem=False).marked()
+    frequent = marked.filter(F.col("df") >= index.totals[0] / 10)
+    found = frequent.agg(F.sum("df").alias("all"), F.sum(F.when(~F.col("closed"), F.col("df"))).alias("opened")).first()
+    assert found["all"] > 2_000_000 and found["opened"] * 5 < found["all"]
+    spark.catalog.clearCache()
+
+
 def test_dense_against_numpy(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
     draw = np.random.default_rng(1)
