@@ -10,7 +10,9 @@ Texts and items are compared in lower case, with each run of white space as one
 BLOCK characters, each broadcast and matched against every whole text; the driver holds one block at a time, and what a block finds is written before the next is
 read. Nothing is shuffled, so no text, however common, makes a hot key.
 
-An item of fewer than SHORT characters that allows no edit is found only where neither a letter nor a digit stands on either side, as it would be found in longer words.
+An item of fewer than ten characters has no budget, so it's found wherever it stands exactly, also within longer words. `short` keeps such hits apart if that is asked for: items of fewer characters than
+this without a budget then count only where neither a letter nor a digit stands on either side. Scripts that write without blanks have letters on either side nearly everywhere, so it is off by default,
+and the query and the pipeline's stage leave it off.
 
 Defined results: null and empty texts hold no item; null, empty and blank items are found nowhere; equal items are each reported; a repeated row is reported
 as often as it is there; without items nothing is reported; other columns don't matter.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, each_slice, kept, pick, small_batches, table, worker_state
 
 RATE = 0.1
-BLOCK, SHORT = 8 << 20, 10
+BLOCK = 1 << 19  # a worker's tree of a full block takes some 100 MB
 
 
 def normal(text: str | None) -> str:
@@ -97,8 +99,8 @@ def leaves(item: str, budget: int) -> list[Node]:
 class Matcher:
     """Finds items in texts; one per worker and block of items."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
-        self.ids, self.sizes = defaultdict(list), {}
+    def __init__(self, items: list[tuple[object, str]], rate: float, short: int = 0):
+        self.ids, self.short = defaultdict(list), short
         for key, text in items:
             if text := normal(text):
                 self.ids[text].append(key)
@@ -122,7 +124,7 @@ class Matcher:
                 origin = last + 1 - size - leaf.start
                 if any(abs(origin - o) <= k for o, k in seen[item]) if item in seen else False:
                     continue
-                if leaf.parent is None and len(item) < SHORT and not apart(text, origin, last + 1):
+                if leaf.parent is None and len(item) < self.short and not apart(text, origin, last + 1):
                     continue
                 distance, node, root = 0, leaf.parent, leaf
                 while node is not None:
@@ -140,14 +142,14 @@ class Matcher:
         return best
 
 
-def _matches(docs: DataFrame, items: list[tuple[object, str]], rate: float, keep: tuple[str, ...], kind: str) -> DataFrame:
+def _matches(docs: DataFrame, items: list[tuple[object, str]], rate: float, keep: tuple[str, ...], kind: str, short: int = 0) -> DataFrame:
     """keep, and the items found in each whole text: arrays of ids, distances and lengths."""
     held = docs.sparkSession.sparkContext.broadcast(items)
-    tag = (crc32(repr(items).encode()), rate)
+    tag = (crc32(repr(items).encode()), rate, short)
     schema = f"{', '.join(f'`{k}` {docs.schema[k].dataType.simpleString()}' for k in keep)}, found array<struct<item_id:{kind},distance:int,length:int>>"
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        m = worker_state(("items", tag), lambda: Matcher(held.value, rate))
+        m = worker_state(("items", tag), lambda: Matcher(held.value, rate, short))
         found = [[{"item_id": key, "distance": d, "length": len(item)} for item, d in m.find(t).items() for key in m.ids[item]] for t in part.column("text").to_pylist()]
         like = pa.list_(pa.struct([("item_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("distance", pa.int32()), ("length", pa.int32())]))
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(found, like)], [*keep, "found"])
@@ -175,24 +177,24 @@ def _kind(items: DataFrame) -> str:
     return kind
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, keep: tuple[str, ...] = ("doc_id",), short: int = 0) -> DataFrame:
     """keep, item_id, distance and length of item for each item found in each text."""
     docs, parts, out = pick(docs, *keep, "text"), blocks(items), []
     scratch = Scratch(docs.sparkSession) if len(parts) > 1 else None
     for number, block in enumerate(parts):
-        found = _matches(docs, block(), rate, keep, _kind(items)).select(*keep, F.explode("found").alias("f")).select(*keep, "f.*")
+        found = _matches(docs, block(), rate, keep, _kind(items), short).select(*keep, F.explode("found").alias("f")).select(*keep, "f.*")
         out.append(scratch.keep(found, f"found-{number}") if scratch else found)
     return reduce(DataFrame.unionByName, out)
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, short: int = 0) -> DataFrame:
     """The rows whose texts hold no item, with all their columns."""
     parts = blocks(items)
 
     def judge(flat: DataFrame, names: tuple[str, ...]) -> DataFrame:
         scratch = Scratch(flat.sparkSession) if len(parts) > 1 else None
         for number, block in enumerate(parts):
-            flat = _matches(pick(flat, *names), block(), rate, names, _kind(items)).filter(F.size("found") == 0).select(*names)
+            flat = _matches(pick(flat, *names), block(), rate, names, _kind(items), short).filter(F.size("found") == 0).select(*names)
             if scratch:
                 flat = scratch.keep(flat, f"kept-{number}")
                 scratch.only(f"kept-{number}")
