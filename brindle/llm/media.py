@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import progressive
-from .common import pick, slices, small_batches, table
+from .common import Scratch, pick, slices, small_batches, table
 
 UNIT, SHIFT = 192, 93
 #: Rows and text bytes coded at once.
@@ -100,20 +100,23 @@ def loaded(df: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_i
     return _map(df, column, "payload binary, height int, width int, rgb binary", keep, ["payload", "height", "width", "rgb"], work)
 
 
-def digests(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, and what the stored and loaded forms of each text come to, in one pass."""
+def measured(df: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, and what stored files come to: all of it is taken from the file."""
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def work(texts: list[bytes]) -> list[pa.Array]:
-        files = store(texts)
-        found = load(files)
-        rows = [(n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(x)) for f, (n, p, x) in zip(files, found)]
+    def work(files: list[bytes]) -> list[pa.Array]:
+        rows = [(n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(x)) for f, (n, p, x) in zip(files, load(files))]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
 
     return _map(df, column, schema, keep, names, work)
 
 
+def digests(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, and what the files of texts come to: they are written as a media column, and read back from there."""
+    return measured(Scratch(df.sparkSession).keep(stored(df, column, keep), "media"), "media", keep)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
