@@ -138,7 +138,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     dealt by its key; the others are joined as usual. left is read three times, so it is a written table or cheap."""
     total = left.count()
     counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * hot >= total).select(key)
-    found = right.join(counts, key, "left_semi").collect()
+    found = right.join(counts, key, "left_semi").select(*right.columns).collect()
     if not found:
         return left.join(right, key, how)
     few = F.broadcast(left.sparkSession.createDataFrame(found, right.schema))

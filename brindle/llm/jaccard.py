@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept, pick, slices, small_batches, table, worker_state
+from .common import Scratch, join_unique, kept, pick, slices, small_batches, table, worker_state
 from .components import components
 from .shingles import mix, shingles
 
@@ -281,7 +281,10 @@ class _Join:
             classes = ids.join(found, "node", "left").filter("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
         classes = self.scratch.keep(classes.select("f1", "f2", "n", "component"), "classes")
         self.scratch.only("measured", "classes")
-        out = self.rows.join(classes, ["f1", "f2", "n"], "left")
+        # Copies of one text, and texts without words, may be a large part of the rows: they are looked up, or go past.
+        sets = lambda df: df.withColumn("set", F.struct("f1", "f2", "n")).drop("f1", "f2")
+        out = join_unique(sets(self.rows.filter("n > 0")).select("doc_id", "n", "set"), sets(classes).drop("n"), "set", "left").select("doc_id", "n", "component")
+        out = out.unionByName(self.rows.filter("n = 0").select("doc_id", "n"), allowMissingColumns=True)
         # Copies of a null id must not take a component from the rows that have one.
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -327,7 +330,8 @@ def _own_keys(docs: DataFrame, names: tuple[str, ...], at: str, scratch: Scratch
     several = scratch.keep(docs.filter(F.col(at).isNotNull()).groupBy(own.alias("id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id"), "several")
     if several.isEmpty():
         return docs.withColumn("key", own)
-    marked = docs.withColumn("id", own).join(several.withColumn("again", F.lit(True)), "id", "left")
+    # With a frequent placeholder for an id, the rows stay where they are.
+    marked = join_unique(docs.withColumn("id", own), several.withColumn("again", F.lit(True)), "id", "left")
     mark = F.xxhash64(F.lit("row"), "id", "text")
     marked = marked.withColumn("key", F.when(F.col("again"), mark if whole else F.concat_ws("#", "id", F.hex(mark))).otherwise(F.col("id"))).drop("id")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.coalesce("again", F.lit(False))
