@@ -29,7 +29,7 @@ from .common import each_slice, pick, small_batches, table, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Matches up to this many characters are kept in a worker's memo, and so many of them; then the memo starts anew.
-MEMO_CHARS, MEMO_ENTRIES = 48, 500_000
+MEMO_CHARS, MEMO_ENTRIES = 48, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -11,7 +11,8 @@ half, as that is what a text in two known languages has of each). Subwords that
 surely the longer they are; a single word, or a language much like a known one, mostly can't be told.
 
 Only texts and languages of a bounded sample are learned from: PER_LANGUAGE texts of each of the MAX_LANGUAGES most frequent languages, those with the least hash of id and text, and
-SAMPLE_BYTES in all. Scoring reads every text whole. As the logits of an average are the average of the logits, a worker keeps the summed logits of each word, and a
+SAMPLE_BYTES in all. Each text is learned from as a whole, and besides some SENTENCES of its sentences, evenly spread, so that long texts don't outweigh others; calibration uses the text set aside as a whole, and
+its first PIECES pieces of each length. Scoring reads every text whole. As the logits of an average are the average of the logits, a worker keeps the summed logits of each word, and a
 text costs a lookup for each word.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are rejected; texts of any length are read whole; rows with
@@ -36,11 +37,13 @@ PER_LANGUAGE, MAX_LANGUAGES = 400, 200
 BUCKETS, DIMENSIONS, GRAMS, EPOCHS = 1 << 16, 16, (2, 3, 4), 3
 #: Rates of the softmax's weights, of its bias, and of the embeddings, at the start of the training.
 RATE, BIAS_RATE, TABLE_RATE = 0.5, 0.05, 10.0
+#: Sentences that a training text is learned from besides the whole (up to twice as many, as they are evenly spread), and pieces of each length that it is calibrated on.
+SENTENCES, PIECES = 20, 4
 #: The least confidence; the share of the texts set aside whose best logit may fall short; and the part of the logit of the others that a text must have.
 LEAST, LOST, NOVEL = 0.5, 0.001, 0.55
 #: Numbers of words by which logits are told apart: powers of two, the last for all longer texts.
 SIZES = 8
-MEMO_CHARS, MEMO_ENTRIES = 40, 250_000
+MEMO_CHARS, MEMO_ENTRIES = 40, 120_000
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SENTENCE = regex.compile(r"[.!?\n]+")
@@ -96,7 +99,7 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Model | None
             aside.append((words, at[language]))
         else:
             learn.append((_bag(words, memo), at[language]))
-            learn += [(_bag(p, memo), at[language]) for p in parts[:: max(1, len(parts) // 20)]]
+            learn += [(_bag(p, memo), at[language]) for p in parts[:: max(1, len(parts) // SENTENCES)]]
     if not learn:
         learn, aside = [(_bag(words, memo), k) for words, k in aside], []
     draw = np.random.default_rng(seed)
@@ -123,7 +126,7 @@ def _calibrated(model: Model, aside: list[tuple[list[str], int]], memo: dict[str
     """The model with temperature and thresholds fitted to texts set aside, and to pieces of them of each number of words."""
     if not aside:
         return model
-    pieces = [(words[start : start + n], k) for words, k in aside for n in (1 << j for j in range(SIZES - 1)) for start in range(0, min(len(words), 4 * n), n) if len(words) > start + n]
+    pieces = [(words[start : start + n], k) for words, k in aside for n in (1 << j for j in range(SIZES - 1)) for start in range(0, min(len(words), PIECES * n), n) if len(words) > start + n]
     y = np.array([k for _, k in aside + pieces])
     raw = np.array([share @ model.logits[rows] + model.bias for rows, share in (_bag(words, memo) for words, _ in aside + pieces)])
     whole = slice(0, len(aside))
