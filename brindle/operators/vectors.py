@@ -144,7 +144,7 @@ def embed_chunks(chunks: DataFrame, model: str) -> DataFrame:
     return embed(inputs, model).select("chunk_id", F.lit(model).alias("model"), F.size("vector").alias("dim"), "vector")
 
 
-def _matrix(column: pa.Array, size: int, ids: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array, size: int, ids: pa.Array) -> np.ndarray:
     """The vectors of a batch as rows; all must have as many numbers as the queries' vectors."""
     lengths = pc.list_value_length(column)
     if wrong := pc.index(pc.not_equal(lengths, size), True).as_py() + 1:
@@ -175,7 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, size: int, chunks: DataFrame
             for batch in batches:
                 if not batch.num_rows or not ids:
                     continue
-                v, chunk = _matrix(batch.column("vector"), matrix.shape[1], batch.column("chunk_id")), batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                v, chunk = matrix_of(batch.column("vector"), matrix.shape[1], batch.column("chunk_id")), batch.column("chunk_id").to_numpy(zero_copy_only=False)
                 for start in range(0, len(ids), QUERY_BLOCK):
                     found = matrix[start : start + QUERY_BLOCK] @ v.T
                     if digits is not None:

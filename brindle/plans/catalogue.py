@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redaction, text
 from ..functions.stemming import stemmed
-from ..operators import chunking, evaluation, keyword, ranking, vectors
+from ..operators import cells, chunking, evaluation, keyword, ranking, vectors
 from ..operators.containment import holding
 from ..sources import files as sources
 from ..sources.store import Store
@@ -335,6 +335,16 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.capped(ranking.with_prior(found, chunks(spark, sf_dir), DIGITS), K).select("qid", "chunk_id", "path", "score", "rank")
 
 
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from vectors by cells, of which those that can't matter aren't multiplied."""
+    folder = f"{shared_dir(spark)}/cells-{uuid4().hex}"
+    held = cells.build(_vectors(spark, sf_dir), folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    found = cells.search(held, _asked(spark, sf_dir), POOL, digits=DIGITS)
+    return ranking.capped(ranking.with_prior(found, chunks(spark, sf_dir), DIGITS), K).select("qid", "chunk_id", "path", "score", "rank")
+
+
 def dense_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(_vectors(spark, sf_dir), _asked(spark, sf_dir), POOL, chunks(spark, sf_dir), "src3", DIGITS)
 
@@ -518,7 +528,7 @@ QUERIES = {
     "deleted_files": deleted_files, "missing_embeddings": missing_embeddings, "identifier_split": identifier_split, "header_tokens": header_tokens, "query_tokens": query_tokens,
     "stopword_filter": stopword_filter, "stem_vocab": stem_vocab, "snippet": snippets, "source_prior": source_prior, "bm25_stats": bm25_stats, "bm25_topk": bm25_topk, "bm25_repo": bm25_repo,
     "bm25_results": bm25_results, "hybrid_results": hybrid_results, "rerank_tail": rerank_tail, "repo_ids": repo_ids, "index_tables": index_tables, "index_update": index_update,
-    "dense_topk": dense_topk, "dense_repo": dense_repo, "normalize": normalize, "rrf_fuse": rrf_fuse, "hybrid_topk": hybrid_topk, "rerank_fuse": rerank_fuse, "file_cap": file_cap,
+    "dense_topk": dense_topk, "dense_cells": dense_cells, "dense_repo": dense_repo, "normalize": normalize, "rrf_fuse": rrf_fuse, "hybrid_topk": hybrid_topk, "rerank_fuse": rerank_fuse, "file_cap": file_cap,
     "eval_file": eval_file, "eval_span": eval_span, "eval_metrics": eval_metrics, "repo_counts": repo_counts, "chunk_lookup": chunk_lookup, "stemmed_search": stemmed_search,
 }
 
@@ -552,6 +562,7 @@ ORACLES = {
     "bm25_topk": f"WITH {_KEYWORD}, {_ranked_sql('pool', 'scored', POOL)}, {_final_sql('found', 'pool')} SELECT * FROM found",
     "bm25_repo": f"WITH {_KEYWORD}, mine AS (SELECT scored.* FROM scored JOIN chunks USING (chunk_id) WHERE repo = 'src3'), {_ranked_sql('pool', 'mine', POOL)} SELECT * FROM pool",
     "dense_topk": f"WITH {CHUNKS_SQL}, {_DENSE.format(where='')}, {_ranked_sql('pool', 'dense', POOL)}, {_final_sql('found', 'pool')} SELECT * FROM found",
+    "dense_cells": f"WITH {CHUNKS_SQL}, {_DENSE.format(where='')}, {_ranked_sql('pool', 'dense', POOL)}, {_final_sql('found', 'pool')} SELECT * FROM found",
     "dense_repo": f"WITH {CHUNKS_SQL}, {_DENSE.format(where='''JOIN chunks c ON c.chunk_id = v.vec_id WHERE c.repo = 'src3' ''')}, {_ranked_sql('pool', 'dense', POOL)} SELECT * FROM pool",
     "normalize": f"WITH v AS (SELECT event_id, floor(value) AS a, floor(value)::BIGINT % 3 AS b, event_id % 2 AS c FROM events), n AS (SELECT *, CASE WHEN a = 0 AND b = 0 AND c = 0 THEN 1.0 ELSE sqrt((a * a + b * b + c * c)::DOUBLE) END AS l FROM v) SELECT event_id, round(a / l, {DIGITS}) AS x0, round(b / l, {DIGITS}) AS x1, round(c / l, {DIGITS}) AS x2 FROM n",
     "rrf_fuse": f"WITH {_fused_sql(POOL)} SELECT * FROM fused",
