@@ -171,10 +171,11 @@ def matches(index: KeywordIndex, asked: DataFrame) -> DataFrame:
     parts = distinct.select("field", "terms", F.posexplode("terms").alias("place", "term"))
     found = index.postings.join(parts, ["term", "field"])
     single = found.filter(F.size("terms") == 1).select("field", "terms", "chunk_id", F.size("positions").alias("hits"))
-    # A phrase of several terms starts where each of its terms stands at its place.
-    starts = found.filter(F.size("terms") > 1).select("field", "terms", "chunk_id", F.explode("positions").alias("p"), "place")
-    whole = starts.groupBy("field", "terms", "chunk_id", (F.col("p") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("terms"))
-    return single.unionByName(whole.groupBy("field", "terms", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("hits")))
+    # A phrase of several terms starts where each of its terms stands at its place: the terms' positions in a chunk, moved back by their places, are intersected as arrays.
+    moved = F.transform("positions", lambda p: p - F.col("place")).alias("starts")
+    held = found.filter(F.size("terms") > 1).select("field", "terms", "chunk_id", moved).groupBy("field", "terms", "chunk_id").agg(F.collect_list("starts").alias("s"))
+    every = held.filter(F.size("s") == F.size("terms")).withColumn("hits", F.size(F.reduce(F.slice("s", 2, F.size("s") - 1), F.col("s")[0], F.array_intersect)))
+    return single.unionByName(every.filter("hits > 0").select("field", "terms", "chunk_id", "hits"))
 
 
 def scores(index: KeywordIndex, queries: DataFrame, stem: bool = True) -> DataFrame:
