@@ -15,10 +15,12 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import progressive
 from .common import Scratch, pick, slices, small_batches, table
@@ -26,6 +28,8 @@ from .common import Scratch, pick, slices, small_batches, table
 UNIT, SHIFT = 192, 93
 #: Rows and text bytes coded at once.
 ROWS, BYTES = 400, 1 << 20
+#: Parts in which a table's media are written and read back.
+PARTS = 2
 
 
 def padded(text: bytes) -> bytes:
@@ -113,9 +117,16 @@ def measured(df: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
     return _map(df, column, schema, keep, names, work)
 
 
-def digests(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, and what the files of texts come to: they are written as a media column, and read back from there."""
-    return measured(Scratch(df.sparkSession).keep(stored(df, column, keep), "media"), "media", keep)
+def digests(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",), parts: int = PARTS) -> DataFrame:
+    """keep, and what the files of texts come to: they are written as a media column, and read back from there. The rows are taken in parts, told by a hash of all that is kept, so that the media of one part at a
+    time are on disk."""
+    scratch, df = Scratch(df.sparkSession), pick(df, *keep, column)
+    part, done = F.pmod(F.xxhash64(*df.columns), F.lit(parts)), []
+    for number in range(parts):
+        media = scratch.keep(stored(df.filter(part == number), column, keep), f"media-{number}")
+        done.append(scratch.keep(measured(media, "media", keep), f"digests-{number}"))
+        scratch.drop(f"media-{number}")
+    return reduce(DataFrame.unionByName, done)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

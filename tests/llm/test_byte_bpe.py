@@ -51,3 +51,13 @@ def test_digests_on_odd_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.digests(df, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query(spark, tmp_path):
+    texts = {1: "Hello  world, l'été!", 2: None, 3: "naïve\n\n 日本"}
+    spark.createDataFrame([(i, t, "z") for i, t in texts.items()], "doc_id long, text string, N_TOKENS string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = byte_bpe.query(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for r in out.collect():
+        ids = THEIRS.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest())

@@ -184,3 +184,11 @@ def test_rows(spark):
         alone = media.store([data])[0]
         assert (r.media_bytes, r.media_sha256) == (len(alone), hashlib.sha256(alone).hexdigest())
     assert rows[2].feature == rows[8].feature and media.digests(df.limit(0)).count() == 0
+
+
+def test_query(spark, tmp_path):
+    rows = [(1, "one", "x"), (1, "one", "x"), (2, None, "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, media string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = media.query(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in out.collect()) == [(i, len(t), 192, hashlib.sha256(t.ljust(192)).hexdigest()) for i, t in ((1, b"one"), (1, b"one"), (2, b""))]
