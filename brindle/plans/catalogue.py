@@ -378,7 +378,10 @@ def rerank_fuse(spark: SparkSession, sf_dir: str, first: int = ranking.RERANKED,
     """Relevance: the share of the query's tokens that the chunk's text has, as a logit."""
     corpus, asked = _corpus(spark, sf_dir), queries(spark, sf_dir)
     candidates = plans.hybrid_candidates(corpus, asked, first).select("qid", "chunk_id", "score", "rank")
-    rows = candidates.filter(F.col("rank") < ranking.RERANKED).join(chunks(spark, sf_dir).select("chunk_id", text.query_tokens("text").alias("has")), "chunk_id").join(asked.select("qid", text.query_tokens("query").alias("wants")), "qid")
+    first = candidates.filter(F.col("rank") < ranking.RERANKED)
+    # Texts are split into tokens once each, and only those of candidates.
+    has = corpus.chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", text.query_tokens("text").alias("has"))
+    rows = first.join(has, "chunk_id").join(asked.select("qid", text.query_tokens("query").alias("wants")), "qid")
     share = F.size(F.array_intersect("has", "wants")) / F.greatest(F.lit(1), F.size("wants"))
     relevance = rows.select("qid", "chunk_id", F.round(text.to_unit_interval(6 * share - 3), DIGITS).alias("relevance"))
     return ranking.rerank(candidates, relevance, corpus.chunks, k, digits=DIGITS).select("qid", "chunk_id", "score", "rank")
