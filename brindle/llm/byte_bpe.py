@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import each_slice, pick, small_batches, table, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Matches up to this many characters are kept in a worker's memo, and so many of them; then the memo starts anew.
-MEMO_CHARS, MEMO_ENTRIES = 48, 150_000
+#: Matches up to this many characters are kept in a worker's memo. When it has so many of them, they become the old ones, from which those that come again are taken over.
+MEMO_CHARS, MEMO_ENTRIES = 48, 170_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -131,16 +131,20 @@ class _Memo(dict):
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = np.asarray(self.encoder.merge(match.encode()), "<u4").tobytes() if len(match) > MEMO_CHARS else b"".join(map(_LITTLE, self.encoder.merge(match.encode())))
+        ids = self.old.get(match) or self._merged(match)
         if len(match) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[match] = ids
         return ids
 
+    def _merged(self, match: str) -> bytes:
+        return np.asarray(self.encoder.merge(match.encode()), "<u4").tobytes() if len(match) > MEMO_CHARS else b"".join(map(_LITTLE, self.encoder.merge(match.encode())))
+
 
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
