@@ -29,7 +29,7 @@ from .common import each_slice, pick, small_batches, table, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Matches up to this many characters are kept in a worker's memo. When it has so many of them, they become the old ones, from which those that come again are taken over.
-MEMO_CHARS, MEMO_ENTRIES = 48, 170_000
+MEMO_CHARS, MEMO_ENTRIES = 48, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
