@@ -42,15 +42,10 @@ def numbered(made: DataFrame, watermark: int) -> DataFrame:
 
 
 def put_keywords(segment: Segment, now: Snapshot, chunks: DataFrame, gone: tuple[int, int] = (0, 0), stem: bool = True) -> tuple[int, int]:
-    """Writes the keyword tables of a segment's chunks; the totals of the store with them and without what is gone. Words that the store has met before aren't stemmed again."""
-    stems = None
-    if stem:
-        known = now.read("stems")
-        fresh = segment.put("stems", keyword.stem_dictionary(keyword.vocabulary(chunks).join(known, "word", "left_anti")))
-        stems = known.unionByName(fresh)
-    made = keyword.build(chunks, stem, stems)
-    index = keyword.KeywordIndex(segment.put("postings", made.postings), segment.put("lengths", made.lengths), made.chunks)
-    lists, own, totals = segment.put("lists", keyword.lists(index)), keyword.totals(index.lengths), now.state["totals"]
+    """Writes the keyword tables of a segment's chunks; the totals of the store with them and without what is gone. Texts are read once, for the postings; what follows is made from these."""
+    postings = segment.put("postings", keyword.inverted(chunks, stem))
+    index = keyword.KeywordIndex(postings, segment.put("lengths", keyword.lengths(chunks, postings)), chunks.select("chunk_id", "path", "repo"))
+    lists, own, totals = segment.put("lists", keyword.lists(index, dealt=True)), keyword.totals(index.lengths), now.state["totals"]
     after = totals[0] + own[0] - gone[0], totals[1] + own[1] - gone[1]
     segment.put("dictionary", keyword.dictionary(lists, after))
     return after

@@ -63,9 +63,11 @@ def reranked(corpus: Corpus, queries: DataFrame, k: int, repo: str | None = None
 
 
 def hydrated(corpus: Corpus, found: DataFrame) -> DataFrame:
-    """Results with their chunks' fields; texts are fetched for the final rows only."""
-    fields = corpus.chunks.select("chunk_id", "path", "repo", "symbol", "kind", "start_line", "end_line", snippet("text").alias("snippet"))
-    return found.select("qid", "chunk_id", "score", "rank").join(fields, "chunk_id").select(*RESULT).orderBy("qid", "rank")
+    """Results with their chunks' fields; snippets are made of the final rows' texts only, and of each once."""
+    found = keyword.held(found.select("qid", "chunk_id", "score", "rank"))
+    texts = corpus.chunks.join(found.select("chunk_id"), "chunk_id", "left_semi")
+    fields = texts.select("chunk_id", "path", "repo", "symbol", "kind", "start_line", "end_line", snippet("text").alias("snippet"))
+    return found.join(fields, "chunk_id").select(*RESULT).orderBy("qid", "rank")
 
 
 def search(corpus: Corpus, queries: DataFrame, k: int = 8, mode: str = "hybrid", repo: str | None = None, logits=ranking.overlap_logits) -> DataFrame:

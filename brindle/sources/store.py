@@ -24,11 +24,11 @@ from ..operators import keyword
 SCHEMAS = {
     "files": "path string, sha256 string, size long, mtime double",
     "chunks": "chunk_id long, path string, symbol string, kind string, start_line int, end_line int, text string, header string, repo string",
-    "postings": "term string, field string, chunk_id long, positions array<int>",
+    "postings": keyword.POSTINGS,
     "lengths": "chunk_id long, length int",
-    "lists": "term string, field string, range long, ids array<long>, hits array<int>, lengths array<int>",
+    "lists": keyword.LISTS,
     "dictionary": "term string, field string, df long, best double, mean double",
-    "stems": "word string, stem string, terms array<string>",
+    "stems": "word string, stem string, terms array<string>",  # of stores made before; not written any more
     "embeddings": "chunk_id long, dim int, vector array<float>, model string",
     "dead": "chunk_id long",
 }
@@ -215,7 +215,7 @@ class Store:
         every = count == len(now.state["segments"])
         made = {}
         try:
-            for name in (*BY_CHUNK, "stems"):
+            for name in BY_CHUNK:
                 if any(name in s["tables"] for s in some):
                     made[name] = segment.put(name, now.read(name, some))
             if "postings" in made:

@@ -259,3 +259,31 @@ def test_the_index_is_built_once_and_searches_read_it(spark):
     version = store.state()["version"]
     plan = catalogue.QUERIES["bm25_topk"](spark, __spark_entry__.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
     assert store.state()["version"] == version and "documents.parquet" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_postings_are_inverted_without_a_shuffle_of_terms(spark, monkeypatch):
+    """A row of lengths with each posting, blocks of few words, and texts whose letters change in lower case."""
+    monkeypatch.setattr(keyword, "BLOCK", 7)
+    monkeypatch.setattr(keyword, "RANGE", 4)
+    texts = ["İstanbul Åre ÉCOLE école", "", "a1 b_c ΑΣ'Α ΟΔΟΣ straße", "x " * 30, "日本語 ²x Ǆ ﬁn ẞ", "Kİ̇ é é", "___"]
+    rows = [(i * 3, f"p/{i}.py", "r", "s", "window", t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, path string, repo string, symbol string, kind string, text string")
+    plain = F.translate("text", "".join(a for a, _ in keyword._MARKED), "".join(b for _, b in keyword._MARKED))
+    want = keyword.postings(chunks.select("chunk_id", F.regexp_extract_all(F.lower(plain), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1).alias("terms")))
+    index = keyword.build(chunks, stem=False)
+    table = lambda df: sorted((r["chunk_id"], r["term"], tuple(r["positions"])) for r in df.collect())
+    assert table(index.postings.filter("field = 'body'")) == table(want)
+    made = keyword.inverted(chunks, stem=False)
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()  # terms aren't shuffled
+    lengths = {r["chunk_id"]: r["length"] for r in index.lengths.collect()}
+    assert len(lengths) == len(rows) and all(lengths[r["chunk_id"]] == r["length"] for r in made.collect())
+    held = {(r["term"], r["field"], i, h, n) for dealt in (True, False) for r in keyword.lists(index, dealt).collect() for i, h, n in zip(r["ids"], r["hits"], r["lengths"]) if i // 4 == r["range"]}
+    assert held == {(r["term"], r["field"], r["chunk_id"], len(r["positions"]), r["length"]) for r in made.collect()}
+
+
+def test_results_are_worked_out_once(spark):
+    """What follows a search reads its rows, not the index again."""
+    chunks = spark.createDataFrame([(i, f"p{i}.py", "r", "s", "window", f"w{i % 3} w{i}") for i in range(9)], "chunk_id long, path string, repo string, symbol string, kind string, text string")
+    found = keyword.search(with_lists(keyword.build(chunks, stem=False)), spark.createDataFrame([(0, "w1 w2")], "qid int, query string"), 3, stem=False)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["rank"] for r in found.orderBy("rank").collect()] == [0, 1, 2]
