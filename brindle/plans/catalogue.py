@@ -420,14 +420,20 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir)
     found = plans.final(corpus, plans.keyword_pool(corpus, queries(spark, sf_dir), ranking.pool_size(10)), 10)
     first = (F.col("chunk_id") % 50 + 1).cast("int")
-    return found.select("qid", (F.col("rank") + 1).alias("rank"), "path", first.alias("start_line"), (first + 30).alias("end_line"))
+    return keyword.held(found.select("qid", (F.col("rank") + 1).alias("rank"), "path", first.alias("start_line"), (first + 30).alias("end_line")))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid and path of the documents that hold the item."""
     docs = chunks(spark, sf_dir)
     held = holding(docs.select(F.col("chunk_id").alias("doc"), "text"), queries(spark, sf_dir).select(F.col("qid").alias("passage"), F.col("query").alias("text")))
-    return held.join(docs.select(F.col("chunk_id").alias("doc"), "path"), "doc").select(F.col("passage").alias("qid"), "path").distinct()
+    truth = held.join(docs.select(F.col("chunk_id").alias("doc"), "path"), "doc").select(F.col("passage").alias("qid"), "path").distinct()
+    # Questions and ranks read it several times; texts are searched once.
+    folder = f"{shared_dir(spark)}/truth-{uuid4().hex}"
+    truth.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(truth.schema).parquet(folder)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
