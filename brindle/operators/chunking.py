@@ -55,20 +55,27 @@ def markdown_sections(files: DataFrame) -> DataFrame:
 
 
 def split_long(chunks: DataFrame) -> DataFrame:
-    """Chunks over MAX_CHARS in windows of lines, and in slices of characters where that isn't enough."""
-    own = chunks.select(*FIELDS)
-    big = own.filter(F.length("text") > MAX_CHARS).withColumn("ls", lines("text")).withColumn("n", F.size("ls"))
-    windows = big.filter("n > 1").select("*", F.posexplode(_starts(F.col("n"), WINDOW, OVERLAP)).alias("part", "s")).withColumn("e", F.least(F.col("s") + WINDOW, F.col("n")))
-    parts = windows.select("path", "repo", F.concat("symbol", F.format_string(" [part %d]", F.col("part") + 1)).alias("symbol"), "kind", (F.col("start_line") + F.col("s")).alias("start_line"), (F.col("start_line") + F.col("e") - 1).alias("end_line"), F.array_join(F.slice("ls", F.col("s") + 1, F.col("e") - F.col("s")), "\n").alias("text"))
-    slices = char_slices(parts.filter(F.length("text") > MAX_CHARS).unionByName(big.filter("n <= 1").select(*FIELDS)))
-    return own.filter(F.length("text") <= MAX_CHARS).unionByName(parts.filter(F.length("text") <= MAX_CHARS)).unionByName(slices)
+    """Chunks over MAX_CHARS in windows of lines, and in slices of characters where that isn't enough: one pass over the chunks, in which -1 stands for the whole."""
+    whole, n = F.array(F.lit(-1)), F.length("text")
+    own = chunks.select(*FIELDS).filter("text IS NOT NULL").withColumn("ls", F.when(n > MAX_CHARS, lines("text")).otherwise(F.array().cast("array<string>"))).withColumn("n", F.size("ls"))
+    parts = own.select("*", F.posexplode(F.when(F.col("n") <= 1, whole).otherwise(_starts(F.col("n"), WINDOW, OVERLAP))).alias("part", "s")).withColumn("e", F.least(F.col("s") + WINDOW, F.col("n")))
+    of = lambda part, other: F.when(F.col("s") < 0, other).otherwise(part)
+    symbol = of(F.concat("symbol", F.format_string(" [part %d]", F.col("part") + 1)), F.col("symbol"))
+    text = of(F.array_join(F.slice("ls", F.greatest(F.col("s"), F.lit(0)) + 1, F.greatest(F.col("e") - F.col("s"), F.lit(0))), "\n"), F.col("text"))
+    parts = parts.select("path", "repo", symbol.alias("symbol"), "kind", of(F.col("start_line") + F.col("s"), F.col("start_line")).alias("start_line"), of(F.col("start_line") + F.col("e") - 1, F.col("end_line")).alias("end_line"), text.alias("text"))
+    return _sliced(parts, F.when(n <= MAX_CHARS, whole).otherwise(_starts(n, MAX_CHARS, CHAR_OVERLAP)))
 
 
 def char_slices(chunks: DataFrame) -> DataFrame:
     """Overlapping slices of characters; the lines are those of the whole chunk."""
-    n = F.length("text")
-    at = chunks.filter(n > 0).withColumn("s", F.explode(_starts(n, MAX_CHARS, CHAR_OVERLAP))).withColumn("e", F.least(F.col("s") + MAX_CHARS, n))
-    return at.select("path", "repo", F.concat("symbol", F.format_string(" [chars %d-%d]", "s", "e")).alias("symbol"), "kind", "start_line", "end_line", F.col("text").substr(F.col("s") + 1, F.col("e") - F.col("s")).alias("text"))
+    return _sliced(chunks.filter(F.length("text") > 0), _starts(F.length("text"), MAX_CHARS, CHAR_OVERLAP))
+
+
+def _sliced(chunks: DataFrame, starts: Column) -> DataFrame:
+    at = chunks.withColumn("s", F.explode(starts)).withColumn("e", F.least(F.col("s") + MAX_CHARS, F.length("text")))
+    symbol = F.when(F.col("s") < 0, F.col("symbol")).otherwise(F.concat("symbol", F.format_string(" [chars %d-%d]", "s", "e")))
+    text = F.when(F.col("s") < 0, F.col("text")).otherwise(F.col("text").substr(F.col("s") + 1, F.col("e") - F.col("s")))
+    return at.select("path", "repo", symbol.alias("symbol"), "kind", "start_line", "end_line", text.alias("text"))
 
 
 def _first_line(node: ast.AST) -> int:

@@ -80,3 +80,12 @@ def test_line_ends(spark):
     texts = ["", "\n", "a", "a\n", "a\r\nb\rc\n\n", "a\x0bb\x0cc\x1cd\x85e\u2028f\u2029g", " a b "]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert {r.i: r.l for r in df.select("i", lines(F.col("t")).alias("l")).collect()} == {i: t.splitlines() for i, t in enumerate(texts)}
+
+
+def test_long_chunks_are_split_in_one_pass(spark):
+    rows = [("a", "r", "s", "window", 1, 1, t) for t in ("", "x", "y" * 4000, "y" * 9000, "\n".join(["line"] * 2000), "\n".join(["z" * 5000, "b"]), "\n" * 4001, None)]
+    made = c.split_long(spark.createDataFrame(rows, c.SCHEMA))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Union") == 0
+    out = made.collect()
+    assert all(len(r["text"]) <= 4000 for r in out) and {"", "x", "y" * 4000} <= {r["text"] for r in out}
+    assert {r["symbol"] for r in out if r["text"].startswith("y") and len(r["text"]) < 4000 or r["symbol"].startswith("s [chars")} >= {"s [chars 0-4000]", "s [chars 3800-7800]", "s [chars 7600-9000]"}
