@@ -13,7 +13,7 @@ surely the longer they are; a single word, or a language much like a known one,
 Only texts and languages of a bounded sample are learned from: PER_LANGUAGE texts of each of the MAX_LANGUAGES most frequent languages, those with the least hash of id and text, and
 SAMPLE_BYTES in all. Each text is learned from as a whole, and besides some SENTENCES of its sentences, evenly spread, so that long texts don't outweigh others; calibration uses the text set aside as a whole, and
 its first PIECES pieces of each length. Scoring reads every text whole. As the logits of an average are the average of the logits, a worker keeps the summed logits of each word, and a
-text costs a lookup for each word.
+text costs a lookup for each word. The words of a text that are new to a worker are summed up together.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are rejected; texts of any length are read whole; rows with
 equal texts get equal results; null ids are never learned from and aren't held out; without anything to learn from, all are `und`; columns
@@ -22,7 +22,9 @@ besides doc_id, text and lang don't matter.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -43,15 +45,35 @@ SENTENCES, PIECES = 20, 4
 LEAST, LOST, NOVEL = 0.5, 0.001, 0.55
 #: Numbers of words by which logits are told apart: powers of two, the last for all longer texts.
 SIZES = 8
-MEMO_CHARS, MEMO_ENTRIES = 40, 250_000
+MEMO_CHARS, MEMO_ENTRIES, WORDS_AT_ONCE = 40, 250_000, 1024
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SENTENCE = regex.compile(r"[.!?\n]+")
 
 
+@cache
+def _plain_word() -> re.Pattern:
+    """WORD for texts of the basic plane, with its letters and marks spelled out, which is read faster."""
+    plane = "".join(map(chr, range(0x10000)))
+    kinds = ("".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(p, plane)) for p in (r"\p{L}+", r"[\p{L}\p{M}]+"))
+    return re.compile("[{}][{}]*".format(*kinds))
+
+
+HIGH = re.compile("[\U00010000-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    text = text.lower()
+    return (WORD if HIGH.search(text) else _plain_word()).findall(text)
+
+
 def subwords(word: str) -> list[int]:
     """Table rows of a word: its own and those of its n-grams."""
     ends = f"<{word}>"
+    if ends.isascii() and len(ends) <= MEMO_CHARS:
+        own = ends.encode()
+        return [h & (BUCKETS - 1) for h in map(crc32, sorted({own, *(own[i : i + n] for n in GRAMS for i in range(len(own) - n + 1))}))]
     grams = {ends, *(ends[i : i + n] for n in GRAMS for i in range(len(ends) - n + 1))} if len(ends) <= MEMO_CHARS else [ends[i : i + n] for n in GRAMS for i in range(len(ends) - n + 1)]
     return [crc32(g.encode()) & (BUCKETS - 1) for g in sorted(grams)]
 
@@ -163,11 +185,12 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[str, float, bool]:
         """Language, confidence, and whether that is rejected."""
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words:
             return "und", 0.0, True
         if len(self.memo) > MEMO_ENTRIES:
             self.memo = _Memo(self.model)
+        self.memo.add([w for w in dict.fromkeys(words) if w not in self.memo])
         at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         sums = self.memo.rows[at].sum(0)
         logits = sums[:-1] / sums[-1] + self.model.bias
@@ -183,15 +206,21 @@ class _Memo(dict):
         super().__init__()
         self.model, self.rows = model, np.zeros((1024, len(model.languages) + 1))
 
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        at = subwords(word)
-        self.rows[n, :-1] = self.model.logits[at].sum(0)
-        self.rows[n, -1] = len(at)
-        self[word] = n
-        return n
+    def add(self, words: list[str]) -> None:
+        """Takes new words in, all at once."""
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words[start : start + WORDS_AT_ONCE]
+            n = len(self)
+            while n + len(some) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            flat, ends = [], []
+            for w in some:
+                flat += subwords(w)
+                ends.append(len(flat))
+            sizes = np.diff(ends, prepend=0)
+            self.rows[n : n + len(some), :-1] = np.add.reduceat(self.model.logits[flat], ends - sizes)
+            self.rows[n : n + len(some), -1] = sizes
+            self.update(zip(some, range(n, n + len(some))))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from brindle.llm import language_id
@@ -106,3 +107,20 @@ def test_query(spark, tmp_path):
     assert all(r.held_out == (i is not None and crc32(str(i).encode()) % 4 == 2) for i, r in found.items())
     held = [(found[i].lang_pred, k) for i, _, k in rows[:400] if found[i].held_out]
     assert sum(a == b for a, b in held) / len(held) > 0.95
+
+
+def test_new_words_are_summed_up_together():
+    draw = np.random.default_rng(5)
+    model = language_id.Model(["a", "b", "c"], draw.normal(size=(language_id.BUCKETS, 3)), np.zeros(3), 1.0, 0.0, np.full(language_id.SIZES, -np.inf))
+    plane = "".join(chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000)
+    for text in ("Größe e\u0301te\u0301 na\u00efve x\u00b2 2nd \u0301a _b_ \u0130I", plane, plane[:0x9000], "\U00010400bc d", "a" * 50_000 + " b"):
+        words = language_id.WORD.findall(text.lower())
+        assert language_id.words_of(text) == words
+        memo = language_id._Memo(model)
+        memo.add(list(dict.fromkeys(words)))
+        for w in dict.fromkeys(words):
+            at = language_id.subwords(w)
+            assert np.allclose(memo.rows[memo[w]], [*model.logits[at].sum(0), len(at)], rtol=1e-9) and len(memo.rows) >= len(memo)
+    ends = "<word>"
+    grams = {ends, *(ends[i : i + n] for n in language_id.GRAMS for i in range(len(ends) - n + 1))}
+    assert language_id.subwords("word") == [language_id.crc32(g.encode()) & (language_id.BUCKETS - 1) for g in sorted(grams)]
