@@ -377,7 +377,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_fuse(spark: SparkSession, sf_dir: str, first: int = ranking.RERANKED, k: int = K) -> DataFrame:
     """Relevance: the share of the query's tokens that the chunk's text has, as a logit."""
     corpus, asked = _corpus(spark, sf_dir), queries(spark, sf_dir)
-    candidates = plans.hybrid_candidates(corpus, asked, first).select("qid", "chunk_id", "score", "rank")
+    candidates = keyword.held(plans.hybrid_candidates(corpus, asked, first).select("qid", "chunk_id", "score", "rank"))
     first = candidates.filter(F.col("rank") < ranking.RERANKED)
     # Texts are split into tokens once each, and only those of candidates.
     has = corpus.chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", text.query_tokens("text").alias("has"))

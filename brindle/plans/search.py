@@ -56,7 +56,7 @@ def hybrid_candidates(corpus: Corpus, queries: DataFrame, k: int, repo: str | No
 
 
 def reranked(corpus: Corpus, queries: DataFrame, k: int, repo: str | None = None, logits=ranking.overlap_logits) -> DataFrame:
-    candidates = hybrid_candidates(corpus, queries, max(k, ranking.RERANKED), repo)
+    candidates = keyword.held(hybrid_candidates(corpus, queries, max(k, ranking.RERANKED), repo))  # few rows that are read thrice; broadcast, so that no texts are shuffled to them
     inputs = corpus.chunks.select("chunk_id", embedding_input("header", "text").alias("input"))
     relevance = ranking.relevance(candidates, queries, inputs, logits)
     return ranking.rerank(candidates.select("qid", "chunk_id", "score", "rank"), relevance, corpus.chunks, k, digits=corpus.digits)
