@@ -14,6 +14,7 @@ SPACE = r"[\s\x1C-\x1F]"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 #: Python's line ends for str.splitlines.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+RARE_LINE_END = r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 # Words too common to tell anything, Russian and English.
 STOPWORDS_RU = """
@@ -41,8 +42,11 @@ def _column(c: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """As str.splitlines: a last line end opens no line, and an empty text has no lines."""
-    parts = F.split(_column(text), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    text = _column(text)
+    # Most texts have no line ends but newlines, for which no pattern is needed.
+    parts = F.when(text.rlike(RARE_LINE_END), F.split(text, LINE_END, -1)).otherwise(F.split(text, "\n", -1))
+    # The array of one lets the parts be named again without being split again.
+    return F.transform(F.array(parts), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))[0]
 
 
 def strip(text: Column | str) -> Column:

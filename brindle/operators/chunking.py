@@ -31,7 +31,8 @@ def _starts(n: Column, size: int, overlap: int) -> Column:
 
 def line_windows(files: DataFrame) -> DataFrame:
     """Overlapping windows of lines."""
-    split = files.select("path", "repo", lines("text").alias("ls")).withColumn("n", F.size("ls")).filter("n > 0")
+    # An empty text has no lines, any other has some: asked of the text, so that it isn't split to be filtered.
+    split = files.filter(F.col("text") != "").select("path", "repo", lines("text").alias("ls")).withColumn("n", F.size("ls"))
     out = split.select("path", "repo", "ls", "n", F.explode(_starts(F.col("n"), WINDOW, OVERLAP)).alias("s")).withColumn("e", F.least(F.col("s") + WINDOW, F.col("n")))
     return out.select("path", "repo", F.format_string("lines %d-%d", F.col("s") + 1, F.col("e")).alias("symbol"), F.lit("window").alias("kind"), (F.col("s") + 1).alias("start_line"), F.col("e").alias("end_line"), F.array_join(F.slice("ls", F.col("s") + 1, F.col("e") - F.col("s")), "\n").alias("text"))
 
@@ -138,9 +139,10 @@ def python_chunks(files: DataFrame) -> DataFrame:
 
 def chunk_files(files: DataFrame) -> DataFrame:
     """Chunks of files by their suffix, long ones split."""
-    suffix = F.lower("suffix")
-    python, markdown = files.filter(suffix == ".py"), files.filter(suffix == ".md")
-    rest = files.filter(F.coalesce(~suffix.isin(".py", ".md"), F.lit(True)))
+    # Suffixes are compared as they are, in all their cases, so that stored files without a kind aren't read to find that out.
+    cases = lambda s: [f".{a}{b}" for a in (s[0], s[0].upper()) for b in (s[1], s[1].upper())]
+    python, markdown = (files.filter(F.col("suffix").isin(cases(s))) for s in ("py", "md"))
+    rest = files.filter(F.coalesce(~F.col("suffix").isin(cases("py") + cases("md")), F.lit(True)))
     return split_long(python_chunks(python).unionByName(markdown_sections(markdown)).unionByName(line_windows(rest)))
 
 

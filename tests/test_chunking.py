@@ -89,3 +89,13 @@ def test_long_chunks_are_split_in_one_pass(spark):
     out = made.collect()
     assert all(len(r["text"]) <= 4000 for r in out) and {"", "x", "y" * 4000} <= {r["text"] for r in out}
     assert {r["symbol"] for r in out if r["text"].startswith("y") and len(r["text"]) < 4000 or r["symbol"].startswith("s [chars")} >= {"s [chars 0-4000]", "s [chars 3800-7800]", "s [chars 7600-9000]"}
+
+
+def test_texts_are_not_split_to_be_filtered_and_other_kinds_are_skipped(spark, tmp_path):
+    spark.createDataFrame([("a", "r", "x\ny\n", ".txt"), ("b", "r", "", ".txt"), ("c", "r", "\n", ".TXT"), ("d", "r", "# h\nz", ".Md"), ("e", "r", "def f():\n    pass", ".pY")], "path string, repo string, text string, suffix string").write.parquet(str(tmp_path / "files"))
+    made = c.chunk_files(spark.read.parquet(str(tmp_path / "files")))
+    assert {(r.path, r.kind, r.start_line, r.end_line, r.text) for r in made.collect()} == {("a", "window", 1, 2, "x\ny"), ("c", "window", 1, 1, ""), ("d", "markdown_section", 1, 2, "# h\nz"), ("e", "function", 1, 2, "def f():\n    pass")}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "In(suffix, [.MD,.Md,.mD,.md])" in plan and "In(suffix, [.PY,.Py,.pY,.py])" in plan
+    # Markdown files are split to find their headings.
+    assert not [line for line in plan.splitlines() if " Filter " in line and "split(" in line and ".md" not in line]

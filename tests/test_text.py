@@ -78,3 +78,11 @@ def test_patterns_agree_with_python(spark):
         return t
 
     assert {t: plain(t) for t in texts} == got
+
+
+def test_usual_texts_are_spared_the_search(spark):
+    """Words like key or api, numbers and decimals alone open no search."""
+    usual = spark.createDataFrame([("the monkey: a capital, in 1999 and 2001 = 1.5 times 300 tokens: yes",)], "t string")
+    assert list(usual.select(*(redaction._guarded(F.col("t"), k) for k in redaction.PATTERNS)).first()) == [False] * len(redaction.PATTERNS)
+    secret = spark.createDataFrame(list(SECRETS.items()), "kind string, t string").select("kind", *(redaction._guarded(F.col("t"), k).alias(k) for k in redaction.PATTERNS))
+    assert all(r[r.kind] for r in secret.collect())
