@@ -24,9 +24,10 @@ def file_diff(known: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
-def new_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of files, redacted, in the order of path and lines; and redactions by kind."""
-    made = with_redaction(chunk_files(files))
+def new_chunks(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """Chunks of files, redacted, in the order of path and lines; and redactions by kind. They are written to a folder first: ranges are found by reading all rows once more, and so files aren't cut twice."""
+    with_redaction(chunk_files(files)).write.parquet(folder)
+    made = spark.read.parquet(folder)
     # Ids are handed out in ranges: a partition's rows are numbered within, after those of the partitions before.
     made = made.repartitionByRange("path", "start_line", "end_line", "symbol").sortWithinPartitions("path", "start_line", "end_line", "symbol", "text").withColumn("order", F.monotonically_increasing_id())
     return made.withColumn("header", header("path", "symbol", "kind"))
@@ -95,7 +96,7 @@ def _add(store: Store, now: Snapshot, segment: Segment, diff: DataFrame, found:
     # Chunks and hashes come from the same reading. Chunks are numbered by the partition they are read from, so they are written before.
     (read_again(fresh) if read_again else found.join(fresh, "path", "left_semi")).filter("sha256 IS NOT NULL").write.parquet(f"{folder}/files")
     rows = spark.read.parquet(f"{folder}/files")
-    new_chunks(rows).write.parquet(f"{folder}/chunks")
+    new_chunks(spark, rows, f"{folder}/made").write.parquet(f"{folder}/chunks")
     made = spark.read.parquet(f"{folder}/chunks")
     report["chunks_added"] = made.count()
     report["redactions"] = {r["kind"]: r["hits"] for r in counts_by_kind(made).collect()}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.plans import cli, search, tools
-from brindle.plans.indexing import index_corpus
+from brindle.plans.indexing import index_corpus, new_chunks
 from brindle.sources import files
 from brindle.sources.store import ConcurrentCommit, Store
 
@@ -155,3 +155,11 @@ def test_stream(spark, tmp_path):
     run()
     assert {r.path: r.text for r in store.read("chunks").collect()} == {"r/a.txt": "two", "r/b.txt": "bees"}
     assert store.read("embeddings").count() == 2
+
+
+def test_files_are_cut_once(spark, tmp_path):
+    """The ranges that chunks are dealt by are found in stored chunks, not by cutting and redacting all files once more."""
+    rows = spark.createDataFrame([(f"f{i:02d}.py", "r", "\n".join(f"line {k} of {i}" for k in range(70)), ".txt") for i in range(9)], "path string, repo string, text string, suffix string")
+    made = new_chunks(spark, rows, str(tmp_path / "made"))
+    assert "Union" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.path, r.start_line) for r in made.orderBy("order").collect()] == [(f"f{i:02d}.py", k) for i in range(9) for k in (1, 51)]
