@@ -97,11 +97,13 @@ def _add(store: Store, now: Snapshot, segment: Segment, diff: DataFrame, found:
     (read_again(fresh) if read_again else found.join(fresh, "path", "left_semi")).filter("sha256 IS NOT NULL").write.parquet(f"{folder}/files")
     rows = spark.read.parquet(f"{folder}/files")
     new_chunks(spark, rows, f"{folder}/made").write.parquet(f"{folder}/chunks")
+    store.remove(f"{folder}/made")
     made = spark.read.parquet(f"{folder}/chunks")
     report["chunks_added"] = made.count()
     report["redactions"] = {r["kind"]: r["hits"] for r in counts_by_kind(made).collect()}
     if report["chunks_added"]:
         chunks = segment.put("chunks", numbered(made, now.state["watermark"]))
+        store.remove(f"{folder}/chunks")
         totals = put_keywords(segment, now, chunks, gone)
         for model in models:
             report["embedded"][model] = report["chunks_added"]
