@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.stemming import stem_text
-from ..functions.text import embedding_input
+from ..functions.stemming import WORD, stem_token
+from ..functions.text import STOPWORDS, embedding_input
 from .keyword import pool
 
 GPU_SUFFIX = "@st-cuda"
@@ -28,6 +28,8 @@ GPU_SUFFIX = "@st-cuda"
 GPU_BATCH, CPU_BATCHES, CPU_BATCH = 32, {"bge": 32, "e5": 16}, 16
 #: Queries that are multiplied with a batch of vectors at once, and those that are broadcast for one pass over the vectors.
 QUERY_BLOCK, QUERIES_AT_ONCE = 1024, 1 << 16
+#: Words that the hashing model remembers.
+KNOWN = 1 << 18
 
 
 class Model(Protocol):
@@ -39,13 +41,25 @@ class HashingModel:
 
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
+        self.known: dict[str, int] = {}
+
+    def place(self, word: str) -> int:
+        """Where the word of a text counts: a dimension, beyond them those that are taken off, and after all of these that of words that don't count."""
+        if word in STOPWORDS or not (stem := stem_token(word)):
+            return 2 * self.dimensions
+        h = crc32(stem.encode())
+        return h % self.dimensions + (0 if h >> 31 else self.dimensions)
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimensions), np.float32)
+        n, known, out = 2 * self.dimensions, self.known, np.zeros((len(texts), self.dimensions), np.float32)
         for row, text in zip(out, texts):
-            for word in stem_text(text).split():
-                h = crc32(word.encode())
-                row[h % self.dimensions] += 1 if h >> 31 else -1
+            if len(known) > KNOWN:
+                known.clear()
+            found = WORD.findall(text.lower())
+            for word in set(found).difference(known):
+                known[word] = self.place(word)
+            counts = np.bincount(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), minlength=n + 1)
+            row[:] = counts[: self.dimensions] - counts[self.dimensions : n]
         return out
 
 

@@ -43,10 +43,9 @@ def numbered(made: DataFrame, watermark: int) -> DataFrame:
 
 
 def put_keywords(segment: Segment, now: Snapshot, chunks: DataFrame, gone: tuple[int, int] = (0, 0), stem: bool = True) -> tuple[int, int]:
-    """Writes the keyword tables of a segment's chunks; the totals of the store with them and without what is gone. Texts are read once, for the postings; what follows is made from these."""
-    postings = segment.put("postings", keyword.inverted(chunks, stem))
-    index = keyword.KeywordIndex(postings, segment.put("lengths", keyword.lengths(chunks, postings)), chunks.select("chunk_id", "path", "repo"))
-    lists, own, totals = segment.put("lists", keyword.lists(index, dealt=True)), keyword.totals(index.lengths), now.state["totals"]
+    """Writes the keyword tables of a segment's chunks; the totals of the store with them and without what is gone. Texts are read once, for the lists; what follows is made from these."""
+    lists, totals = segment.put("lists", keyword.listed(chunks, stem)), now.state["totals"]
+    own = keyword.totals(segment.put("lengths", keyword.lengths(chunks, lists)))
     after = totals[0] + own[0] - gone[0], totals[1] + own[1] - gone[1]
     segment.put("dictionary", keyword.dictionary(lists, after))
     return after
@@ -92,7 +91,7 @@ def _add(store: Store, now: Snapshot, segment: Segment, diff: DataFrame, found:
     ids = segment.put("dead", before.select("chunk_id"))
     if not ids.isEmpty():
         gone = keyword.totals(now.read("lengths").join(ids, "chunk_id", "left_semi"))
-        segment.put("dictionary", keyword.taken_out(now.read("postings").join(ids, "chunk_id", "left_semi")))
+        segment.put("dictionary", keyword.taken_out(now.terms().join(now.few(ids, ids.count()), "chunk_id", "left_semi")))
     # Chunks and hashes come from the same reading. Chunks are numbered by the partition they are read from, so they are written before.
     (read_again(fresh) if read_again else found.join(fresh, "path", "left_semi")).filter("sha256 IS NOT NULL").write.parquet(f"{folder}/files")
     rows = spark.read.parquet(f"{folder}/files")

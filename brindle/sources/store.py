@@ -15,6 +15,7 @@ import time
 import uuid
 from functools import reduce
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..operators import keyword
 SCHEMAS = {
     "files": "path string, sha256 string, size long, mtime double",
     "chunks": "chunk_id long, path string, symbol string, kind string, start_line int, end_line int, text string, header string, repo string",
-    "postings": keyword.POSTINGS,
+    "postings": keyword.POSTINGS,  # of stores made before; since, lists hold them
     "lengths": "chunk_id long, length int",
     "lists": keyword.LISTS,
     "dictionary": "term string, field string, df long, best double, mean double",
@@ -39,6 +40,8 @@ BY_CHUNK = ("chunks", "postings", "lengths", "embeddings")
 EMPTY = {"version": 0, "watermark": 0, "totals": [0, 0], "segments": []}
 #: A segment is folded with newer ones that have this part of its rows together; the dead part of the chunks that has everything written anew.
 FOLD, DEAD = 0.5, 0.25
+#: Ids that are broadcast to be joined, and that tasks hold as an array. Segments of fewer chunks have their lists brought together by ranges when they are folded.
+JOINED, HELD, SMALL = 1 << 20, 1 << 23, 16 * keyword.RANGE
 
 
 class ConcurrentCommit(RuntimeError):
@@ -57,7 +60,15 @@ class Snapshot:
 
     def read(self, name: str, segments: list[dict] | None = None) -> DataFrame:
         """A table; of some segments only, if they are given."""
-        folders = [f for s in (self.state["segments"] if segments is None else segments) for f in s["tables"].get(name, [])]
+        own = self.state["segments"] if segments is None else segments
+        if name == "postings":
+            lists = [f for s in own if "postings" not in s["tables"] for f in s["tables"].get("lists", [])]
+            parts = [self._load(lists, "lists").transform(keyword.postings_of)] if lists else []
+            if stored := [f for s in own for f in s["tables"].get("postings", [])]:
+                parts.append(self._load(stored, "postings"))
+            rows = reduce(DataFrame.unionByName, parts or [self.spark.createDataFrame([], SCHEMAS[name])])
+            return rows.join(self.few(self.read("dead"), self.dead), "chunk_id", "left_anti") if self.dead else rows
+        folders = [f for s in own for f in s["tables"].get(name, [])]
         schema = LOG if name == "files" else SCHEMAS[name]
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
@@ -68,9 +79,21 @@ class Snapshot:
             last = rows.groupBy("path").agg(F.max_by(F.struct("sha256", "size", "mtime", "gone"), "version").alias("r")).filter("NOT r.gone")
             return last.select("path", "r.sha256", "r.size", "r.mtime")
         if name in BY_CHUNK and self.dead:
-            rows = rows.join(self.read("dead"), "chunk_id", "left_anti")
+            rows = rows.join(self.few(self.read("dead"), self.dead), "chunk_id", "left_anti")
         return rows
 
+    def _load(self, folders: list[str], name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.store.root}/{f}" for f in folders))
+
+    @staticmethod
+    def few(ids: DataFrame, count: int) -> DataFrame:
+        """Ids, broadcast unless they are many, so that tables aren't shuffled to them."""
+        return F.broadcast(ids) if count <= JOINED else ids
+
+    def terms(self) -> DataFrame:
+        """term, field and chunk_id of all lists, dead chunks too; positions aren't read."""
+        return self.read("lists").select("term", "field", F.explode("ids").alias("chunk_id"))
+
     @property
     def dead(self) -> int:
         return sum(s["dead"] for s in self.state["segments"])
@@ -213,13 +236,12 @@ class Store:
             return False
         some, segment = now.state["segments"][-count:], self.segment(now.state)
         every = count == len(now.state["segments"])
-        made = {}
         try:
             for name in BY_CHUNK:
-                if any(name in s["tables"] for s in some):
-                    made[name] = segment.put(name, now.read(name, some))
-            if "postings" in made:
-                segment.put("lists", keyword.lists(keyword.KeywordIndex(made["postings"], made["lengths"], made.get("chunks"))))
+                if name != "postings" and any(name in s["tables"] for s in some):
+                    segment.put(name, now.read(name, some))
+            if any("lists" in s["tables"] for s in some):
+                segment.put("lists", self._folded(now, some))
             if any("dictionary" in s["tables"] for s in some):
                 segment.put("dictionary", keyword.added_up(now.read("dictionary", some), tuple(now.state["totals"]), every))
             log = [f for s in some for f in s["tables"].get("files", [])]
@@ -236,6 +258,18 @@ class Store:
         self.publish(segment, instead=count)
         return True
 
+    def _folded(self, now: Snapshot, some: list[dict]) -> DataFrame:
+        """The lists of segments without dead chunks. Those of large segments stay in their rows; those of small ones, which share ranges, are made anew of their postings."""
+        some = [s for s in some if "lists" in s["tables"]]
+        large = [s for s in some if s["chunks"] >= SMALL and "postings" not in s["tables"]] if now.dead <= HELD else []
+        small, parts = [s for s in some if s not in large], []
+        if large:
+            dead = now.read("dead").toArrow().column("chunk_id").to_numpy() if now.dead else np.zeros(0, np.int64)
+            parts.append(keyword.without(now.read("lists", large), np.sort(dead)))
+        if small:
+            parts.append(keyword.lists(keyword.KeywordIndex(now.read("postings", small), now.read("lengths", small), now.read("chunks", small))))
+        return reduce(DataFrame.unionByName, parts)
+
     def vacuum(self, keep_seconds: float = 7 * 86400) -> None:
         """Removes versions that have been replaced for longer than that, and folders that no version needs which are as old."""
         versions, before = self._versions(), 1000 * (time.time() - keep_seconds)

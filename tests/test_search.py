@@ -307,3 +307,25 @@ def test_scores_are_added_up_by_ranges_without_a_shuffle_of_pairs(spark, monkeyp
     own = lambda df: sorted(((r.qid, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect()), key=str)
     want = own(keyword.pool(keyword.scores(made, queries, stem=False).join(dead, "chunk_id", "left_anti"), 6, 6))
     assert len(want) > 20 and own(found) == want
+
+
+def test_the_hashing_model_stems_a_word_once(monkeypatch):
+    from zlib import crc32
+
+    from brindle.functions.stemming import stem_text
+
+    texts = ["Running runs, the RAN and running", "", "the", "Бегущие бежали naïve İstanbul", "runs running x_1 " * 9]
+    want = []
+    for text in texts:
+        row = [0.0] * 64
+        for word in stem_text(text).split():
+            row[crc32(word.encode()) % 64] += 1 if crc32(word.encode()) >> 31 else -1
+        want.append(row)
+    asked, stem = [], vectors.stem_token
+    monkeypatch.setattr(vectors, "stem_token", lambda w: asked.append(w) or stem(w))
+    model = vectors.HashingModel()
+    assert model.embed(texts).tolist() == want and len(asked) == len(set(asked)) and "the" not in asked
+    model.embed(texts)
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(vectors, "KNOWN", 2)  # few words are remembered
+    assert vectors.HashingModel().embed(texts).tolist() == want

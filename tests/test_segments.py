@@ -147,3 +147,43 @@ def test_a_snapshot_sees_one_version(spark, tmp_path):
         store.vacuum()
         assert ask(corpus) == first == {"r/a.txt", "r/b.txt"}
     assert ask(search.open_store(store)) == {"r/c.txt", "r/d.txt"}
+
+
+def test_lists_hold_the_postings_and_large_ones_stay_in_their_rows_when_folded(spark, tmp_path, monkeypatch):
+    """No table of postings is written; a large segment's lists lose their dead chunks without a shuffle, those of small ones are brought together."""
+    pick, store = random.Random(3), Store(spark, str(tmp_path / "s"))
+    texts = {f"f{i}": " ".join(pick.choices(WORDS, k=30)) for i in range(12)}
+    indexing.index_files(store, found(spark, texts), ["hashing"])
+    assert not [name for name in written(store.root) if name.startswith("postings")]
+    plans, without = [], keyword.without
+    with monkeypatch.context() as patch:
+        patch.setattr("brindle.sources.store.SMALL", 5)
+        patch.setattr(keyword, "without", lambda rows, dead: plans.append(without(rows, dead)) or plans[-1])
+        texts |= {f"f{i}": "alpha beta" for i in range(3)} | {f"g{i}": "kappa" for i in range(4)}
+        del texts["f11"]
+        indexing.index_files(store, found(spark, texts), ["hashing"])
+    assert len(store.state()["segments"]) == 1 and len(plans) == 1
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    lists = store.read("lists").collect()
+    assert all(len(r["ids"]) == len(r["hits"]) == len(r["lengths"]) == len(r["positions"]) > 0 and r["hits"] == [len(p) for p in r["positions"]] for r in lists)
+    check(spark, store, texts)
+
+
+def test_postings_of_stores_made_before_are_read_and_folded(spark, tmp_path):
+    """A segment with a table of postings, and lists without positions."""
+    pick, store = random.Random(9), Store(spark, str(tmp_path / "s"))
+    texts = {f"f{i}": " ".join(pick.choices(WORDS, k=9)) for i in range(6)}
+    indexing.index_files(store, found(spark, texts), ["hashing"])
+    now = store.snapshot()
+    old = store.segment(now.state)
+    for name in ("chunks", "lengths", "embeddings", "files", "dictionary", "postings"):
+        old.put(name, now.read(name))
+    old.put("lists", now.read("lists").withColumn("positions", F.lit(None).cast("array<array<int>>")))
+    store.publish(old, instead=1)
+    check(spark, store, texts)
+    texts |= {f"g{i}": "alpha kappa" for i in range(5)}
+    del texts["f1"]
+    indexing.index_files(store, found(spark, texts), ["hashing"])
+    assert len(store.state()["segments"]) == 1 and "postings" not in store.state()["segments"][0]["tables"]
+    check(spark, store, texts)

@@ -86,3 +86,10 @@ def test_usual_texts_are_spared_the_search(spark):
     assert list(usual.select(*(redaction._guarded(F.col("t"), k) for k in redaction.PATTERNS)).first()) == [False] * len(redaction.PATTERNS)
     secret = spark.createDataFrame(list(SECRETS.items()), "kind string, t string").select("kind", *(redaction._guarded(F.col("t"), k).alias(k) for k in redaction.PATTERNS))
     assert all(r[r.kind] for r in secret.collect())
+
+
+def test_endings_are_found_by_their_last_letter():
+    for endings in (stemming.STEP2, stemming.STEP3, stemming.STEP4, ("'", "'s", "'s'"), ("eed", "eedly", "ed", "edly", "ing", "ingly")):
+        table = stemming._by_last(endings)
+        for word in ["", "x", *endings, *(a + b for a in ("n", "reli", *endings) for b in endings), "zzz"]:
+            assert stemming._ending(word, table) == stemming._longest(word, endings)
